@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.operators import dedup, orphans, snapshots
+from tracewell.operators import dedup, hierarchy, orphans, snapshots
 from tracewell.sources.tables import table
 
 
@@ -20,11 +20,15 @@ def p2_orphan_rates(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_rates(p2_found(spark, d))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.scope_hierarchy(table(spark, d, "scopes"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.duplicate_events(table(spark, d, "agent_events"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_orphan_rates": p2_orphan_rates, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_orphan_rates": p2_orphan_rates, "p3_found": p3_found, "p5_found": p5_found}
 
 _ID = "nullif(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), '')"
 
@@ -84,9 +88,37 @@ FROM (SELECT *, row_number() OVER (PARTITION BY session, number ORDER BY receive
 WHERE k > 1
 """
 
+SQL_P3 = r"""
+WITH RECURSIVE latest AS (
+  SELECT repository_id, relative_path, scope_id, arg_max(coalesce(parent_scope_id, -9), ingested_at) AS parent_id
+  FROM scopes GROUP BY 1, 2, 3
+), s AS (
+  SELECT l.repository_id, l.relative_path, l.scope_id, p.scope_id AS parent_id
+  FROM latest l LEFT JOIN latest p ON p.repository_id = l.repository_id AND p.relative_path = l.relative_path AND p.scope_id = l.parent_id
+), down AS (
+  SELECT repository_id, relative_path, scope_id, [scope_id] AS path FROM s WHERE parent_id IS NULL
+  UNION ALL SELECT s.repository_id, s.relative_path, s.scope_id, list_append(d.path, s.scope_id)
+  FROM s JOIN down d ON s.repository_id = d.repository_id AND s.relative_path = d.relative_path AND s.parent_id = d.scope_id
+), below AS (
+  SELECT repository_id, relative_path, a AS scope_id, count(*) - 1 AS n FROM (SELECT repository_id, relative_path, unnest(path) AS a FROM down) GROUP BY 1, 2, 3
+), lost AS (SELECT s.* FROM s ANTI JOIN down d USING (repository_id, relative_path, scope_id)
+), up AS (
+  SELECT repository_id, relative_path, scope_id, parent_id AS spot FROM lost
+  UNION SELECT u.repository_id, u.relative_path, u.scope_id, l.parent_id
+  FROM up u JOIN lost l ON u.repository_id = l.repository_id AND u.relative_path = l.relative_path AND u.spot = l.scope_id
+)
+SELECT repository_id, relative_path, scope_id, path[1] AS root_scope_id, len(path) - 1 AS scope_depth,
+  array_to_string(path, '/') AS scope_path, n AS n_descendants, 'ok' AS status
+FROM down JOIN below USING (repository_id, relative_path, scope_id)
+UNION ALL
+SELECT repository_id, relative_path, scope_id, -1, -1, '', -1, CASE WHEN bool_or(spot = scope_id) THEN 'cycle' ELSE 'below_cycle' END
+FROM up GROUP BY 1, 2, 3
+"""
+
 SQL = {
     "p1_found": SQL_P1,
     "p2_found": SQL_P2,
     "p2_orphan_rates": f"SELECT ref_table, month_key, reason, count(*) AS n_orphans, count(DISTINCT target_key) AS n_targets FROM (SELECT DISTINCT * FROM ({SQL_P2})) GROUP BY 1, 2, 3",
+    "p3_found": SQL_P3,
     "p5_found": SQL_P5,
 }
