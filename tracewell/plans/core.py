@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.operators import dedup, hierarchy, orphans, snapshots
+from tracewell.operators import dedup, hierarchy, nested, orphans, snapshots
 from tracewell.sources.tables import table
 
 
@@ -24,11 +24,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.scope_hierarchy(table(spark, d, "scopes"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.analysis_facts(table(spark, d, "analysis_records"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.duplicate_events(table(spark, d, "agent_events"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_orphan_rates": p2_orphan_rates, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_orphan_rates": p2_orphan_rates, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
 
 _ID = "nullif(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), '')"
 
