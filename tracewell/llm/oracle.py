@@ -1,0 +1,3 @@
+"""DuckDB SQL for queries of the text operators, where SQL can express them."""
+
+SQL: dict[str, str] = {}
