@@ -5,9 +5,10 @@ edits shares a known least number of character q-grams with it, on diagonals
 that lie close together. Grams are counted per document first, then in
 overlapping bands of diagonals; regions that reach the bound are verified.
 
-The bound is exact because grams are taken within a word and its two
-neighbouring blanks: edits are whole words, and an edit destroys the grams of its
-own word only.
+The bounds are exact. For a share of an item's words, grams are taken within a
+word and its two neighbouring blanks: edits are whole words, and an edit destroys
+the grams of its own word only. For a run of words, which allows no edit, longer
+grams that begin with a word are counted on single diagonals.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q = 5
+#: Code points of a gram within a word, and of a gram that begins with a word and may run over several.
+Q, PHRASE = 5, 16
 RUN = 10
 SHARE = 0.8
 STRETCH = 1.5
@@ -60,8 +62,16 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def _grams(padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the q-grams of code points that hold a blank at their ends only."""
+def _hashes(padded: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
+    h = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(q):
+            h = h * _MUL + padded[at + k].astype(np.uint64)
+    return h
+
+
+def _inner_grams(padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, hashes) of the q-grams of code points that hold a blank at their ends only."""
     n = len(padded) - Q + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -70,117 +80,151 @@ def _grams(padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, Q - 1):
         inner |= blank[k : k + n]
     at = np.flatnonzero(~inner)
-    h = np.zeros(len(at), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(Q):
-            h = h * _MUL + padded[at + k].astype(np.uint64)
-    return at, h
+    return (np.cumsum(blank)[at + 1] - 1), _hashes(padded, at, Q)
+
+
+def _phrase_grams(padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, hashes) of the grams of PHRASE code points that begin with a word."""
+    begins = np.flatnonzero(padded[:-1] == 32) + 1
+    at = begins[begins + PHRASE <= len(padded)]
+    return np.arange(len(at)), _hashes(padded, at, PHRASE)
 
 
 def _padded(tokens: list[str]) -> np.ndarray:
     return np.frombuffer((" " + " ".join(tokens) + " ").encode("utf-32-le"), np.uint32)
 
 
-class ItemIndex:
-    """Q-grams of a block of items and the edit-budget bounds of each."""
+class Grams:
+    """Inverted grams of items: which items hold a gram, and at which of their words."""
 
-    def __init__(self, items: list[tuple[int, str | None]]) -> None:
-        parsed = [(i, w) for i, t in items if (w := words(t))]
-        self.ids = [i for i, _ in parsed]
-        self.words = [w for _, w in parsed]
-        self.n = np.array([len(w) for w in self.words], np.int64)
-        grams, owner, at_word = [], [], []
-        self.least_share, self.least_run = [], []
-        for k, w in enumerate(self.words):
-            padded = _padded(w)
-            at, h = _grams(padded)
-            grams.append(h)
-            owner.append(np.full(len(h), k))
-            at_word.append(np.cumsum(padded == 32)[at + 1] - 1)
-            each = np.maximum(np.array([len(x) for x in w]) + 2 - Q + 1, 0)
-            keep = self.needed(len(w))
-            self.least_share.append(int(np.sort(each)[:keep].sum()))
-            runs = np.convolve(each, np.ones(RUN, np.int64), "valid") if len(w) >= RUN else np.array([10**9])
-            self.least_run.append(int(runs.min()))
-        self.least_share, self.least_run = np.array(self.least_share, np.int64), np.array(self.least_run, np.int64)
-        flat = np.concatenate([*grams, np.empty(0, np.uint64)])
-        owner = np.concatenate([*owner, np.empty(0, np.int64)]).astype(np.int64)
-        at_word = np.concatenate([*at_word, np.empty(0, np.int64)]).astype(np.int64)
+    def __init__(self, each: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        flat = np.concatenate([*(h for _, h in each), np.empty(0, np.uint64)])
+        owner = np.concatenate([*(np.full(len(h), k) for k, (_, h) in enumerate(each)), np.empty(0)]).astype(np.int64)
+        at_word = np.concatenate([*(w for w, _ in each), np.empty(0)]).astype(np.int64)
+        self.n_items = len(each)
         self.vocabulary, gid = np.unique(flat, return_inverse=True)
         order = np.argsort(gid, kind="stable")
         self.post_item = owner[order]
         self.post_from = np.searchsorted(gid[order], np.arange(len(self.vocabulary) + 1))
         self.item_gid, self.item_word = [], []
-        for k in range(len(self.ids)):
+        for k in range(len(each)):
             mine = np.flatnonzero(owner == k)
             o = mine[np.argsort(gid[mine], kind="stable")]
             self.item_gid.append(gid[o])
             self.item_word.append(at_word[o])
 
-    @staticmethod
-    def needed(n: int) -> int:
-        return ceil(SHARE * n - 1e-9)
+    def known(self, at_word: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(gram numbers, words) of a document's grams that some item holds."""
+        if not len(self.vocabulary):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        place = np.searchsorted(self.vocabulary, h)
+        place[place == len(self.vocabulary)] = 0
+        hit = self.vocabulary[place] == h
+        return place[hit], at_word[hit]
 
-    def candidates(self, gid: np.ndarray) -> np.ndarray:
-        """Items that share enough distinct grams with a document of these gram numbers."""
+    def shared(self, gid: np.ndarray) -> np.ndarray:
+        """Of each item, how many of its grams are among these."""
         seen = np.unique(gid)
         counts = self.post_from[seen + 1] - self.post_from[seen]
         total = int(counts.sum())
-        if total:
-            starts = np.repeat(self.post_from[seen] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-            shared = np.bincount(self.post_item[starts + np.arange(total)], minlength=len(self.ids))
-        else:
-            shared = np.zeros(len(self.ids), np.int64)
-        return np.flatnonzero(shared >= np.minimum(self.least_share, self.least_run))
+        if not total:
+            return np.zeros(self.n_items, np.int64)
+        starts = np.repeat(self.post_from[seen] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+        return np.bincount(self.post_item[starts + np.arange(total)], minlength=self.n_items)
+
+    def diagonals(self, k: int, gid: np.ndarray, doc_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(diagonal, gram of the item) of each meeting of item k and a document."""
+        mine = self.item_gid[k]
+        low = np.searchsorted(mine, gid, "left")
+        counts = np.searchsorted(mine, gid, "right") - low
+        total = int(counts.sum())
+        if not total:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        index = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(total)
+        return np.repeat(doc_word, counts) - self.item_word[k][index], index
+
+
+class ItemIndex:
+    """Grams of a block of items and the least numbers that a passage of each must share."""
+
+    def __init__(self, items: list[tuple[int, str | None]]) -> None:
+        parsed = [(i, w) for i, t in items if (w := words(t))]
+        self.ids = [i for i, _ in parsed]
+        self.words = [w for _, w in parsed]
+        padded = [_padded(w) for w in self.words]
+        self.inner = Grams([_inner_grams(p) for p in padded])
+        self.phrases = Grams([_phrase_grams(p) for p in padded])
+        self.least_share = np.array([self._least_share(w) for w in self.words], np.int64)
+        self.least_run = np.array([self._least_run(w) for w in self.words], np.int64)
+
+    @classmethod
+    def _least_share(cls, w: list[str]) -> int:
+        """Inner grams of the words that must be there at least: those that have fewest."""
+        each = np.maximum(np.array([len(x) for x in w]) + 2 - Q + 1, 0)
+        return int(np.sort(each)[: cls.needed(len(w))].sum())
+
+    @staticmethod
+    def _least_run(w: list[str]) -> int:
+        """Phrase grams that lie within any RUN consecutive words; with fewer words no run exists."""
+        if len(w) < RUN:
+            return 2**60
+        lengths = [len(x) + 1 for x in w]
+        least = []
+        for a in range(len(w) - RUN + 1):
+            left, inside = sum(lengths[a : a + RUN]) - 1, 0
+            for n in lengths[a : a + RUN]:
+                inside += left >= PHRASE
+                left -= n
+            least.append(inside)
+        return min(least)
+
+    @staticmethod
+    def needed(n: int) -> int:
+        return ceil(SHARE * n - 1e-9)
 
     def leaks(self, tokens: list[str]) -> list[int]:
         """Ids of the items that a document of these words leaks."""
         if not tokens or not self.ids:
             return []
         padded = _padded(tokens)
-        at, h = _grams(padded)
-        place = np.searchsorted(self.vocabulary, h)
-        place[place == len(self.vocabulary)] = 0
-        hit = self.vocabulary[place] == h if len(self.vocabulary) else np.zeros(len(h), bool)
-        gid = place[hit]
-        item_nos = self.candidates(gid)
-        if not len(item_nos):
-            return []
-        doc_word = (np.cumsum(padded == 32)[at + 1] - 1)[hit]
-        return [self.ids[k] for k in item_nos if self._verified(k, gid, doc_word, tokens)]
+        phrase_gid, phrase_word = self.phrases.known(*_phrase_grams(padded))
+        by_run = self.phrases.shared(phrase_gid) >= self.least_run
+        inner_gid, inner_word = self.inner.known(*_inner_grams(padded))
+        by_share = self.inner.shared(inner_gid) >= self.least_share
+        out = []
+        for k in np.flatnonzero(by_run | by_share):
+            if by_run[k] and self._runs(k, phrase_gid, phrase_word, tokens) or by_share[k] and self._shares(k, inner_gid, inner_word, tokens):
+                out.append(self.ids[k])
+        return out
 
-    def _verified(self, k: int, gid: np.ndarray, doc_word: np.ndarray, tokens: list[str]) -> bool:
-        mine, n = self.item_gid[k], int(self.n[k])
-        low, high = np.searchsorted(mine, gid, "left"), np.searchsorted(mine, gid, "right")
-        counts = high - low
-        total = int(counts.sum())
-        index = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(total) if total else np.empty(0, np.int64)
-        diagonal = np.repeat(doc_word, counts) - self.item_word[k][index]
-        least_run, least_share = int(self.least_run[k]), int(self.least_share[k])
-        if n >= RUN:
-            # A run of whole words allows no edit: all its grams lie on one diagonal.
-            if least_run:
-                lines, each = np.unique(diagonal, return_counts=True)
-                lines = lines[each >= least_run]
-            else:
-                lines = np.arange(-n, len(tokens))
-            for d in lines:
-                if _longest_run(self.words[k], tokens, int(d)) >= RUN:
-                    return True
+    def _runs(self, k: int, gid: np.ndarray, doc_word: np.ndarray, tokens: list[str]) -> bool:
+        """A run of whole words allows no edit: all its grams lie on one diagonal."""
+        item, least = self.words[k], int(self.least_run[k])
+        if least:
+            lines, each = np.unique(self.phrases.diagonals(k, gid, doc_word)[0], return_counts=True)
+            lines = lines[each >= least]
+        else:
+            lines = np.arange(-len(item), len(tokens))
+        return any(_longest_run(item, tokens, int(d)) >= RUN for d in lines)
+
+    def _shares(self, k: int, gid: np.ndarray, doc_word: np.ndarray, tokens: list[str]) -> bool:
+        item, least = self.words[k], int(self.least_share[k])
+        n = len(item)
         # Words left out and put in move the diagonal by so much at most.
         width = n - self.needed(n) + floor(STRETCH * n) - self.needed(n) + 1
-        if least_share:
-            first = np.floor_divide(diagonal, width)
+        if least:
+            diagonal, index = self.inner.diagonals(k, gid, doc_word)
+            first, size = np.floor_divide(diagonal, width), len(self.inner.item_gid[k]) + 1
             # Each band is two widths wide and overlaps the next by one; a gram of the item counts once.
-            keys = np.unique(np.concatenate([first, first - 1]) * (len(mine) + 1) + np.concatenate([index, index]))
-            bands, each = np.unique(keys // (len(mine) + 1), return_counts=True)
-            bands = bands[each >= least_share]
+            keys = np.unique(np.concatenate([first, first - 1]) * size + np.concatenate([index, index]))
+            bands, each = np.unique(np.floor_divide(keys, size), return_counts=True)
+            bands = bands[each >= least]
         else:
             bands = np.arange(-n // width - 1, len(tokens) // width + 1)
         for b in bands:
             begin = max(0, int(b) * width)
             end = min(len(tokens), (int(b) + 2) * width + n)
-            if _aligned(self.words[k], tokens[begin:end]):
+            if _aligned(item, tokens[begin:end]):
                 return True
         return False
 
