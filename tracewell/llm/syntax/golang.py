@@ -26,7 +26,7 @@ ASSIGN = frozenset("= += -= *= /= %= &= |= ^= <<= >>= &^=".split())
 
 
 def tokens(src: str) -> list[str]:
-    if src.startswith("﻿"):
+    if src.startswith("\ufeff"):
         src = src[1:]
     if "\0" in src:
         raise Broken("NUL")

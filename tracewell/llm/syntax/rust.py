@@ -28,7 +28,7 @@ _PATH = frozenset(["ID", "self", "Self", "super", "crate"])
 
 
 def tokens(src: str) -> list[str]:
-    if src.startswith("﻿"):
+    if src.startswith("\ufeff"):
         src = src[1:]
     if src.startswith("#!") and not src[2:].lstrip().startswith("["):
         src = src[src.find("\n") :] if "\n" in src else ""
