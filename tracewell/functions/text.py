@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as white space round an identifier (`\\s` in a regular expression plus no-break space).
-EDGE_SPACE = r"^[\s ]+|[\s ]+$"
+EDGE_SPACE = r"^[\s\x{A0}]+|[\s\x{A0}]+$"
 
 
 def squash_id(c: Column) -> Column:
@@ -23,7 +23,7 @@ def canonical_path(c: Column) -> Column:
 
 def digest_hex(c: Column) -> Column:
     """The 64 hexadecimal digits of a SHA-256 digest in lower case; null where there are none."""
-    digits = F.regexp_extract(F.lower(c), r"([0-9a-f]{64})[\s ]*$", 1)
+    digits = F.regexp_extract(F.lower(c), r"([0-9a-f]{64})\s*$", 1)
     return F.when(digits != "", digits)
 
 

@@ -36,7 +36,7 @@ def json_triples(text: str) -> Iterator[Triple]:
     written. A text that is itself a JSON string holding JSON is read through.
     Raises Damaged, after what it gave before, where the text is not complete.
     """
-    text = text.strip(" \t\r\n﻿")
+    text = text.strip(" \t\r\n\ufeff")
     path: list[str] = []
     ordinals: list[int] = []  # one per key of `path`
     stack: list[str] = []  # "{" or "["
