@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import leakage, packing
+from tracewell.llm import leakage, packing, syntax_check
 from tracewell.sources.tables import table
 
 
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    return syntax_check.checked_files(table(spark, d, "source_files"), ["file_id", "repository_id"], "language", "relative_path", "source_text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(spark, d).where("status in ('wrong_language', 'corrupt')").select("file_id").distinct()
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax_check.syntax_rates(_checked(spark, d), "repository_id")
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), "doc_id", "text")
 
@@ -16,4 +28,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
 
 
-QUERIES = {"p8_containers": p8_containers, "p9_found": p9_found}
+QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates, "p8_containers": p8_containers, "p9_found": p9_found}
