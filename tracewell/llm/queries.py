@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import leakage, packing, syntax_check
+from tracewell.llm import handwritten, leakage, packing, syntax_check
 from tracewell.sources.tables import table
 
 
@@ -20,6 +20,10 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax_check.syntax_rates(_checked(spark, d), "repository_id")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "source_files")).select("file_id")
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), "doc_id", "text")
 
@@ -28,4 +32,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
 
 
-QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates, "p8_containers": p8_containers, "p9_found": p9_found}
+QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found}
