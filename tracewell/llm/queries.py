@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import handwritten, leakage, packing, syntax_check
+from tracewell.llm import handwritten, leakage, packing, subjects, syntax_check
 from tracewell.sources.tables import table
 
 
@@ -32,4 +32,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
 
 
-QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
