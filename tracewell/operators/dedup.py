@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import squash_id
+from tracewell.functions.text import distinct_names, squash_id
 from tracewell.operators.skew import skew_join
 
 
@@ -29,14 +29,15 @@ def split_by_frequency(messages: DataFrame, keys: list[str], delivery: str) -> t
     on the map side. Two identifiers with one hash merely travel with the
     repeated ones, where they are told apart.
     """
-    hashed = messages.withColumn("_id", F.xxhash64(*keys))
-    counts = hashed.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
+    id_ = distinct_names(messages.columns, ["_id"])["_id"]
+    hashed = messages.withColumn(id_, F.xxhash64(*keys))
+    counts = hashed.groupBy(id_).agg(F.count(F.lit(1)).alias("n"))
     often = counts.where(F.col("n") > 1)
     # One identifier may hold any share of the messages: the split is a salted join.
     spread = F.col(delivery)
-    single = skew_join(hashed, often.select("_id"), ["_id"], spread, "left_anti", often)
-    again = skew_join(hashed, often.select("_id"), ["_id"], spread, "left_semi", often)
-    return single.drop("_id"), again.drop("_id")
+    single = skew_join(hashed, often.select(id_), [id_], spread, "left_anti", often)
+    again = skew_join(hashed, often.select(id_), [id_], spread, "left_semi", often)
+    return single.drop(id_), again.drop(id_)
 
 
 def repeated_groups(again: DataFrame, keys: list[str], at: str, delivery: str) -> DataFrame:

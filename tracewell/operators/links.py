@@ -44,7 +44,7 @@ def python_relative_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
 
 def python_absolute_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
     """An absolute import that a file of the repository could serve is ambiguous, never exact; others are out of scope."""
-    i = facts.where("fact_kind = 'import' and level = 0 and kind in ('import', 'from')")
+    i = facts.where("fact_kind = 'import' and level = 0 and kind in ('import', 'from')").where(F.col("relative_path").endswith(".py"))
     stem = F.translate("name", ".", "/")
     i = i.withColumn("_options", F.array(F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py"))))
     there = files.select("repository_id", F.col("relative_path").alias("_option"), F.col("relative_path").alias("_target")).distinct()
@@ -55,7 +55,7 @@ def python_absolute_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
 
 def rust_module_files(facts: DataFrame, files: DataFrame) -> DataFrame:
     """`mod n;` is `n.rs` or `n/mod.rs` in the folder of the module's children."""
-    m = facts.where("fact_kind = 'declaration' and kind = 'module'")
+    m = facts.where("fact_kind = 'declaration' and kind = 'module'").where(F.col("relative_path").endswith(".rs"))
     d = I.rust_module_dir(F.col("relative_path"))
     m = m.withColumn("_options", F.array(I.join_dir(d, F.concat("name", F.lit(".rs"))), I.join_dir(d, F.concat("name", F.lit("/mod.rs")))))
     there = files.select("repository_id", F.col("relative_path").alias("_option"), F.col("relative_path").alias("_target")).distinct()

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.text import distinct_names
+
 HOT_SHARE = 512
 SALTS = 32
 #: Below this many probe rows for a key no task is at risk, and a key is not salted.
@@ -20,9 +22,9 @@ HOT_ROWS = 50_000
 def hot_keys(counts: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
     """Keys of more than max(HOT_ROWS, 1/HOT_SHARE of the rows), from per-key counts."""
     # A key of more than total/HOT_SHARE rows: at most HOT_SHARE - 1 of them can exist.
-    big = counts.where(F.col(count) > HOT_ROWS).select(*keys, count)
-    total = counts.agg(F.sum(count).alias("_total"))
-    return big.join(F.broadcast(total), F.col(count) * HOT_SHARE > F.col("_total")).select(*keys)
+    big = counts.where(F.col(count) > HOT_ROWS).select(*keys, F.col(count).alias("__count"), F.lit(1).alias("__one"))
+    total = counts.agg(F.sum(count).alias("__total")).select("__total", F.lit(1).alias("__one"))  # one row
+    return big.join(F.broadcast(total), "__one").where(F.col("__count") * HOT_SHARE > F.col("__total")).select(*keys)
 
 
 def skew_join(
@@ -42,13 +44,15 @@ def skew_join(
     """
     if counts is None:
         counts = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(counts, keys).withColumn("_hot", F.lit(True))
+    name = distinct_names([*probe.columns, *build.columns], ["_hot", "_salt"])
+    hot_, salt = name["_hot"], name["_salt"]
+    hot = hot_keys(counts, keys).withColumn(hot_, F.lit(True))
     left = probe.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+        salt, F.when(F.col(hot_), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
     )
     right = (
         build.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+        .withColumn(salt, F.explode(F.when(F.col(hot_), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        .drop(hot_)
     )
-    return left.drop("_hot").join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.drop(hot_).join(right, [*keys, salt], how).drop(salt)

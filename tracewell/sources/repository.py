@@ -96,7 +96,8 @@ def go_mod_facts(files: DataFrame) -> DataFrame:
     """(relative_path, fact, name, version) of go.mod texts: module, go, require and replace lines, blocks included."""
     text = files.where(I.basename(F.col("relative_path")) == "go.mod")
     lines = text.select("relative_path", F.posexplode(F.split("source_text", "\n")).alias("n", "line"))
-    plain = F.trim(F.regexp_replace("line", r"//.*$", ""))
+    plain = F.regexp_replace("line", r"//.*$|^\s+|\s+$", "")
+    plain = F.regexp_replace(plain, r"\s+$", "")
     opened = F.regexp_extract(plain, r"^(require|replace|exclude|retract)\s*\($", 1)
     # Within one small file: the block a line lies in.
     w = Window.partitionBy("relative_path").orderBy("n")
