@@ -61,6 +61,16 @@ def _range_of(c: Column, ranges: int) -> Column:
     return F.shiftright((F.shiftright(c, 32) + F.lit(2**31)) * F.lit(ranges), 32).cast("int")
 
 
+def _pack(lives: pd.DataFrame) -> pd.DataFrame:
+    """A range's lifetimes as four arrays sorted by the first hash, in one value.
+
+    (A column of arrays would cost a nested null for each reference beside it.)
+    """
+    ordered = lives.sort_values(["k1", "k2", "born", "died"])
+    arrays = np.stack([ordered[n].to_numpy(np.int64) for n in ("k1", "k2", "born", "died")])
+    return pd.DataFrame({"range_no": [lives["range_no"].iloc[0]], "parents": [arrays.tobytes()]})
+
+
 def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Misses of a partition sorted by (range, slice, references last)."""
     at, arrays = None, None
@@ -75,8 +85,8 @@ def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if group[start] != at:
                 at, arrays = group[start], none
             held = part["parents"].notna().to_numpy()
-            for row in part.loc[held, "parents"]:
-                arrays = [np.asarray(row[n], np.int64) for n in ("k1", "k2", "born", "died")]
+            for packed in part.loc[held, "parents"]:
+                arrays = list(np.frombuffer(packed, np.int64).reshape(4, -1))
             refs = part.loc[~held]
             if len(refs):
                 yield _misses(refs, *arrays)
@@ -127,13 +137,10 @@ def orphan_references(refs: DataFrame, lives: DataFrame) -> DataFrame:
     # Fewer than MOST_SLICED ranges can hold more than 1/MOST_SLICED of the rows: that bounds the broadcast.
     total = sizes.agg(F.greatest(F.lit(SLICE_ROWS), F.sum("n") / MOST_SLICED).alias("least")).select("least", F.lit(1).alias("one"))
     hot = sizes.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").where(F.col("n") > F.col("least")).select("range_no", F.ceil(F.col("n") / F.col("least")).cast("int").alias("slices"))
+    packed = lives.withColumn("range_no", _range_of(F.col("k1"), ranges)).groupBy("range_no").applyInPandas(_pack, "range_no int, parents binary")
     arrays = (
-        lives.withColumn("range_no", _range_of(F.col("k1"), ranges))
-        .groupBy("range_no")
-        .agg(F.sort_array(F.collect_list(F.struct("k1", "k2", "born", "died"))).alias("p"))
-        .select("range_no", *[F.col(f"p.{n}").alias(n) for n in ("k1", "k2", "born", "died")])
-        .join(F.broadcast(hot), "range_no", "left")
-        .select("range_no", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1)).alias("slice_no"), F.struct("k1", "k2", "born", "died").alias("parents"))
+        packed.join(F.broadcast(hot), "range_no", "left")
+        .select("range_no", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1)).alias("slice_no"), "parents")
         # No nulls beside the references' numbers: with nulls 64-bit numbers would reach pandas as floats.
         .withColumns({"k1": F.lit(0).cast("long"), "k2": F.lit(0).cast("long"), "at_us": F.lit(TIMELESS)})
     )
