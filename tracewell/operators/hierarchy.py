@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators import skew
 from tracewell.operators.skew import skew_join
 from tracewell.session import written
 
@@ -75,10 +76,11 @@ def _walked(state: DataFrame, tree: list[str]) -> DataFrame:
     over. A walk that passed a node twice is closed as looped.
     """
     state, ended = written(state), []
-    while not (going := state.where("open")).isEmpty():
+    while n := (going := state.where("open")).count():
         ahead = state if not ended else state.unionByName(_all(ended))
         ahead = ahead.select(*tree, F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("seg").alias("_seg"), F.col("open").alias("_open"), F.col("looped").alias("_looped"))
-        moved = skew_join(going, ahead, [*tree, "ptr"], F.col("id"))
+        # So few walks that no key can be hot need no salting.
+        moved = skew_join(going, ahead, [*tree, "ptr"], F.col("id")) if n > skew.HOT_ROWS else going.join(ahead, [*tree, "ptr"])
         seg = F.concat("_seg", "seg")
         looped = F.col("_looped") | (F.size(F.array_distinct(seg)) < F.size(seg))
         ended.append(state.where(~F.col("open")))
