@@ -98,18 +98,21 @@ class Chain:
     def evidence(self, doc: list[list[str]], share: np.ndarray | None = None, index_of: dict[int, int] | None = None) -> np.ndarray:
         """Per subject: share and amount of evidence, share and number of sentences, whether it is the strongest."""
         s = len(self.subjects)
-        mass, lines = np.zeros(s), np.zeros(s)
         share = self.share if share is None else share
+        index, starts = [], []
         for sentence in doc:
-            index = [self.terms[t] for t in sentence if t in self.terms]
+            held = [self.terms[t] for t in sentence if t in self.terms]
+            if held:
+                starts.append(len(index))
+                index += held
+        if index:
             if index_of is not None:
                 index = [index_of[i] for i in index]
-            if not index:
-                continue
-            got = share[index].sum(axis=0)
-            mass += got
-            if got.max() >= 0.5:
-                lines[int(got.argmax())] += 1
+            got = np.add.reduceat(share[index], starts, axis=0).astype(np.float64)
+            mass = got.sum(axis=0)
+            lines = np.bincount(got.argmax(axis=1)[got.max(axis=1) >= 0.5], minlength=s).astype(np.float64)
+        else:
+            mass, lines = np.zeros(s), np.zeros(s)
         total, all_lines = mass.sum(), lines.sum()
         top = mass.max()
         return np.stack(
@@ -156,25 +159,35 @@ class Chain:
 
     def decide(self, text: str, kind: str | None, source: str | None) -> list[str]:
         """The subjects of a text: the most probable combination of the chain."""
-        own = self.evidence(sentences(text))[None]
-        if not own[0, :, 0].any():
-            return []  # nothing in the text speaks for any subject
-        shape = structure(text, kind, source, self.kinds, self.sources)[None]
-        n = len(self.subjects)
-        beam = [(0.0, np.zeros(n))]
+        return self.decide_all([text], [kind], [source])[0]
+
+    def decide_all(self, texts: list[str], kinds: list[str | None], sources: list[str | None]) -> list[list[str]]:
+        """`decide` for a batch: the beams of all documents advance together."""
+        own = np.array([self.evidence(sentences(t)) for t in texts])
+        spoken = own[:, :, 0].any(axis=1)  # else nothing in the text speaks for any subject
+        out: list[list[str]] = [[] for _ in texts]
+        at = np.flatnonzero(spoken)
+        if not len(at):
+            return out
+        own = own[at]
+        shape = np.array([structure(texts[i], kinds[i], sources[i], self.kinds, self.sources) for i in at])
+        n, docs = len(self.subjects), np.arange(len(at))
+        owner, score, chosen = docs, np.zeros(len(at)), np.zeros((len(at), n))
         for k, w in enumerate(self.weights):
-            before = np.array([b for _, b in beam])
-            x = self._rows(k, np.repeat(own, len(beam), axis=0), np.repeat(shape, len(beam), axis=0), before)
-            p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-            grown = []
-            for (score, b), q in zip(beam, p):
-                grown.append((score + np.log1p(-min(q, 1 - 1e-12)), b))
-                yes = b.copy()
-                yes[k] = 1
-                grown.append((score + np.log(max(q, 1e-12)), yes))
-            beam = sorted(grown, key=lambda g: -g[0])[:BEAM]
-        found = [s for s, on in zip(self.subjects, beam[0][1]) if on]
-        return [s for s in found if s != FALLBACK] or found
+            x = self._rows(k, own[owner], shape[owner], chosen)
+            p = np.clip(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))), 1e-12, 1 - 1e-12)
+            yes = chosen.copy()
+            yes[:, k] = 1
+            owner, score, chosen = np.concatenate([owner, owner]), np.concatenate([score + np.log1p(-p), score + np.log(p)]), np.concatenate([chosen, yes])
+            order = np.lexsort((-score, owner))
+            rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+            order = order[rank < BEAM]
+            owner, score, chosen = owner[order], score[order], chosen[order]
+        best = np.searchsorted(owner, docs)  # sorted by document, the most probable first
+        for i, row in zip(at, chosen[best]):
+            found = [s for s, on in zip(self.subjects, row) if on]
+            out[i] = [s for s in found if s != FALLBACK] or found
+        return out
 
 
 def fit_chain(sample: pd.DataFrame) -> bytes:
@@ -225,11 +238,11 @@ def assign_subjects(docs: DataFrame, key: str, text: str, kind: str, source: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain = restore(sent.value[0]) if sent.value else None
         for pdf in batches:
-            out = []
-            for k, t, d, s in zip(pdf["k"], pdf["t"], pdf["d"], pdf["s"]):
-                if chain is not None and isinstance(t, str) and t.strip():
-                    out += [(k, found) for found in chain.decide(t, d, s)]
-            yield pd.DataFrame(out, columns=["k", "subject"])
+            for start in range(0, len(pdf), 512):
+                part = pdf.iloc[start : start + 512]
+                part = part[part["t"].map(lambda t: isinstance(t, str) and bool(t.strip()))]
+                decided = chain.decide_all(list(part["t"]), list(part["d"]), list(part["s"])) if chain is not None and len(part) else []
+                yield pd.DataFrame([(k, found) for k, row in zip(part["k"], decided) for found in row], columns=["k", "subject"])
 
     plain = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(kind).alias("d"), F.col(source).alias("s")).where("k is not null")
     return plain.mapInPandas(run, f"k {type_}, subject string").distinct().withColumnRenamed("k", key)
