@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators import memory, sessions
+from tracewell.operators import memory, sessions, symbols, verify
 from tracewell.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,7 +16,7 @@ SQL: dict[str, str] = {}
 _ID = "nullif(regexp_replace(lower({}), '^\\s+|\\s+$', '', 'g'), '')"
 _J = "json_extract_string(payload, '$.{}')"
 #: One delivery of each event, with what the folds read.
-EV = f"""(SELECT session, number, investigation, repository, event_type, at_us,
+EV = f"""(SELECT delivery_id, session, number, investigation, repository, event_type, at_us,
   {_J.format("path")} AS path, {_J.format("observation_kind")} AS okind, CAST({_J.format("line_start")} AS BIGINT) AS line_start, CAST({_J.format("line_end")} AS BIGINT) AS line_end,
   {_J.format("tool_name")} AS tool_name, {_J.format("model")} AS model, CAST({_J.format("ok")} AS BOOLEAN) AS ok,
   CAST({_J.format("input_tokens")} AS BIGINT) AS input_tokens, CAST({_J.format("output_tokens")} AS BIGINT) AS output_tokens, CAST({_J.format("output_bytes")} AS BIGINT) AS output_bytes
@@ -175,11 +175,14 @@ def _(s, d):
     "similar_sessions",
     f"""WITH p AS (SELECT DISTINCT session AS entry, path FROM {SEEN}), z AS (SELECT entry, count(*) AS size FROM p GROUP BY 1),
     h AS (SELECT a.entry AS query, b.entry, count(*) AS shared FROM p a JOIN p b ON a.path = b.path AND a.entry <> b.entry GROUP BY 1, 2)
-    SELECT query, h.entry, shared, shared / (z.size + q.size - shared) AS similarity FROM h JOIN z ON z.entry = h.entry JOIN z q ON q.entry = h.query""",
+    SELECT query, h.entry, shared, shared / (z.size + q.size - shared) AS similarity FROM h JOIN z ON z.entry = h.entry JOIN z q ON q.entry = h.query
+    WHERE query IN (SELECT session FROM (SELECT session, min(delivery_id) AS first FROM {EV} GROUP BY 1) WHERE first % 20 = 0)""",
 )
 def _(s, d):
-    p = memory.entries(seen(s, d))
-    return memory.similar_entries(p, p.select("entry").distinct())
+    # The sessions whose first delivery id is divisible by 20 are asked, against all.
+    e = events(s, d)
+    asked = e.groupBy(F.col("session").alias("entry")).agg(F.min("delivery_id").alias("first")).where("first % 20 = 0").select("entry")
+    return memory.similar_entries(memory.entries(sessions.observations(e)), asked)
 
 
 @query("session_digests", f"SELECT entry, sha256(string_agg(path, chr(10) ORDER BY path)) AS digest FROM (SELECT DISTINCT session AS entry, path FROM {SEEN}) GROUP BY 1")
@@ -187,6 +190,37 @@ def _(s, d):
     return memory.digests(memory.entries(seen(s, d)))
 
 
+@query(
+    "symbol_exposures",
+    f"""WITH o AS (SELECT session || ':' || number AS observation_id, repository AS repository_id, path AS relative_path, line_start, line_end FROM {SEEN} WHERE line_end >= line_start),
+    d AS (SELECT DISTINCT repository_id, relative_path, declaration_id, span.row_start AS a, span.row_end + 1 AS b FROM declarations WHERE deleted_at IS NULL),
+    m AS (SELECT o.observation_id, d.*, CASE WHEN NOT (line_start - 1 < b AND a < line_end) THEN 'none' WHEN a <= line_start - 1 AND line_end <= b AND NOT (a = line_start - 1 AND b = line_end) THEN 'inside' WHEN line_start - 1 <= a AND b <= line_end THEN 'covers' ELSE 'partial' END AS overlap FROM o JOIN d ON d.repository_id = o.repository_id AND d.relative_path = o.relative_path)
+    SELECT observation_id, repository_id, relative_path, declaration_id, overlap, row_number() OVER (PARTITION BY observation_id ORDER BY b - a, declaration_id) - 1 AS depth FROM m WHERE overlap <> 'none'""",
+)
+def _(s, d):
+    return symbols.symbol_exposures(_observed(s, d), _declared(s, d))
+
+
+def _observed(s, d):
+    return seen(s, d).select(F.concat_ws(":", "session", F.col("number").cast("string")).alias("observation_id"), F.col("repository").alias("repository_id"), F.col("path").alias("relative_path"), "line_start", "line_end", "session", "investigation")
+
+
+def _declared(s, d):
+    return table(s, d, "declarations").where("deleted_at is null").select("repository_id", "relative_path", "declaration_id", "span").distinct()
+
+
+@query("symbol_activity")
+def _(s, d):
+    o = _observed(s, d)
+    return symbols.symbol_activity(symbols.symbol_exposures(o, _declared(s, d)), o)
+
+
+@query("verify_fold", "SELECT NULL::VARCHAR AS id, NULL::VARCHAR AS reason WHERE false")
+def _(s, d):
+    f = sessions.session_fold(events(s, d))
+    return verify.verify_fold(f, sessions.investigation_fold(f))
+
+
 @query("event_type_counts", f"SELECT event_type, count(*) AS n FROM {EV} GROUP BY 1")
 def _(s, d):
     return events(s, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import identifiers as I
 from tracewell.functions.text import squash_id
-from tracewell.operators import graph, joins, lookups
+from tracewell.operators import graph, joins, lookups, symbols, verify
+from tracewell.operators import query as text_query
 from tracewell.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -497,3 +498,60 @@ def _(s, d):
 @query("token_estimates", "SELECT doc_id, CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL")
 def _(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", I.token_estimate(F.col("text")).cast("long").alias("tokens"))
+
+
+# text queries, symbols, integrity
+
+
+@query("text_query")
+def _(s, d):
+    return text_query.run(text_query.QueryPlan("apply batch", max_results=20), nodes(s, d))
+
+
+@query("text_query_related")
+def _(s, d):
+    plan, n = text_query.QueryPlan("apply batch", intent="related", max_results=20), nodes(s, d)
+    return text_query.expand(plan, text_query.run(plan, n), n, edges(s, d))
+
+
+@query("packet_budget", f"SELECT repository_id, node_id, size FROM (SELECT *, sum(size) OVER (PARTITION BY repository_id ORDER BY node_key, node_id ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT repository_id, node_id, node_key, length(node_key) AS size FROM {N})) WHERE used <= 2000")
+def _(s, d):
+    n = nodes(s, d).select("repository_id", "node_id", "node_key", F.length("node_key").alias("size"))
+    return text_query.fit_budget(n, ["repository_id"], ["node_key", "node_id"], "size", 2000).select("repository_id", "node_id", "size")
+
+
+@query("scope_chain_pairs")
+def _(s, d):
+    from tracewell.operators.hierarchy import latest_rows
+
+    newest = latest_rows(table(s, d, "scopes"), ["repository_id", "relative_path", "scope_id"], "ingested_at", ["parent_scope_id"])
+    return symbols.scope_chains(newest)
+
+
+@query("lexical_candidates")
+def _(s, d):
+    from tracewell.operators.hierarchy import latest_rows
+
+    newest = latest_rows(table(s, d, "scopes"), ["repository_id", "relative_path", "scope_id"], "ingested_at", ["parent_scope_id"])
+    decls = declarations(s, d).select("repository_id", "relative_path", "declaration_id", "scope_id", "decl_kind", "decl_name").distinct()
+    # Each field and variant is taken as a use of its name.
+    uses = decls.where(F.col("decl_kind").isin("field", "variant")).select(F.concat_ws("#", "repository_id", "relative_path", F.col("declaration_id").cast("string")).alias("use_id"), "repository_id", "relative_path", "scope_id", F.col("decl_name").alias("name"))
+    return symbols.lexical_candidates(uses, decls, symbols.scope_chains(newest), ["function", "method", "constant", "class", "struct"])
+
+
+@query("verify_links", f"""WITH l AS {L}, bad AS (SELECT link_id AS id, 'cardinality' AS reason FROM l WHERE NOT coalesce(CASE outcome WHEN 'exact' THEN coalesce(len(targets), 0) = 1 WHEN 'ambiguous' THEN coalesce(len(targets), 0) > 1 ELSE coalesce(len(targets), 0) = 0 END, false)),
+    lost AS (SELECT link_id AS id, 'entity' AS reason FROM (SELECT link_id, lower(trim(t.entity_id)) AS e FROM (SELECT link_id, unnest(targets) AS t FROM l) WHERE t.entity_id IS NOT NULL) WHERE e NOT IN (SELECT lower(trim(entity_id)) FROM entities))
+    SELECT DISTINCT * FROM bad UNION SELECT DISTINCT * FROM lost""")
+def _(s, d):
+    return verify.verify_links(links(s, d), table(s, d, "entities"))
+
+
+@query("verify_candidates", f"""WITH c AS {C} SELECT DISTINCT record_id AS id, 'cardinality' AS reason FROM c WHERE NOT CASE outcome WHEN 'single_candidate' THEN coalesce(len(candidates), 0) = 1 WHEN 'multiple_candidates' THEN coalesce(len(candidates), 0) > 1 ELSE coalesce(len(candidates), 0) = 0 END
+    UNION SELECT record_id, 'repeated candidate' FROM c WHERE len(list_distinct(list_transform(candidates, lambda x: coalesce(x.relative_path, '?') || '#' || coalesce(x.declaration_id, -1)))) < len(candidates)""")
+def _(s, d):
+    return verify.verify_candidates(candidates(s, d))
+
+
+@query("verify_graph")
+def _(s, d):
+    return verify.verify_graph(nodes(s, d), edges(s, d))
