@@ -221,3 +221,62 @@ def test_late_buckets_fall_out(spark):
     us = lambda d: int((datetime(2025, 1, 1) + timedelta(days=d)).timestamp()) * 1_000_000
     s = spark.createDataFrame([("r", "p", us(0), "x", "i", "s"), ("r", "p", us(401), "x", "i", "s"), ("r", "p", us(402), "x", "i", "s"), ("r", "p", None, "x", "i", "s")], "repository string, path string, at_us long, kind string, investigation string, session string")
     assert sessions.daily_buckets(s).count() == 2 and sessions.path_activity(s).first().n == 4
+
+
+def test_hierarchy_and_import_candidates(spark, facts):
+    f, files = facts
+    assert [(r.rule_id, r.outcome, list(r.targets)) for r in links.php_hierarchy(f).collect()] == [("php.class.extends", "exact", ["v.php#1"])]
+    tree = links.rust_crate_tree(f, files)
+    assert rows(tree.select("root", "relative_path", "depth")) == [("src/lib.rs", "src/lib.rs", 0), ("src/lib.rs", "src/one.rs", 1)]
+    resolved = links.python_relative_imports(f, files)
+    got = {(r.relative_path, r.name, r.outcome) for r in links.imported_candidates(f, resolved).collect()}
+    assert got == {("a/__init__.py", "f", "single_candidate"), ("u.php", "f", "no_candidate")}  # the link of the second is not resolved
+    go = links.go_package_calls(f, spark.createDataFrame([("r", "example.com/r", "")], "repository_id string, module string, root string"))
+    assert [(r.name, r.outcome) for r in go.collect()] == [("fmt.Println", "out_of_scope")]
+
+
+def test_go_package_calls(spark):
+    texts = {"a/x.go": 'package a\nimport "m/b"\nfunc f() { b.Do(); b.hidden(); b.Mixed(); b.Gone(); c.Do() }\n', "b/y.go": "package b\nfunc Do() {}\nfunc hidden() {}\nfunc Mixed() {}\n", "b/z.go": "package b\nvar Mixed = 1\n"}
+    files = spark.createDataFrame([("r", p, t) for p, t in texts.items()], "repository_id string, relative_path string, source_text string").withColumn("lang", F.lit("go"))
+    f = extract.source_facts(files, ["repository_id", "relative_path"], "lang", "source_text").cache()
+    got = {r.name: (r.outcome, list(r.candidates)) for r in links.go_package_calls(f, spark.createDataFrame([("r", "m", "")], "repository_id string, module string, root string")).collect()}
+    assert got == {"b.Do": ("single_candidate", ["b/y.go#1"]), "b.hidden": ("no_candidate", []), "b.Mixed": ("no_candidate", []), "b.Gone": ("no_candidate", []), "c.Do": ("out_of_scope", [])}
+
+
+def test_typed_receivers(spark):
+    w = spark.createDataFrame([("r", "f", "$x", 1, "A"), ("r", "f", "$x", 5, None), ("r", "f", "$x", 7, "B"), ("r", "f", "$x", 8, "C"), ("r", "f", "$x", 20, None), ("r", "f", "$x", 99, "Z")], "repository_id string, relative_path string, receiver string, at long, class string")
+    c = spark.createDataFrame([(1, "r", "f", "$x", 3), (2, "r", "f", "$x", 6), (3, "r", "f", "$x", 10), (4, "r", "f", "$x", 30), (5, "r", "f", "$y", 30)], "call_id long, repository_id string, relative_path string, receiver string, at long")
+    got = {r.call_id: r.classes for r in links.php_typed_receivers(c, w).collect()}
+    assert got == {1: ["A"], 2: None, 3: ["B", "C"], 4: None, 5: None}
+
+
+def test_recovery_regions(spark):
+    f = spark.createDataFrame([(1, "go", 'func f() { "}" }'), (2, "go", "func f() { /* } */"), (3, "python", "x = 1\ny = (\n"), (4, "rust", "fn f() )"), (5, None, "x"), (6, "go", None), (7, "php", "<?php [é] }")], "k long, l string, t string")
+    got = {r.k: (r.status, r.byte_start, r.byte_end) for r in extract.recovery_regions(f, ["k"], "l", "t").collect()}
+    assert got == {1: ("clean", None, None), 2: ("recovered", 9, 18), 3: ("recovered", 6, 12), 4: ("recovered", 7, 8), 5: ("clean", None, None), 6: ("clean", None, None), 7: ("recovered", 11, 12)}
+
+
+def test_incremental_fold_equals_whole(spark, small):
+    e = sessions.clean_events(spark.read.parquet(f"{small}/agent_events.parquet"))
+    stored = sessions.session_fold(e.where("number <= 30"))
+    assert rows(sessions.derive_incrementally(stored, e)) == rows(sessions.session_fold(e))
+
+
+def test_mentions_and_reports(spark):
+    t = spark.createDataFrame([(1, "r", "see `a/b.py:12`, ./a/b.py and c.go#L3-L9. or A/b.py"), (2, "s", "a/b.py"), (3, "r", None)], "doc_id long, repository_id string, text string")
+    k = spark.createDataFrame([("r", "a/b.py"), ("r", "c.go")], "repository_id string, relative_path string")
+    m = sessions.path_mentions(t, "doc_id", "text", k)
+    assert rows(m) == [(1, "r", "a/b.py"), (1, "r", "c.go")]
+    assert rows(sessions.mention_counts(m, "doc_id")) == [("r", "a/b.py", 1), ("r", "c.go", 1)]
+    u = spark.createDataFrame([("k", 0), ("k", 3), ("k", 1)], "k string, used long")
+    assert rows(sessions.utility_counts(u, ["k"], "used")) == [("k", 3, 2)]
+    g = spark.createDataFrame([("f", "r", "i"), ("f", "s", "i")], "family string, reason string, intent string")
+    assert sorted(r.n for r in sessions.gap_report(g).collect()) == [1, 1, 2, 2, 2]
+
+
+def test_git_metadata_and_packet_forms(spark, tmp_path):
+    assert tuple(repository.git_metadata(spark, str(tmp_path)).first()) == (None, None, None)
+    f = spark.createDataFrame([("q", "n1", "file", "file:a", "a")], "query string, node_id string, node_kind string, node_key string, label string")
+    r = spark.createDataFrame([("q", "has", "n1", "n1", "fact", None)], "query string, edge_kind string, source string, target string, evidence_class string, candidate_set_id string")
+    assert packet.packet_json(f, r).first().packet == '{"query":"q","facts":[{"node_key":"file:a","node_kind":"file","label":"a"}],"relations":[{"edge_kind":"has","source":"n1","target":"n1","evidence_class":"fact"}]}'
+    assert "n1 -has-> n1 (fact)" in packet.packet_human(f, r).first().packet

@@ -23,7 +23,7 @@ Fact = tuple[str, int, str, str, str, str, int, int, int]
 class _Facts:
     def __init__(self) -> None:
         self.rows: list[Fact] = []
-        self.count = {"declaration": 0, "import": 0, "call": 0}
+        self.count = {"declaration": 0, "import": 0, "call": 0, "reference": 0}
 
     def add(self, fact: str, scope: str, kind: str, name: str, start: int, end: int, target: str = "", level: int = 0) -> None:
         self.rows.append((fact, self.count[fact], scope, kind, name, target, level, start, end))
@@ -46,6 +46,9 @@ class _Python(ast.NodeVisitor):
     def _inner(self, node, kind: str, label: str) -> None:
         # Decorators, defaults and bases belong to the scope around.
         self.out.add("declaration", self.name(), kind, label, *self.at(node))
+        for base in getattr(node, "bases", []):
+            if isinstance(base, (ast.Name, ast.Attribute)):
+                self.out.add("reference", self.name(), "extends", ast.unparse(base), *self.at(base), target=label)
         for outer in [*node.decorator_list, *getattr(node, "bases", []), *getattr(node, "keywords", [])]:
             self.visit(outer)
         if hasattr(node, "args"):
@@ -145,6 +148,9 @@ _NO_CALL = {
 }
 
 
+_PHP_HEAD = re.compile(r"\b(?:class|interface|enum)\s+(\w+)[^{};]*?(?:\sextends\s+([\w\\,\s]+?))?(?:\simplements\s+([\w\\,\s]+?))?\s*\{")
+
+
 def _blanked(language: str, text: str) -> str:
     """The text with strings and comments replaced by as many blanks (line breaks kept)."""
     return _BLANK[language].sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
@@ -216,6 +222,12 @@ def facts_of(language: str | None, text: str | None) -> list[Fact]:
     for start, kind, name, end in sorted(found):
         out.add("declaration", "", kind, name, start, end)
     _imports(language, text, code, out)
+    if language == "php":
+        for m in _PHP_HEAD.finditer(code):
+            for kind, body in (("extends", m.group(2)), ("implements", m.group(3))):
+                for part in (body or "").split(","):
+                    if part.strip():
+                        out.add("reference", "", kind, part.strip(), m.start(), m.end(), target=m.group(1))
     declared = {s for s, *_ in found}
     for m in _CALLED[language].finditer(code):
         g = 1 if m.group(1) else 2
@@ -247,3 +259,58 @@ def source_facts(files: DataFrame, carried: list[str], language: str, text: str)
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), FACTS])
     return files.select(*carried, F.col(language).alias("_lang"), F.col(text).cast("string").alias("_text")).mapInPandas(run, schema)
+
+
+_BRACKETS = {"(": ")", "[": "]", "{": "}"}
+
+
+def damage(language: str | None, text: str | None) -> tuple[int, int] | None:
+    """The byte range at which a text stops making sense, None for a sound one.
+
+    Python: the place of the syntax error; Go, Rust and PHP: the first bracket
+    that does not match, strings and comments set aside.
+    """
+    if text is None or language is None:
+        return None
+    if language == "python":
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(text)
+            return None
+        except SyntaxError as e:
+            lines = text.encode().splitlines(keepends=True)
+            start = sum(map(len, lines[: (e.lineno or 1) - 1]))
+            return start, start + (len(lines[e.lineno - 1]) if e.lineno and e.lineno <= len(lines) else 0)
+        except (ValueError, RecursionError, MemoryError):
+            return 0, len(text.encode())
+    if language not in _BLANK:
+        return None
+    code, open_ = _blanked(language, text), []
+    for m in re.finditer(r"[()\[\]{}]", code):
+        c = m.group()
+        if c in _BRACKETS:
+            open_.append((_BRACKETS[c], m.start()))
+        elif not open_ or open_.pop()[0] != c:
+            at = len(text[: m.start()].encode())
+            return at, at + 1
+    if open_:
+        return len(text[: open_[0][1]].encode()), len(text.encode())
+    return None
+
+
+def recovery_regions(files: DataFrame, carried: list[str], language: str, text: str) -> DataFrame:
+    """(carried, status, byte_start, byte_end): `clean`, or `recovered` with where the damage begins."""
+    types = {f.name: f.dataType.simpleString() for f in files.schema.fields}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [damage(lang, body) for lang, body in zip(pdf["_lang"], pdf["_text"])]
+            out = pdf.drop(columns=["_lang", "_text"])
+            out["status"] = ["recovered" if f else "clean" for f in found]
+            out["byte_start"] = pd.array([f[0] if f else None for f in found], dtype="Int64")
+            out["byte_end"] = pd.array([f[1] if f else None for f in found], dtype="Int64")
+            yield out
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), "status string, byte_start long, byte_end long"])
+    return files.select(*carried, F.col(language).alias("_lang"), F.col(text).cast("string").alias("_text")).mapInPandas(run, schema)

@@ -193,3 +193,94 @@ def call_candidates(facts: DataFrame) -> DataFrame:
     t = F.array_sort(t)
     outcome = F.when(F.size(t) == 0, "no_candidate").when(F.size(t) == 1, "single_candidate").otherwise("multiple_candidates")
     return j.select("repository_id", "relative_path", "fact_id", "name", outcome.alias("outcome"), t.alias("candidates"))
+
+
+def php_hierarchy(facts: DataFrame) -> DataFrame:
+    """`extends` and `implements`: the written name by the file's aliases and namespace, without regard to case."""
+    php = facts.where(F.col("relative_path").endswith(".php"))
+    keys = ["repository_id", "relative_path"]
+    refs = php.where("fact_kind = 'reference'").withColumnRenamed("kind", "_how")
+    space = php.where("fact_kind = 'declaration' and kind = 'namespace'").groupBy(*keys).agg(F.min_by("name", "byte_start").alias("_ns"))
+    alias = php.where("fact_kind = 'import' and kind = 'class'").groupBy(*keys).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.lower("target"), "name")))).alias("_al"))
+    none = F.create_map().cast("map<string,string>")
+    r = refs.join(space, keys, "left").join(alias, keys, "left")
+    r = r.withColumn("_options", F.array(F.lower(I.php_class_fqn(F.col("name"), F.col("_ns"), F.coalesce("_al", none)))))
+    options = php_names(facts).select("repository_id", F.lower("fqn").alias("_option"), F.concat_ws("#", "relative_path", F.col("fact_id").cast("string")).alias("_target"))
+    return _record(_matched(r, options, ["repository_id", "_option"], "_target"), F.concat(F.lit("php.class."), F.col("_how")), F.col("_t"))
+
+
+def rust_crate_tree(facts: DataFrame, files: DataFrame, depth: int = 64) -> DataFrame:
+    """(repository_id, root, relative_path, depth): the files that `mod` declarations reach from each crate root."""
+    from tracewell.operators.graph import bounded_search
+
+    step = rust_module_files(facts, files).where("size(targets) > 0")
+    key = lambda p: F.concat_ws("|", "repository_id", p)
+    edges = step.select("repository_id", "relative_path", F.explode("targets").alias("t")).select(key(F.col("relative_path")).alias("source"), key(F.col("t")).alias("target"))
+    roots = files.where(F.col("relative_path").rlike(r"(^|/)(lib|main)\.rs$")).select(key(F.col("relative_path")).alias("node_id"))
+    part = lambda c, i: F.split(c, r"\|").getItem(i)
+    return bounded_search(edges, roots, depth, None).select(part(F.col("seed"), 0).alias("repository_id"), part(F.col("seed"), 1).alias("root"), part(F.col("node_id"), 1).alias("relative_path"), "depth")
+
+
+def imported_candidates(facts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Plain calls of an imported name: the functions among the targets of its import link.
+
+    `resolved`: links of imports whose targets are `path#declaration` or paths
+    (then a declaration of the imported name in that file). An exact link to
+    something else than a function, and an unresolved one, give no candidate.
+    """
+    keys = ["repository_id", "relative_path"]
+    imports = facts.where("fact_kind = 'import' and target <> ''").select(*keys, F.col("fact_id").alias("_i"), F.col("target").alias("_alias"))
+    calls = facts.where("fact_kind = 'call' and kind = 'plain'").select(*keys, F.col("fact_id").alias("_c"), F.col("name").alias("_alias"))
+    links = resolved.select(*keys, F.col("fact_id").alias("_i"), F.explode_outer("targets").alias("_t"))
+    met = calls.join(imports, [*keys, "_alias"]).join(links, [*keys, "_i"], "left")
+    fns = facts.where("fact_kind = 'declaration' and kind = 'function'").select("repository_id", F.col("relative_path").alias("_p"), F.col("name").alias("_alias"), F.col("fact_id").alias("_d"))
+    met = met.withColumn("_p", F.substring_index("_t", "#", 1)).join(fns, ["repository_id", "_p", "_alias"], "left")
+    whole = F.concat_ws("#", "_p", F.col("_d").cast("string"))
+    hit = F.when(F.col("_d").isNotNull() & (~F.col("_t").contains("#") | (F.col("_t") == whole)), whole)
+    c = met.groupBy(*keys, F.col("_c").alias("fact_id"), F.col("_alias").alias("name")).agg(F.sort_array(F.collect_set(hit)).alias("candidates"))
+    outcome = F.when(F.size("candidates") == 0, "no_candidate").when(F.size("candidates") == 1, "single_candidate").otherwise("multiple_candidates")
+    return c.select(*keys, "fact_id", "name", outcome.alias("outcome"), "candidates")
+
+
+def go_package_calls(facts: DataFrame, modules: DataFrame) -> DataFrame:
+    """`pkg.Func` calls: out of scope unless pkg is an import of the repository's module; then its exported functions.
+
+    A name that another declaration of the package shares has no candidate.
+    """
+    keys = ["repository_id", "relative_path"]
+    go = facts.where(F.col("relative_path").endswith(".go"))
+    operand, func = I.go_selector(F.col("name"))
+    calls = go.where("fact_kind = 'call' and kind = 'member'").select(*keys, F.col("fact_id").alias("_c"), "name", operand.alias("_pkg"), func.alias("_f")).where("_pkg <> ''")
+    imports = go.where("fact_kind = 'import'").select(*keys, F.col("fact_id").alias("_i"), F.when(F.col("target") != "", F.col("target")).otherwise(F.substring_index("name", "/", -1)).alias("_pkg"))
+    targets = go_imports(facts, modules).select(*keys, F.col("fact_id").alias("_i"), F.col("outcome").alias("_o"), F.explode_outer("targets").alias("_t"))
+    pool = (
+        go.where("fact_kind = 'declaration'")
+        .groupBy("repository_id", I.directory(F.col("relative_path")).alias("_dir"), F.col("name").alias("_f"))
+        .agg(F.collect_set(F.when(F.col("kind") == "function", F.concat_ws("#", "relative_path", F.col("fact_id").cast("string")))).alias("_fns"), F.max(~F.col("kind").isin("function", "method")).alias("_mixed"))
+    )
+    met = calls.join(imports, [*keys, "_pkg"], "left").join(targets, [*keys, "_i"], "left").withColumn("_dir", F.substring_index("_t", ":", 1)).join(pool, ["repository_id", "_dir", "_f"], "left")
+    none = F.array().cast("array<string>")
+    usable = I.go_exported(F.col("_f")) & ~F.coalesce("_mixed", F.lit(False))
+    per = met.groupBy(*keys, F.col("_c").alias("fact_id"), "name").agg(
+        F.max(F.col("_i").isNotNull() & (F.col("_o") != "out_of_scope")).alias("_in"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(usable, F.coalesce("_fns", none)).otherwise(none))))).alias("candidates"),
+    )
+    n = F.size("candidates")
+    outcome = F.when(~F.coalesce("_in", F.lit(False)), "out_of_scope").when(n == 0, "no_candidate").when(n == 1, "single_candidate").otherwise("multiple_candidates")
+    return per.select(*keys, "fact_id", "name", outcome.alias("outcome"), F.when(outcome == "out_of_scope", none).otherwise(F.col("candidates")).alias("candidates"))
+
+
+def php_typed_receivers(calls: DataFrame, writes: DataFrame) -> DataFrame:
+    """Classes a receiver may hold at each call: (call_id, classes), null after an opaque write.
+
+    `calls`: call_id, repository_id, relative_path, receiver, at; `writes`:
+    repository_id, relative_path, receiver, at, class (null for an opaque write).
+    Only writes before the call count, from the last opaque one on; if that is
+    the last write of all, the class is unknown.
+    """
+    keys = ["repository_id", "relative_path", "receiver"]
+    met = calls.join(writes.select(*keys, F.col("at").alias("_w"), "class"), keys).where(F.col("_w") < F.col("at"))
+    last = met.groupBy("call_id").agg(F.max(F.when(F.col("class").isNull(), F.col("_w"))).alias("_opaque"))
+    known = met.join(last, "call_id").where(F.col("class").isNotNull() & (F.col("_opaque").isNull() | (F.col("_w") > F.col("_opaque"))))
+    per = known.groupBy("call_id").agg(F.sort_array(F.collect_set("class")).alias("classes"))
+    return calls.select("call_id").join(per, "call_id", "left")

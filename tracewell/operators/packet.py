@@ -45,6 +45,21 @@ def render_packets(facts: DataFrame, relations: DataFrame) -> DataFrame:
     )
 
 
+def packet_json(facts: DataFrame, relations: DataFrame) -> DataFrame:
+    """(query, packet): the same answer as one JSON object, arrays in canonical order."""
+    f = facts.distinct().groupBy("query").agg(F.sort_array(F.collect_list(F.struct("node_key", "node_kind", "label"))).alias("facts"))
+    r = relations.distinct().groupBy("query").agg(F.sort_array(F.collect_list(F.struct("edge_kind", "source", "target", "evidence_class", "candidate_set_id"))).alias("relations"))
+    return f.join(r, "query", "left").select("query", F.to_json(F.struct("query", "facts", "relations")).alias("packet"))
+
+
+def packet_human(facts: DataFrame, relations: DataFrame) -> DataFrame:
+    """(query, packet): the same answer as indented lines for people."""
+    f = facts.distinct().select("query", F.lit(1).alias("p"), F.format_string("  %s  %s  %s", "node_kind", "node_key", F.coalesce("label", F.lit(""))).alias("line"))
+    r = relations.distinct().select("query", F.lit(2).alias("p"), F.format_string("  %s -%s-> %s (%s)", "source", "edge_kind", "target", "evidence_class").alias("line"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "line"))), lambda x: x.line), "\n")
+    return f.unionByName(r).groupBy("query").agg(body.alias("packet"))
+
+
 @dataclass
 class Packet:
     query: str | None = None

@@ -202,3 +202,37 @@ def mined_recipes(df: DataFrame, owner: list[str], term: str, least: int = 2) ->
     """Sorted term sets that at least `least` owners share: (terms, n)."""
     sets = df.groupBy(*owner).agg(F.array_join(F.sort_array(F.collect_set(term)), ",").alias("terms"))
     return sets.groupBy("terms").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def derive_incrementally(stored: DataFrame, events: DataFrame) -> DataFrame:
+    """Session parts after new events: only events past each session's stored last number are folded, then merged."""
+    offset = stored.select("session", F.col("last_number").alias("_last"))
+    new = events.join(offset, "session", "left").where(F.col("_last").isNull() | (F.col("number") > F.col("_last"))).drop("_last")
+    return merge_parts(stored.unionByName(session_fold(new)))
+
+
+def path_mentions(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
+    """(key, repository_id, relative_path): known paths that a text of the repository names.
+
+    Words with a `/` or an extension are taken, without surrounding marks and a
+    line reference (`:12`, `#L12`). Repeated mentions come out once.
+    """
+    word = F.explode(F.split(F.col(text), r"[\s`'\"()\[\]{}<>,;]+"))
+    plain = F.regexp_replace(F.regexp_replace("_w", r"^\./|[.:!?*]+$", ""), r"(?:#L?\d+(?:-L?\d+)?|:\d+(?:[:-]\d+)?)$", "")
+    said = texts.where(F.col(text).isNotNull()).select(key, "repository_id", word.alias("_w")).where(F.col("_w").rlike(r"[./]")).select(key, "repository_id", plain.alias("relative_path")).distinct()
+    return said.join(known.select("repository_id", "relative_path").distinct(), ["repository_id", "relative_path"]).select(key, "repository_id", "relative_path")
+
+
+def mention_counts(mentions: DataFrame, owner: str) -> DataFrame:
+    """Distinct owners per path."""
+    return mentions.groupBy("repository_id", "relative_path").agg(F.countDistinct(owner).alias("n_owners"))
+
+
+def utility_counts(rows: DataFrame, keys: list[str], used: str) -> DataFrame:
+    """Observations and uses per key, a use counting once however often."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.least(F.col(used), F.lit(1))).alias("n_used"))
+
+
+def gap_report(gaps: DataFrame) -> DataFrame:
+    """Gaps overall and by family, reason and intent: one pass over grouping sets."""
+    return gaps.groupingSets([[], ["family"], ["reason"], ["intent"]], "family", "reason", "intent").agg(F.count(F.lit(1)).alias("n"))

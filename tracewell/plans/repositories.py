@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import identifiers as I
-from tracewell.operators import extract, graph, links, packet
+from tracewell.operators import extract, graph, links, packet, sessions
 from tracewell.plans import reference
 from tracewell.session import checkpoint_dir, written
 from tracewell.sources.repository import language_by_path
@@ -61,6 +61,7 @@ for _name, _rule in {
     "links_rust_modules": lambda f, p: links.rust_module_files(f, p),
     "links_rust_uses": lambda f, p: links.rust_use_paths(f, p),
     "links_go_packages": lambda f, p: links.go_packages(f),
+    "links_php_hierarchy": lambda f, p: links.php_hierarchy(f),
     "links_php_uses": lambda f, p: links.php_uses(f),
     "links_php_namespaces": lambda f, p: links.php_namespaces(f),
 }.items():
@@ -70,8 +71,42 @@ for _name, _rule in {
 @query("links_go_imports")
 def _(s, d):
     # No go.mod is among the files: every repository is taken as the module of its own name.
-    modules = sources(s, d).select("repository_id").distinct().select("repository_id", F.concat(F.lit("example.com/"), "repository_id").alias("module"), F.lit("").alias("root"))
-    return _flat(links.go_imports(facts(s, d), modules), "targets")
+    return _flat(links.go_imports(facts(s, d), _modules(s, d)), "targets")
+
+
+def _modules(s, d):
+    return sources(s, d).select("repository_id").distinct().select("repository_id", F.concat(F.lit("example.com/"), "repository_id").alias("module"), F.lit("").alias("root"))
+
+
+@query("rust_crate_tree")
+def _(s, d):
+    return links.rust_crate_tree(facts(s, d), sources(s, d).select("repository_id", "relative_path"))
+
+
+@query("call_candidates_imported")
+def _(s, d):
+    f, p = facts(s, d), sources(s, d).select("repository_id", "relative_path")
+    return _flat(links.imported_candidates(f, links.rust_use_paths(f, p).unionByName(links.python_relative_imports(f, p))), "candidates")
+
+
+@query("call_candidates_go_packages")
+def _(s, d):
+    return _flat(links.go_package_calls(facts(s, d), _modules(s, d)), "candidates")
+
+
+@query("recovery_regions")
+def _(s, d):
+    return extract.recovery_regions(sources(s, d), ["repository_id", "relative_path"], "lang", "source_text")
+
+
+@query(
+    "path_mentions",
+    r"""WITH w AS (SELECT doc_id, repository_id, unnest(regexp_split_to_array(text, '[\s`''"()\[\]{}<>,;]+')) AS w FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT DISTINCT doc_id, repository_id, regexp_replace(regexp_replace(w, '^\./|[.:!?*]+$', '', 'g'), '(?:#L?\d+(?:-L?\d+)?|:\d+(?:[:-]\d+)?)$', '') AS relative_path FROM w WHERE regexp_matches(w, '[./]'))
+    SELECT DISTINCT p.doc_id, p.repository_id, p.relative_path FROM p JOIN (SELECT DISTINCT repository_id, relative_path FROM files) f ON f.repository_id = p.repository_id AND f.relative_path = p.relative_path""",
+)
+def _(s, d):
+    return sessions.path_mentions(table(s, d, "documents"), "doc_id", "text", table(s, d, "files"))
 
 
 @query("call_candidates_by_name")

@@ -85,6 +85,18 @@ def scan_tree(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, ignore
     )
 
 
+def git_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """One row: branch, head and whether the work tree is dirty; nulls where it is no repository."""
+    import subprocess
+
+    def ask(*words: str) -> str | None:
+        done = subprocess.run(["git", "-C", root, *words], capture_output=True, text=True)
+        return done.stdout.strip() if done.returncode == 0 else None
+
+    changes = ask("status", "--porcelain")
+    return spark.createDataFrame([(ask("rev-parse", "--abbrev-ref", "HEAD"), ask("rev-parse", "HEAD"), None if changes is None else bool(changes))], "branch string, head string, dirty boolean")
+
+
 def view_manifest(files: DataFrame, cached: DataFrame) -> DataFrame:
     """path -> digest, taken from `cached` where size and time are the same: (relative_path, content_digest, reused)."""
     old = cached.select("relative_path", F.col("source_bytes").alias("_b"), F.col("modified").alias("_m"), F.col("content_digest").alias("_d"))
