@@ -126,8 +126,9 @@ def test_scopes_take_the_latest_row(spark):
 def test_nested_records(spark):
     body = {"files": [{"file": {"relative_path": "a.py"}, "declarations": {"declaration_id": "7", "name": "f", "test_evidence": [{"kind": "x"}, {}]}, "imports": [{"import_id": 0, "module": None, "items": {"target": "t\n\"q"}}], "calls": None}]}
     wrapped = {"envelope": {"body": {"files": {"file": {"relative_path": "b.py"}, "facts": {"calls": [{"call_id": 1, "callee": {"written": "g"}, "type_arguments": [{"written": "T"}]}]}}}}}
-    data = [(1, json.dumps(body)), (1, json.dumps(body)), (2, json.dumps(json.dumps(wrapped))), (3, json.dumps(body)[:-20]), (4, None), (5, ""), (6, "[]"), (7, '{"files":[[{"file":{"relative_path":"c"},"calls":[]}]]}'), (8, '{"a":1} x')]
-    got = rows(nested.analysis_facts(spark.createDataFrame(data, "record_id long, payload string")).select("record_id", "relative_path", "fact_kind", "fact_id", "item_index", F.coalesce("fact_name", F.lit("?"))))
+    data = [(1, json.dumps(body)), (1, json.dumps(body)), (2, json.dumps(json.dumps(wrapped))), (3, json.dumps(body)[:-20]), (4, None), (5, ""), (6, "[]"), (7, '{"files":[[{"file":{"relative_path":"c"},"calls":[]}]]}'), (8, '{"a":1} x'), (9, '{"files":{"declarations":{"declaration_id":"x7","name":"n"}}}')]
+    facts = nested.analysis_facts(spark.createDataFrame(data, "record_id long, payload string")).fillna({"relative_path": "?", "fact_id": -7})
+    got = rows(facts.select("record_id", "relative_path", "fact_kind", "fact_id", "item_index", F.coalesce("fact_name", F.lit("?"))))
     assert got == [
         (1, "a.py", "declaration", 7, -1, "f"),
         (1, "a.py", "import", 0, -1, ""),
@@ -136,6 +137,7 @@ def test_nested_records(spark):
         (1, "a.py", "test_evidence", 7, 1, "?"),
         (2, "b.py", "call", 1, -1, "g"),
         (2, "b.py", "type_argument", 1, 0, "T"),
+        (9, "?", "declaration", -7, -1, "n"),
     ]
 
 
@@ -191,12 +193,14 @@ def test_dedup(spark):
         (7, "b", at(1), "acp:run:7:3", "acp:run:7", None, None, None),
         (8, "b", at(1), None, None, None, None, None),
         (9, "b", at(1), None, None, None, None, None),
+        (10, "b", at(1), "s:99999999999999999999999", None, None, None, None),
+        (11, "b", at(1), "no number", None, None, None, None),
     ]
     df = spark.createDataFrame(data, EVENTS)
     assert rows(dedup.duplicate_events(df)) == [(1, "s:1"), (2, "s:1"), (5, "s:2"), (7, "acp:run:7:3")]
     assert dedup.duplicate_events(df.limit(0)).count() == 0
     kept = dedup.dedup_messages(df.where("delivery_id < 4"), df.where("delivery_id >= 4"), ["session_id", "sequence"], "received_at", "delivery_id")
-    assert {r.delivery_id for r in kept.collect()} == {1, 2, 3, 4, 5, 6, 7, 8, 9}
+    assert {r.delivery_id for r in kept.collect()} == set(range(1, 12))
 
 
 def test_dedup_hot_identifier(spark, monkeypatch):

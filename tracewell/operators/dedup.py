@@ -13,13 +13,14 @@ def event_identity(event_id: Column, session: Column, number: Column) -> tuple[C
     """(session, sequence) of an event, each taken from `event_id` where it is missing.
 
     `event_id` is `session:number`; the session may itself hold colons. Case,
-    surrounding white space and leading zeros mean nothing.
+    surrounding white space and leading zeros mean nothing. What is no 64-bit
+    number is none.
     """
     whole = squash_id(event_id)
     of_id = F.regexp_extract(whole, r"^(.*?)\s*:\s*0*([0-9]+)$", 1)
     number_of_id = F.regexp_extract(whole, r"^.*:\s*0*([0-9]+)$", 1)
     name = F.coalesce(squash_id(session), F.when(of_id != "", of_id))
-    return name, F.coalesce(number.cast("long"), F.when(number_of_id != "", number_of_id.cast("long")))
+    return name, F.coalesce(number.try_cast("long"), number_of_id.try_cast("long"))
 
 
 def split_by_frequency(messages: DataFrame, keys: list[str], delivery: str) -> tuple[DataFrame, DataFrame]:

@@ -38,14 +38,15 @@ def solve_hierarchy(rows: DataFrame, tree: list[str], node: str, parent: str) ->
 
     One row per (tree, node) is expected (see `latest_rows`); ids are whole
     numbers. A node whose parent is null or does not occur in its tree is a
-    root of depth 0. Rows without id or tree are no nodes. Returns tree, node,
+    root of depth 0. Rows without id (or with one that
+    is no whole number) or tree are no nodes. Returns tree, node,
     root, depth, path (array from the root to the node) and status: `ok`,
     `cycle` (its own ancestor) or `below_cycle`; for the latter two root and
     depth are null and path is empty. An empty table gives an empty result;
     other columns are ignored, whatever their names.
     """
     names = [f"_t{i}" for i in range(len(tree))]
-    plain = rows.select(*[F.col(t).alias(n) for t, n in zip(tree, names)], F.col(node).cast("long").alias("id"), F.col(parent).cast("long").alias("par"))
+    plain = rows.select(*[F.col(t).alias(n) for t, n in zip(tree, names)], F.col(node).try_cast("long").alias("id"), F.col(parent).try_cast("long").alias("par"))
     plain = written(plain.dropna(subset=[*names, "id"]))
     walks = _walked(_begin(plain, names), names)
     solved = _expand(walks, names)

@@ -211,7 +211,7 @@ def analysis_facts(records: DataFrame) -> DataFrame:
             "record_id",
             F.col("above").getItem("files.file.relative_path").alias("relative_path"),
             kind.alias("fact_kind"),
-            F.trim(number).cast("long").alias("fact_id"),
+            F.trim(number).try_cast("long").alias("fact_id"),
             index.cast("long").alias("item_index"),
             name.alias("fact_name"),
         )

@@ -28,6 +28,13 @@ MOST_SLICED = 4096
 PROBED = "ref_table string, record_id string, target_key string, at_us long, reason string"
 
 
+def wall_micros(c: Column) -> Column:
+    """Microseconds since 1970 as the clock shows them, whatever the session's time zone."""
+    t = c.cast("timestamp_ntz")
+    day = F.unix_date(t.cast("date")).cast("long") * 86_400_000_000
+    return day + F.hour(t).cast("long") * 3_600_000_000 + F.minute(t).cast("long") * 60_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+
+
 def parents(df: DataFrame, key: Column, created: str, deleted: str) -> DataFrame:
     """Lifetimes of parent records: (k1, k2, born, died), repeated rows once.
 
@@ -35,13 +42,13 @@ def parents(df: DataFrame, key: Column, created: str, deleted: str) -> DataFrame
     record lasts. Null keys are no parents.
     """
     return (
-        df.select(key.alias("_k"), F.col(created).cast("timestamp").alias("_c"), F.col(deleted).cast("timestamp").alias("_d"))
+        df.select(key.alias("_k"), wall_micros(F.col(created)).alias("_c"), wall_micros(F.col(deleted)).alias("_d"))
         .where(F.col("_k").isNotNull())
         .select(
             F.xxhash64("_k").alias("k1"),
             F.xxhash64(F.lit(7), F.col("_k")).alias("k2"),
-            F.coalesce(F.unix_micros("_c"), F.lit(-(2**62))).alias("born"),
-            F.coalesce(F.unix_micros("_d"), F.lit(2**63 - 1)).alias("died"),
+            F.coalesce("_c", F.lit(-(2**62))).alias("born"),
+            F.coalesce("_d", F.lit(2**63 - 1)).alias("died"),
         )
     )
 
@@ -49,7 +56,7 @@ def parents(df: DataFrame, key: Column, created: str, deleted: str) -> DataFrame
 def references(df: DataFrame, name: str, record: Column, key: Column, shown: Column, at: str) -> DataFrame:
     """References of one table: (ref_table, record_id, target_key, at_us, k1, k2). Null keys are none."""
     return (
-        df.select(F.lit(name).alias("ref_table"), record.cast("string").alias("record_id"), shown.alias("target_key"), F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(TIMELESS)).alias("at_us"), key.alias("_k"))
+        df.select(F.lit(name).alias("ref_table"), record.cast("string").alias("record_id"), shown.alias("target_key"), F.coalesce(wall_micros(F.col(at)), F.lit(TIMELESS)).alias("at_us"), key.alias("_k"))
         .where(F.col("_k").isNotNull())
         .select("ref_table", "record_id", "target_key", "at_us", F.xxhash64("_k").alias("k1"), F.xxhash64(F.lit(7), F.col("_k")).alias("k2"))
     )
@@ -150,7 +157,7 @@ def orphan_references(refs: DataFrame, lives: DataFrame) -> DataFrame:
     both = probing.drop("slices").unionByName(arrays, allowMissingColumns=True)
     placed = both.repartition(tasks, "range_no", "slice_no").sortWithinPartitions("range_no", "slice_no", F.col("parents").isNull())
     misses = placed.select("range_no", "slice_no", "ref_table", "record_id", "target_key", "at_us", "k1", "k2", "parents").mapInPandas(_probe, PROBED)
-    month = F.when(F.col("at_us") != TIMELESS, F.date_format(F.timestamp_micros("at_us"), "yyyy-MM"))
+    month = F.when(F.col("at_us") != TIMELESS, F.date_format(F.date_from_unix_date(F.floor(F.col("at_us") / 86_400_000_000).cast("int")), "yyyy-MM"))
     return misses.select("ref_table", "record_id", "target_key", month.alias("month_key"), "reason").distinct()
 
 
