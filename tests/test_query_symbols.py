@@ -113,3 +113,32 @@ def test_integrity(spark, graph_tables):
     assert rows(verify.verify_candidates(c)) == [("c1", "repeated candidate"), ("c3", "cardinality")]
     tail = spark.createDataFrame([("r", "p", 2, [1, 2]), ("r", "q", 2, [2]), ("r", "s", 2, [2, 1])], "repository_id string, path string, n_changes long, tail array<long>")
     assert rows(verify.verify_temporal(tail)) == [("r:q", "tail"), ("r:s", "tail")]
+
+
+def test_closure_reach(spark):
+    from tracewell.operators import links
+
+    s = spark.createDataFrame([("r", "f", 0, None, "file"), ("r", "f", 1, 0, "function"), ("r", "f", 2, 1, "closure"), ("r", "f", 3, 2, "closure"), ("r", "f", 4, 3, "function")], "repository_id string, relative_path string, scope_id long, parent_scope_id long, scope_kind string")
+    got = rows(links.closure_reach(symbols.scope_chains(s), s, ["closure"]).select("scope_id", "outer_id"))
+    assert got == [(0, 0), (1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (4, 4)]
+    u = spark.createDataFrame([("r", "f", 2, "a"), ("r", "f", 2, "b")], "repository_id string, relative_path string, scope_id long, root string")
+    b = spark.createDataFrame([("r", "f", 2, "a")], "repository_id string, relative_path string, scope_id long, name string")
+    assert rows(links.shadowed_roots(u, b).select("root")) == [("b",)]
+
+
+def test_facets_witness_and_rollups(spark):
+    text = b"fn a() { 1 }"
+    src = spark.createDataFrame([("r", "f", "d1", bytearray(text))], "repository_id string, relative_path string, content_digest string, content binary")
+    sp = spark.createDataFrame([("r", "f", 1, "a", 0, 7, 12), ("r", "f", 2, "b", 0, None, 99)], "repository_id string, relative_path string, declaration_id long, name string, byte_start long, body_start long, byte_end long")
+    import hashlib
+
+    got = {r.declaration_id: (r.head_digest, r.body_digest) for r in symbols.declaration_facets(sp, src.drop("content_digest")).collect()}
+    assert got == {1: (hashlib.sha256(text[:7]).hexdigest(), hashlib.sha256(text[7:]).hexdigest()), 2: (None, None)}
+    w = spark.createDataFrame([(1, "r", "f", "d1", 3, 6), (2, "r", "f", "d0", 3, 6), (3, "r", "g", "d1", 3, 6)], "finding_id long, repository_id string, relative_path string, content_digest string, byte_start long, byte_end long")
+    assert {r.finding_id: (r.state, r.text) for r in symbols.source_witness(w, src).collect()} == {1: ("current", "a()"), 2: ("stale", None), 3: ("missing", None)}
+    e = spark.createDataFrame([("p", "mentioned", 0.2, "i"), ("p", "contained", 0.9, "j"), ("q", "?", None, "i")], "path string, evidence string, similarity double, investigation string")
+    assert rows(symbols.path_evidence(e).select("path", "strength", "investigations")) == [("p", 5, "i,j"), ("q", 0, "i")]
+    q = spark.createDataFrame([(1, "Where is applyBatch in a/b.py?"), (2, "")], "query_id long, text string")
+    k = spark.createDataFrame([("a/b.py",)], "path string")
+    r = {x.query_id: (list(x.terms), list(x.identifiers), list(x.paths)) for x in symbols.query_signature(q, k, identifier_terms, ["where", "is", "in"]).collect()}
+    assert r == {1: (["a", "apply", "b", "batch", "py"], ["Where", "applyBatch"], ["a/b.py"]), 2: ([], [], [])}

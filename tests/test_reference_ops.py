@@ -280,3 +280,29 @@ def test_git_metadata_and_packet_forms(spark, tmp_path):
     r = spark.createDataFrame([("q", "has", "n1", "n1", "fact", None)], "query string, edge_kind string, source string, target string, evidence_class string, candidate_set_id string")
     assert packet.packet_json(f, r).first().packet == '{"query":"q","facts":[{"node_key":"file:a","node_kind":"file","label":"a"}],"relations":[{"edge_kind":"has","source":"n1","target":"n1","evidence_class":"fact"}]}'
     assert "n1 -has-> n1 (fact)" in packet.packet_human(f, r).first().packet
+
+
+def test_crate_targets(spark):
+    files = spark.createDataFrame([(p,) for p in ("src/lib.rs", "src/main.rs", "src/bin/t.rs", "src/x.rs", "tests/it.rs", "sub/src/main.rs", "odd/run.rs")], "relative_path string")
+    cargo = spark.createDataFrame([("Cargo.toml", "package", "k", "1"), ("sub/Cargo.toml", "package", "s", "1"), ("sub/Cargo.toml", "target:bin", "s", "src/main.rs"), ("Cargo.toml", "target:example", "z", "odd/run.rs")], "relative_path string, fact string, name string, value string")
+    assert rows(links.crate_targets(files, cargo)) == [("Cargo.toml", "bin", "k", "src/main.rs"), ("Cargo.toml", "bin", "t", "src/bin/t.rs"), ("Cargo.toml", "example", "z", "odd/run.rs"), ("Cargo.toml", "lib", "k", "src/lib.rs"), ("Cargo.toml", "test", "it", "tests/it.rs"), ("sub/Cargo.toml", "bin", "s", "sub/src/main.rs")]
+
+
+def test_php_class_calls(spark):
+    texts = {
+        "a.php": "<?php\nnamespace A;\nuse B\\K as L;\nclass C extends L { static function own() {} function go() { new L(1); new Gone(); new static(); L::make(); self::own(); parent::make(); static::own(); } }\n",
+        "b.php": "<?php\nnamespace B;\nclass K { static function make() {} }\n",
+    }
+    files = spark.createDataFrame([("r", p, t) for p, t in texts.items()], "repository_id string, relative_path string, source_text string").withColumn("lang", F.lit("php"))
+    f = extract.source_facts(files, ["repository_id", "relative_path"], "lang", "source_text").cache()
+    got = {r.name: (r.how, r.outcome, list(r.candidates)) for r in links.php_class_calls(f).collect()}
+    assert got == {
+        "new L": ("construct", "single_candidate", ["b.php#1"]),
+        "new Gone": ("construct", "no_candidate", []),
+        "new static": ("construct", "out_of_scope", []),
+        "L::make": ("static", "single_candidate", ["b.php#2"]),
+        "self::own": ("static", "single_candidate", ["a.php#2"]),
+        "parent::make": ("static", "single_candidate", ["b.php#2"]),
+        "static::own": ("static", "out_of_scope", []),
+    }
+    assert {r.rule_id for r in links.rule_registry(spark).collect()} == set(links.RULES)

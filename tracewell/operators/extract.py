@@ -233,7 +233,8 @@ def facts_of(language: str | None, text: str | None) -> list[Fact]:
         g = 1 if m.group(1) else 2
         name = m.group(g) if m.lastindex and g <= m.lastindex else m.group(1)
         last = re.split(r"::|\.|->|\s", name)[-1].lstrip("$")
-        if not last or last in _NO_CALL[language] or name in _NO_CALL[language] or m.end(g) - len(last) in declared:
+        word = last in _NO_CALL[language] and not name.startswith("new ")
+        if not last or word or name in _NO_CALL[language] or m.end(g) - len(last) in declared:
             continue
         kind = "macro" if name.endswith("!") else "construct" if name.startswith("new ") else "static" if "::" in name else "member" if "." in name or "->" in name else "plain"
         out.add("call", "", kind, name, m.start(g), m.end(g))

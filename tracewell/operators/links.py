@@ -284,3 +284,111 @@ def php_typed_receivers(calls: DataFrame, writes: DataFrame) -> DataFrame:
     known = met.join(last, "call_id").where(F.col("class").isNotNull() & (F.col("_opaque").isNull() | (F.col("_w") > F.col("_opaque"))))
     per = known.groupBy("call_id").agg(F.sort_array(F.collect_set("class")).alias("classes"))
     return calls.select("call_id").join(per, "call_id", "left")
+
+
+def shadowed_roots(uses: DataFrame, blockers: DataFrame) -> DataFrame:
+    """Uses of a path whose first segment no binding or import of its place shadows.
+
+    `uses`: (repository_id, relative_path, scope_id, root, ...); `blockers`:
+    (repository_id, relative_path, scope_id, name).
+    """
+    b = blockers.select("repository_id", "relative_path", "scope_id", F.col("name").alias("root")).distinct()
+    return uses.join(b, ["repository_id", "relative_path", "scope_id", "root"], "left_anti")
+
+
+def closure_reach(chains: DataFrame, scopes: DataFrame, through: list[str]) -> DataFrame:
+    """Scope pairs (scope_id, outer_id, level) between which only scopes of the kinds `through` (closures, blocks) lie.
+
+    A binding of the outer scope reaches the inner one; a function between the two ends its reach.
+    """
+    keys = ["repository_id", "relative_path"]
+    kinds = scopes.select(*keys, F.col("scope_id").alias("outer_id"), F.col("scope_kind").isin(through).alias("_open")).distinct()
+    marked = chains.join(kinds, [*keys, "outer_id"], "left")
+    # The first level whose scope is not passed through is still reached; nothing beyond it is.
+    stop = marked.where(~F.coalesce("_open", F.lit(False))).groupBy(*keys, "scope_id").agg(F.min("level").alias("_stop"))
+    return marked.join(stop, [*keys, "scope_id"], "left").where(F.col("_stop").isNull() | (F.col("level") <= F.col("_stop"))).select(*keys, "scope_id", "outer_id", "level")
+
+
+def crate_targets(files: DataFrame, cargo: DataFrame) -> DataFrame:
+    """(manifest, kind, name, path): targets of each package, declared or by the usual places.
+
+    `files`: relative_path; `cargo`: facts of `cargo_facts`. lib is src/lib.rs,
+    bin src/main.rs and src/bin/*.rs, test, example and bench are the files of
+    their folders; a declared path replaces the usual place.
+    """
+    packages = cargo.where("fact = 'package'").select(F.col("relative_path").alias("manifest"), F.col("name").alias("package"), I.directory(F.col("relative_path")).alias("dir"))
+    rs = files.where(F.col("relative_path").endswith(".rs")).select("relative_path").distinct()
+    up = rs.select("relative_path", F.explode(I.ancestors(F.col("relative_path"))).alias("dir")).join(packages, "dir")
+    rest = F.when(F.col("dir") == "", F.col("relative_path")).otherwise(F.expr("substring(relative_path, length(dir) + 2)"))
+    kind = (
+        F.when(rest == "src/lib.rs", "lib")
+        .when((rest == "src/main.rs") | rest.rlike(r"^src/bin/[^/]+(\.rs|/main\.rs)$"), "bin")
+        .when(rest.rlike(r"^tests/[^/]+\.rs$"), "test")
+        .when(rest.rlike(r"^examples/[^/]+\.rs$"), "example")
+        .when(rest.rlike(r"^benches/[^/]+\.rs$"), "bench")
+    )
+    stem = F.regexp_replace(F.regexp_replace(F.col("relative_path"), r"/main\.rs$", ""), r"^.*/|\.rs$", "")
+    usual = up.withColumn("kind", kind).where("kind is not null").select("manifest", "kind", F.when(rest.isin("src/lib.rs", "src/main.rs"), F.col("package")).otherwise(stem).alias("name"), F.col("relative_path").alias("path"))
+    said = cargo.where(F.col("fact").startswith("target:") & (F.col("value") != "")).join(packages, cargo.relative_path == packages.manifest)
+    declared = said.select("manifest", F.expr("substring(fact, 8)").alias("kind"), "name", I.join_dir(F.col("dir"), F.col("value")).alias("path"))
+    kept = usual.join(declared.select("manifest", "path").distinct(), ["manifest", "path"], "left_anti").join(declared.select("manifest", "kind", "name").distinct(), ["manifest", "kind", "name"], "left_anti")
+    return kept.select("manifest", "kind", "name", "path").unionByName(declared).distinct()
+
+
+def php_class_calls(facts: DataFrame) -> DataFrame:
+    """`new X` and `X::m` by the class they name: (call, how, outcome, candidates).
+
+    A construction's candidates are the class-likes of that name; `static` and
+    variables are out of scope. A static call's candidates are the methods m of
+    files that hold that class; `self` is the class-likes of the file itself and
+    `parent` what they extend; `static` is out of scope.
+    """
+    keys = ["repository_id", "relative_path"]
+    php = facts.where(F.col("relative_path").endswith(".php"))
+    calls = php.where("fact_kind = 'call' and kind in ('construct', 'static')").withColumnRenamed("kind", "_how")
+    cls = F.when(F.col("_how") == "construct", F.regexp_replace("name", r"^new\s+", "")).otherwise(F.regexp_extract("name", r"^(.*)::[^:]*$", 1))
+    calls = calls.withColumn("_class", cls).withColumn("_method", F.when(F.col("_how") == "static", F.regexp_extract("name", r"([^:]+)$", 1)))
+    space = php.where("fact_kind = 'declaration' and kind = 'namespace'").groupBy(*keys).agg(F.min_by("name", "byte_start").alias("_ns"))
+    alias = php.where("fact_kind = 'import' and kind = 'class'").groupBy(*keys).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.lower("target"), "name")))).alias("_al"))
+    none = F.create_map().cast("map<string,string>")
+    out = F.lower("_class").isin("static") | F.col("_class").startswith("$") | (F.col("_class") == "")
+    named = calls.where(~out & ~F.lower("_class").isin("self", "parent")).join(space, keys, "left").join(alias, keys, "left")
+    named = named.select(*keys, "fact_id", "_how", "name", "_method", F.lower(I.php_class_fqn(F.col("_class"), F.col("_ns"), F.coalesce("_al", none))).alias("_f"))
+    names = php_names(facts).withColumn("_f", F.lower("fqn"))
+    own = calls.where(F.lower("_class") == "self").join(names.select(*keys, "_f"), keys, "left").select(*keys, "fact_id", "_how", "name", "_method", "_f")
+    up = php_hierarchy(facts).where("rule_id = 'php.class.extends'").select(*keys, F.explode("targets").alias("_t"))
+    up = up.join(names.select("repository_id", F.concat_ws("#", "relative_path", F.col("fact_id").cast("string")).alias("_t"), "_f"), ["repository_id", "_t"]).select(*keys, "_f").distinct()
+    above = calls.where(F.lower("_class") == "parent").join(up, keys, "left").select(*keys, "fact_id", "_how", "name", "_method", "_f")
+    met = named.unionByName(own).unionByName(above).join(names.select("repository_id", "_f", F.col("relative_path").alias("_p"), F.col("fact_id").alias("_d")), ["repository_id", "_f"], "left")
+    methods = php.where("fact_kind = 'declaration' and kind = 'function'").select("repository_id", F.col("relative_path").alias("_p"), F.lower("name").alias("_m"), F.col("fact_id").alias("_md"))
+    met = met.withColumn("_m", F.lower("_method")).join(methods, ["repository_id", "_p", "_m"], "left")
+    hit = F.when(F.col("_how") == "construct", F.when(F.col("_d").isNotNull(), F.concat_ws("#", "_p", F.col("_d").cast("string")))).otherwise(F.when(F.col("_md").isNotNull(), F.concat_ws("#", "_p", F.col("_md").cast("string"))))
+    per = met.groupBy(*keys, "fact_id", "_how", "name").agg(F.sort_array(F.collect_set(hit)).alias("candidates"))
+    n = F.size("candidates")
+    inside = per.select(*keys, "fact_id", F.col("_how").alias("how"), "name", F.when(n == 0, "no_candidate").when(n == 1, "single_candidate").otherwise("multiple_candidates").alias("outcome"), "candidates")
+    return inside.unionByName(calls.where(out).select(*keys, "fact_id", F.col("_how").alias("how"), "name", F.lit("out_of_scope").alias("outcome"), F.array().cast("array<string>").alias("candidates")))
+
+
+#: What each rule links or calls, and its possible outcomes.
+RULES = {
+    "rust.mod.standard_file": "a module declaration to the file of its name | exact, ambiguous, unresolved",
+    "rust.use.crate_path": "a use below crate to a declaration or module | exact, ambiguous, unresolved",
+    "rust.use.non_crate_path": "a use of another root | out_of_scope",
+    "go.package.same_directory": "a package clause to the packages of its folder | exact, ambiguous",
+    "go.import.local_module": "an import below a module to the packages of its folder | exact, ambiguous, unresolved",
+    "go.import.external": "an import outside every module | out_of_scope",
+    "python.relative_import.package_path": "a relative import to a file or package | exact, ambiguous, unresolved",
+    "python.absolute_import.local_candidate": "an absolute import that a file could serve | ambiguous",
+    "python.absolute_import.external": "an absolute import that no file could serve | out_of_scope",
+    "php.namespace.declaration": "a class-like by its full name | exact, ambiguous",
+    "php.use.qualified_name": "a use of a declared namespace | exact, ambiguous, unresolved",
+    "php.use.external": "a use of another namespace | out_of_scope",
+    "php.use.non_class_import": "a use of a function or constant | out_of_scope",
+    "php.class.extends": "a parent class by its full name | exact, ambiguous, unresolved",
+    "php.class.implements": "an interface by its full name | exact, ambiguous, unresolved",
+}
+
+
+def rule_registry(spark) -> DataFrame:
+    """(rule_id, links, outcomes) of every rule."""
+    return spark.createDataFrame([(r, *(x.strip() for x in text.split("|"))) for r, text in RULES.items()], "rule_id string, links string, outcomes string")

@@ -100,3 +100,68 @@ def reused_files(view: DataFrame, stored: DataFrame) -> DataFrame:
     return view.join(have, "content_digest", "left").select("relative_path", "content_digest", F.coalesce("_h", F.lit(False)).alias("reused"))
 
 
+
+
+def declaration_locators(declarations: DataFrame) -> DataFrame:
+    """`language:path:kind:name` of each declaration."""
+    ext = F.regexp_extract("relative_path", r"\.([^./]+)$", 1)
+    return declarations.withColumn("locator", F.concat_ws(":", ext, "relative_path", "decl_kind", F.coalesce("decl_name", F.lit(""))))
+
+
+def declaration_facets(spans: DataFrame, sources: DataFrame) -> DataFrame:
+    """Digests of each declaration's name, head and body from the text of its file.
+
+    `spans`: repository_id, relative_path, declaration_id, name, byte_start, body_start, byte_end; `sources`: the keys and content (binary).
+    Declarations whose span lies outside the text have null digests.
+    """
+    j = spans.join(sources, ["repository_id", "relative_path"])
+    piece = lambda a, b: F.expr(f"substring(content, {a} + 1, {b} - {a})")
+    inside = (F.col("byte_start") >= 0) & (F.col("byte_end") <= F.length("content"))
+    middle = "least(coalesce(body_start, byte_end), byte_end)"
+    return j.select(
+        "repository_id",
+        "relative_path",
+        "declaration_id",
+        F.sha2("name", 256).alias("name_digest"),
+        F.when(inside, F.sha2(piece("byte_start", middle), 256)).alias("head_digest"),
+        F.when(inside, F.sha2(piece(middle, "byte_end"), 256)).alias("body_digest"),
+    )
+
+
+def source_witness(wanted: DataFrame, sources: DataFrame, most: int = 2000) -> DataFrame:
+    """The bytes a finding rests on: (finding_id, state, text).
+
+    `wanted`: finding_id, repository_id, relative_path, content_digest,
+    byte_start, byte_end; `sources`: keys, content_digest, content. current:
+    the digest is that of the source; stale: it is another; missing: no source.
+    A slice is cut to `most` bytes, part of the packet's format.
+    """
+    s = sources.select("repository_id", "relative_path", F.col("content_digest").alias("_d"), "content")
+    j = wanted.join(s, ["repository_id", "relative_path"], "left")
+    state = F.when(F.col("_d").isNull(), "missing").when(F.col("_d") != F.col("content_digest"), "stale").otherwise("current")
+    text = F.expr(f"cast(substring(content, byte_start + 1, least(byte_end - byte_start, {most})) as string)")
+    return j.select("finding_id", state.alias("state"), F.when(state == "current", text).alias("text"))
+
+
+#: Kinds of evidence, the strongest first.
+EVIDENCE = ["exact_link", "contained", "single_candidate", "multiple_candidates", "mentioned", "near"]
+
+
+def path_evidence(rows: DataFrame) -> DataFrame:
+    """Per path: the strongest kind of evidence, the greatest similarity and who says so.
+
+    `rows`: path, evidence, similarity, investigation.
+    """
+    rank = F.array_position(F.array(*[F.lit(e) for e in EVIDENCE]), F.col("evidence"))
+    strength = F.when(rank > 0, F.lit(len(EVIDENCE)) - rank + 1).otherwise(0)
+    return rows.groupBy("path").agg(F.max(strength).alias("strength"), F.max("similarity").alias("similarity"), F.array_join(F.sort_array(F.collect_set("investigation")), ",").alias("investigations"))
+
+
+def query_signature(queries: DataFrame, known: DataFrame, terms, stop: list[str]) -> DataFrame:
+    """(query_id, terms, identifiers, paths) of each query: terms without stop words, identifier-like words, known paths it names."""
+    words = F.filter(F.split("text", r"[\s,;()`'\"?!]+"), lambda w: w != "")
+    ids = F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & w.rlike(r"_|::|\p{Lu}|\p{N}"))))
+    plain = F.array_sort(F.array_distinct(F.filter(terms(F.col("text")), lambda t: ~t.isin(stop))))
+    said = queries.select("query_id", F.explode(words).alias("path")).join(known.select("path").distinct(), "path").groupBy("query_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    none = F.array().cast("array<string>")
+    return queries.select("query_id", plain.alias("terms"), ids.alias("identifiers")).join(said, "query_id", "left").withColumn("paths", F.coalesce("paths", none))

@@ -555,3 +555,17 @@ def _(s, d):
 @query("verify_graph")
 def _(s, d):
     return verify.verify_graph(nodes(s, d), edges(s, d))
+
+
+@query("declaration_locators", f"SELECT DISTINCT repository_id, regexp_extract(relative_path, '\\.([^./]+)$', 1) || ':' || relative_path || ':' || decl_kind || ':' || coalesce(decl_name, '') AS locator FROM {D}")
+def _(s, d):
+    return symbols.declaration_locators(declarations(s, d)).select("repository_id", "locator").distinct()
+
+
+@query("binding_reach")
+def _(s, d):
+    from tracewell.operators import links as link_rules
+    from tracewell.operators.hierarchy import latest_rows
+
+    newest = latest_rows(table(s, d, "scopes"), ["repository_id", "relative_path", "scope_id"], "ingested_at", ["parent_scope_id", "scope_kind"])
+    return link_rules.closure_reach(symbols.scope_chains(newest), newest, ["closure", "lambda"])

@@ -94,6 +94,16 @@ def _(s, d):
     return _flat(links.go_package_calls(facts(s, d), _modules(s, d)), "candidates")
 
 
+@query("call_candidates_php_classes")
+def _(s, d):
+    return _flat(links.php_class_calls(facts(s, d)), "candidates")
+
+
+@query("rule_registry")
+def _(s, d):
+    return links.rule_registry(s)
+
+
 @query("recovery_regions")
 def _(s, d):
     return extract.recovery_regions(sources(s, d), ["repository_id", "relative_path"], "lang", "source_text")
