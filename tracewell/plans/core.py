@@ -119,7 +119,32 @@ SELECT repository_id, relative_path, scope_id, -1, -1, '', -1, CASE WHEN bool_or
 FROM up GROUP BY 1, 2, 3
 """
 
+_LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[]) WHEN 'OBJECT' THEN [{0}] ELSE [] :: JSON[] END"
+_FACTS = {"declaration": ("declarations", "declaration_id", "$.name", "test_evidence", "kind"), "import": ("imports", "import_id", "$.module", "import_item", "target"), "call": ("calls", "call_id", "$.callee.written", "type_argument", "written")}
+_PARTS = {"declaration": "test_evidence", "import": "items", "call": "type_arguments"}
+SQL_P4 = f"""
+WITH r AS (
+  SELECT DISTINCT record_id, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'VARCHAR' THEN (payload :: JSON) ->> '$' ELSE payload END END AS p FROM analysis_records
+), b AS (
+  SELECT record_id, coalesce(json_extract(p, '$.envelope.body.files'), json_extract(p, '$.files')) AS v FROM r WHERE json_valid(p)
+), f AS (
+  SELECT record_id, unnest({_LIST.format("v")}) AS f FROM b
+), g AS (
+  SELECT record_id, f ->> '$.file.relative_path' AS relative_path, coalesce(json_extract(f, '$.facts'), f) AS f FROM f
+), x AS (
+  {" UNION ALL ".join(f"SELECT record_id, relative_path, '{k}' AS fact_kind, '{part}' AS part, '{pn}' AS part_name, '$.{idf}' AS id_path, '{name}' AS name_path, '$.{_PARTS[k]}' AS parts_path, unnest({_LIST.format(f"json_extract(f, '$.{arr}')")}) AS x FROM g" for k, (arr, idf, name, part, pn) in _FACTS.items())}
+), facts AS (
+  SELECT record_id, relative_path, fact_kind, part, part_name, CAST(trim(json_extract_string(x, id_path)) AS BIGINT) AS fact_id,
+    CASE WHEN fact_kind = 'import' THEN coalesce(json_extract_string(x, name_path), '') ELSE json_extract_string(x, name_path) END AS fact_name, json_extract(x, parts_path) AS v FROM x
+), parts AS (
+  SELECT record_id, relative_path, part, part_name, fact_id, unnest(l) AS y, generate_subscripts(l, 1) - 1 AS item_index FROM (SELECT *, {_LIST.format("v")} AS l FROM facts)
+)
+SELECT DISTINCT record_id, relative_path, fact_kind, fact_id, CAST(-1 AS BIGINT) AS item_index, fact_name FROM facts
+UNION SELECT DISTINCT record_id, relative_path, part, fact_id, CAST(item_index AS BIGINT), json_extract_string(y, '$.' || part_name) FROM parts
+"""
+
 SQL = {
+    "p4_found": SQL_P4,
     "p1_found": SQL_P1,
     "p2_found": SQL_P2,
     "p2_orphan_rates": f"SELECT ref_table, month_key, reason, count(*) AS n_orphans, count(DISTINCT target_key) AS n_targets FROM (SELECT DISTINCT * FROM ({SQL_P2})) GROUP BY 1, 2, 3",

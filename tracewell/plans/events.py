@@ -190,13 +190,13 @@ def _(s, d):
     return memory.digests(memory.entries(seen(s, d)))
 
 
-@query(
-    "symbol_exposures",
-    f"""WITH o AS (SELECT session || ':' || number AS observation_id, repository AS repository_id, path AS relative_path, line_start, line_end FROM {SEEN} WHERE line_end >= line_start),
+EXPOSED = f"""WITH o AS (SELECT session || ':' || number AS observation_id, repository AS repository_id, path AS relative_path, line_start, line_end FROM {SEEN} WHERE line_end >= line_start),
     d AS (SELECT DISTINCT repository_id, relative_path, declaration_id, span.row_start AS a, span.row_end + 1 AS b FROM declarations WHERE deleted_at IS NULL),
     m AS (SELECT o.observation_id, d.*, CASE WHEN NOT (line_start - 1 < b AND a < line_end) THEN 'none' WHEN a <= line_start - 1 AND line_end <= b AND NOT (a = line_start - 1 AND b = line_end) THEN 'inside' WHEN line_start - 1 <= a AND b <= line_end THEN 'covers' ELSE 'partial' END AS overlap FROM o JOIN d ON d.repository_id = o.repository_id AND d.relative_path = o.relative_path)
-    SELECT observation_id, repository_id, relative_path, declaration_id, overlap, row_number() OVER (PARTITION BY observation_id ORDER BY b - a, declaration_id) - 1 AS depth FROM m WHERE overlap <> 'none'""",
-)
+    SELECT observation_id, repository_id, relative_path, declaration_id, overlap, row_number() OVER (PARTITION BY observation_id ORDER BY b - a, declaration_id) - 1 AS depth FROM m WHERE overlap <> 'none'"""
+
+
+@query("symbol_exposures", EXPOSED)
 def _(s, d):
     return symbols.symbol_exposures(_observed(s, d), _declared(s, d))
 
@@ -209,7 +209,11 @@ def _declared(s, d):
     return table(s, d, "declarations").where("deleted_at is null").select("repository_id", "relative_path", "declaration_id", "span").distinct()
 
 
-@query("symbol_activity")
+@query(
+    "symbol_activity",
+    f"""SELECT x.repository_id, x.relative_path, declaration_id, count(*) AS n, count(*) FILTER (overlap = 'inside') AS n_inside, count(*) FILTER (overlap = 'covers') AS n_covers, count(*) FILTER (overlap = 'partial') AS n_partial, count(DISTINCT session) AS n_sessions, count(DISTINCT investigation) AS n_investigations
+    FROM ({EXPOSED}) x JOIN (SELECT session || ':' || number AS observation_id, session, investigation FROM {SEEN}) o ON o.observation_id = x.observation_id GROUP BY 1, 2, 3""",
+)
 def _(s, d):
     o = _observed(s, d)
     return symbols.symbol_activity(symbols.symbol_exposures(o, _declared(s, d)), o)

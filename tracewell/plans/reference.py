@@ -60,6 +60,28 @@ def files(s, d):
     return table(s, d, "files").select("repository_id", "snapshot_no", "relative_path", "language", "source_bytes", "truncated", "content_digest", "analysis_status").distinct()
 
 
+def _terms(column: str) -> str:
+    """The SQL of `identifier_terms`: blanks at every boundary, then divided at what is no letter or digit."""
+    out = column
+    for a, b in ((r"\p{Ll}", r"\p{Lu}"), (r"\p{Lu}", r"\p{Lu}\p{Ll}"), (r"\p{L}", r"\p{N}"), (r"\p{N}", r"\p{L}")):
+        for _ in range(2):  # boundaries may overlap
+            out = f"regexp_replace({out}, '({a})({b})', '\\1 \\2', 'g')"
+    return f"list_filter(list_transform(regexp_split_to_array({out}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)), lambda x: x <> '')"
+
+
+def _ranked(query: str, terms: list[str], k: int) -> str:
+    want = "[" + ", ".join(f"'{t}'" for t in terms) + "]"
+    text = "CASE WHEN node_kind IN ('declaration', 'entity') THEN label WHEN node_kind = 'file' THEN relative_path END"
+    return f"""WITH n AS (SELECT *, {_terms("label")} AS own, {_terms("coalesce(relative_path, '')")} AS way, {_terms(f"coalesce({text}, '')")} AS held FROM {N}),
+    s AS (SELECT node_id, node_key, CASE WHEN lower(label) = '{query}' THEN 1000 ELSE 0 END + CASE WHEN len(list_intersect(list_distinct(own), {want})) = {len(terms)} THEN 400 ELSE 0 END + 100 * len(list_intersect(list_distinct(own), {want})) + 30 * len(list_intersect(list_distinct(way), {want}))
+      + CASE node_kind WHEN 'declaration' THEN 20 WHEN 'entity' THEN 15 WHEN 'file' THEN 10 WHEN 'import' THEN 4 WHEN 'call' THEN 2 ELSE 0 END AS score FROM n WHERE list_has_any(held, {want}))
+    SELECT node_id, node_key, CAST(score AS INT) AS score, row_number() OVER (ORDER BY score DESC, node_key, node_id) AS rank, count(*) OVER () AS total FROM s ORDER BY score DESC, node_key, node_id LIMIT {k}"""
+
+
+TRAILS = f"""(WITH RECURSIVE e AS {E_}, w AS (SELECT node_id AS seed, node_id, 0 AS depth, [] :: VARCHAR[] AS trail FROM {N} WHERE node_kind = 'entity' UNION ALL SELECT w.seed, e.target, w.depth + 1, list_append(w.trail, e.edge_id) FROM w JOIN e ON e.source = w.node_id WHERE w.depth < 3 AND NOT list_contains(w.trail, e.edge_id))
+    SELECT seed, node_id, depth, trail FROM w WHERE depth > 0)"""
+
+
 def query(name: str, sql: str | None = None):
     def keep(f):
         QUERIES[name] = f
@@ -360,7 +382,7 @@ def _(s, d):
     return declarations(s, d).select(*DK, "span").distinct().select(*DK, (F.row_number().over(w) - 1).alias("depth"))
 
 
-@query("ranked_seeds")
+@query("ranked_seeds", _ranked("apply batch", ["apply", "batch"], 50))
 def _(s, d):
     return graph.ranked_seeds(nodes(s, d), "apply batch", ["apply", "batch"], I.identifier_terms, 50)
 
@@ -439,7 +461,11 @@ def _(s, d):
     return t.withColumn("trail", F.array_join("trail", ">"))
 
 
-@query("trail_evidence")
+@query(
+    "trail_evidence",
+    f"""SELECT trail_id, min(CASE WHEN evidence_class = 'fact' THEN 1 ELSE 0 END) AS fact_only, max(CASE WHEN evidence_class = 'candidate' THEN 1 ELSE 0 END) AS has_candidate, count(DISTINCT candidate_set_id) AS n_candidate_sets
+    FROM (SELECT array_to_string(trail, '>') AS trail_id, unnest(trail) AS edge_id FROM {TRAILS}) t JOIN {E_} e ON e.edge_id = t.edge_id GROUP BY 1""",
+)
 def _(s, d):
     e = edges(s, d)
     return graph.trail_evidence(graph.bounded_trails(e, nodes(s, d).where("node_kind = 'entity'").select("node_id"), 3), e)
@@ -469,7 +495,7 @@ def _(s, d):
 # scalar functions over the names of the tables
 
 
-@query("identifier_terms")
+@query("identifier_terms", f"SELECT decl_name, array_to_string({_terms('decl_name')}, ' ') AS terms FROM (SELECT DISTINCT decl_name FROM declarations WHERE deleted_at IS NULL)")
 def _(s, d):
     return declarations(s, d).select("decl_name").distinct().select("decl_name", F.array_join(I.identifier_terms(F.col("decl_name")), " ").alias("terms"))
 
@@ -503,7 +529,7 @@ def _(s, d):
 # text queries, symbols, integrity
 
 
-@query("text_query")
+@query("text_query", "SELECT *, true AS complete, NULL :: VARCHAR AS reason FROM (" + _ranked("apply batch", ["apply", "batch"], 20) + ")")
 def _(s, d):
     return text_query.run(text_query.QueryPlan("apply batch", max_results=20), nodes(s, d))
 
@@ -520,7 +546,14 @@ def _(s, d):
     return text_query.fit_budget(n, ["repository_id"], ["node_key", "node_id"], "size", 2000).select("repository_id", "node_id", "size")
 
 
-@query("scope_chain_pairs")
+@query(
+    "scope_chain_pairs",
+    f"""WITH RECURSIVE latest AS (SELECT repository_id, relative_path, scope_id, arg_max(coalesce(parent_scope_id, -9), ingested_at) AS parent_id FROM scopes GROUP BY 1, 2, 3),
+    s AS (SELECT l.repository_id, l.relative_path, l.scope_id, p.scope_id AS parent_id FROM latest l LEFT JOIN latest p ON p.repository_id = l.repository_id AND p.relative_path = l.relative_path AND p.scope_id = l.parent_id),
+    down AS (SELECT repository_id, relative_path, scope_id, [scope_id] AS path FROM s WHERE parent_id IS NULL UNION ALL SELECT s.repository_id, s.relative_path, s.scope_id, list_prepend(s.scope_id, d.path) FROM s JOIN down d ON s.repository_id = d.repository_id AND s.relative_path = d.relative_path AND s.parent_id = d.scope_id)
+    SELECT repository_id, relative_path, scope_id, generate_subscripts(path, 1) - 1 AS level, unnest(path) AS outer_id FROM down
+    UNION ALL SELECT repository_id, relative_path, scope_id, 0, scope_id FROM s WHERE NOT EXISTS (SELECT 1 FROM down d WHERE d.repository_id = s.repository_id AND d.relative_path = s.relative_path AND d.scope_id = s.scope_id)""",
+)
 def _(s, d):
     from tracewell.operators.hierarchy import latest_rows
 
@@ -552,7 +585,10 @@ def _(s, d):
     return verify.verify_candidates(candidates(s, d))
 
 
-@query("verify_graph")
+@query("verify_graph", f"""WITH n AS {N}, e AS {E_}
+    SELECT id, 'duplicate id' AS reason FROM (SELECT node_id AS id FROM n GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT edge_id FROM e GROUP BY 1 HAVING count(*) > 1)
+    UNION SELECT edge_id, 'no source' FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.node_id = e.source) UNION SELECT edge_id, 'no target' FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.node_id = e.target)
+    UNION SELECT edge_id, 'evidence' FROM e WHERE (evidence_class = 'candidate') <> (candidate_set_id IS NOT NULL)""")
 def _(s, d):
     return verify.verify_graph(nodes(s, d), edges(s, d))
 
