@@ -142,8 +142,8 @@ def orphan_references(refs: DataFrame, lives: DataFrame) -> DataFrame:
     refs = refs.withColumn("range_no", _range_of(F.col("k1"), ranges))
     sizes = refs.groupBy("range_no").agg(F.count(F.lit(1)).alias("n"))
     # Fewer than MOST_SLICED ranges can hold more than 1/MOST_SLICED of the rows: that bounds the broadcast.
-    total = sizes.agg(F.greatest(F.lit(SLICE_ROWS), F.sum("n") / MOST_SLICED).alias("least")).select("least", F.lit(1).alias("one"))
-    hot = sizes.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").where(F.col("n") > F.col("least")).select("range_no", F.ceil(F.col("n") / F.col("least")).cast("int").alias("slices"))
+    least = F.greatest(F.lit(SLICE_ROWS), sizes.agg(F.sum("n") / MOST_SLICED).scalar())
+    hot = sizes.where(F.col("n") > least).select("range_no", F.ceil(F.col("n") / least).cast("int").alias("slices"))
     packed = lives.withColumn("range_no", _range_of(F.col("k1"), ranges)).groupBy("range_no").applyInPandas(_pack, "range_no int, parents binary")
     arrays = (
         packed.join(F.broadcast(hot), "range_no", "left")

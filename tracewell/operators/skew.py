@@ -22,9 +22,8 @@ HOT_ROWS = 50_000
 def hot_keys(counts: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
     """Keys of more than max(HOT_ROWS, 1/HOT_SHARE of the rows), from per-key counts."""
     # A key of more than total/HOT_SHARE rows: at most HOT_SHARE - 1 of them can exist.
-    big = counts.where(F.col(count) > HOT_ROWS).select(*keys, F.col(count).alias("__count"), F.lit(1).alias("__one"))
-    total = counts.agg(F.sum(count).alias("__total")).select("__total", F.lit(1).alias("__one"))  # one row
-    return big.join(F.broadcast(total), "__one").where(F.col("__count") * HOT_SHARE > F.col("__total")).select(*keys)
+    total = counts.agg(F.sum(count)).scalar()
+    return counts.where((F.col(count) > HOT_ROWS) & (F.col(count) * HOT_SHARE > total)).select(*keys)
 
 
 def skew_join(
