@@ -28,6 +28,16 @@ def test_innermost_owner(spark):
     assert rows(joins.innermost_owner(inner, own, ["p"], "call", "fn")) == [("f", 1, 11)]
 
 
+def test_held_pairs_against_brute_force(spark):
+    rng = random.Random(8)
+    spans = [(rng.choice("fg"), i, (a, a + rng.choice([0, 1, 7, 40, 300]))) for i, a in enumerate(rng.randrange(500) for _ in range(250))]
+    df = spark.createDataFrame([(p, i, Row(byte_start=s, byte_end=e)) for p, i, (s, e) in spans] + [("f", -1, None)], "p string, i long, span struct<byte_start: long, byte_end: long>")
+    got = rows(joins.nesting_depth(df.where("i >= 0"), ["p"], "i"))
+    want = sorted((p, i, sum(1 for q, j, (c, d) in spans if q == p and j != i and c <= a and b <= d)) for p, i, (a, b) in spans)
+    assert got == want
+    assert joins.held_pairs(df.select("p", "i", "span"), df.select("p", F.col("i").alias("j"), F.col("span").alias("_s")).limit(0), ["p"], "span", "_s").count() == 0
+
+
 def test_nearest_ancestor(spark):
     p = spark.createDataFrame([("r", "a/b/c.go"), ("r", "x.go"), ("s", "a/b/c.go")], "repo string, path string")
     m = spark.createDataFrame([("r", "a"), ("r", "a/b"), ("r", "ab"), ("r", "")], "repo string, root string")

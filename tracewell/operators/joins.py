@@ -12,6 +12,39 @@ def span_length(c: str) -> Column:
     return F.col(f"{c}.byte_end") - F.col(f"{c}.byte_start")
 
 
+def _level(span: str) -> Column:
+    """The level of the smallest aligned power-of-two block that holds a span.
+
+    A span lies within another only if its block lies within the other's, so the
+    owners of a span are found in the blocks around its own: an equi join, whose
+    pairs are few even where one file holds a large part of all rows.
+    """
+    cross = F.col(f"{span}.byte_start").bitwiseXOR(F.col(f"{span}.byte_end"))
+    return F.when(cross == 0, 0).otherwise(F.length(F.bin(cross))).cast("int")
+
+
+def _own_block(df: DataFrame, span: str) -> DataFrame:
+    return df.withColumn("_level", _level(span)).withColumn("_bin", F.expr(f"shiftright({span}.byte_start, _level)"))
+
+
+def _blocks_around(df: DataFrame, span: str, top: Column) -> DataFrame:
+    """A row for each block from the span's own up to level `top`."""
+    b = df.withColumn("_from", _level(span)).withColumn("_level", F.explode(F.sequence("_from", F.greatest("_from", top))))
+    return b.withColumn("_bin", F.expr(f"shiftright({span}.byte_start, _level)")).drop("_from")
+
+
+def held_pairs(inner: DataFrame, outer: DataFrame, keys: list[str], inner_span: str, outer_span: str) -> DataFrame:
+    """Pairs whose outer span holds the inner one, ends included, within equal keys.
+
+    Spans are byte offsets from 0; null spans hold nothing.
+    """
+    valid = lambda df, s: df.where(F.col(f"{s}.byte_start").isNotNull() & F.col(f"{s}.byte_end").isNotNull())
+    placed = _own_block(valid(outer, outer_span), outer_span)
+    top = placed.agg(F.coalesce(F.max("_level"), F.lit(0))).scalar()
+    around = _blocks_around(valid(inner, inner_span), inner_span, top)
+    return around.join(placed, [*keys, "_level", "_bin"]).where(I.range_contains(outer_span, inner_span)).drop("_level", "_bin")
+
+
 def innermost_owner(inner: DataFrame, owners: DataFrame, file_keys: list[str], inner_id: str, owner_id: str) -> DataFrame:
     """The smallest owner whose span holds each inner span of the same file: (file keys, inner id, owner id).
 
@@ -19,7 +52,7 @@ def innermost_owner(inner: DataFrame, owners: DataFrame, file_keys: list[str], i
     """
     i = inner.select(*file_keys, F.col(inner_id).alias("_i"), F.col("span").alias("_is"))
     o = owners.select(*file_keys, F.col(owner_id).alias("_o"), F.col("span").alias("_os"))
-    held = i.join(o, file_keys).where(I.range_contains("_os", "_is"))
+    held = held_pairs(i, o, file_keys, "_is", "_os")
     best = F.min(F.struct(span_length("_os").alias("n"), F.col("_o").alias("o")))
     return held.groupBy(*file_keys, F.col("_i").alias(inner_id)).agg(best.getField("o").alias("owner_id"))
 
@@ -28,7 +61,7 @@ def nesting_depth(spans: DataFrame, file_keys: list[str], id_: str) -> DataFrame
     """Of each span, how many other spans of its file hold it: (file keys, id, n_holders)."""
     a = spans.select(*file_keys, F.col(id_).alias("_a"), F.col("span").alias("_as"))
     b = spans.select(*file_keys, F.col(id_).alias("_b"), F.col("span").alias("_bs"))
-    held = a.join(b, file_keys).where((F.col("_a") != F.col("_b")) & I.range_contains("_bs", "_as"))
+    held = held_pairs(a, b, file_keys, "_as", "_bs").where(F.col("_a") != F.col("_b"))
     n = held.groupBy(*file_keys, F.col("_a").alias(id_)).agg(F.count(F.lit(1)).alias("n_holders"))
     return spans.select(*file_keys, id_).join(n, [*file_keys, id_], "left").withColumn("n_holders", F.coalesce("n_holders", F.lit(0)))
 

@@ -361,6 +361,20 @@ def _(s, d):
     return joins.incremental_snapshot(j.where("snapshot_no = hi"), j.where("snapshot_no = lo"), ["repository_id", "relative_path"], ["g"])
 
 
+@query(
+    "innermost_callable_of_scopes",
+    f"""WITH i AS (SELECT DISTINCT repository_id, relative_path, scope_id, span FROM {S} WHERE scope_kind NOT IN ('function', 'method', 'closure', 'lambda')), o AS (SELECT DISTINCT repository_id, relative_path, scope_id, span FROM {S} WHERE scope_kind IN ('function', 'method', 'closure', 'lambda'))
+    SELECT i.repository_id, i.relative_path, i.scope_id, arg_min(o.scope_id, (o.span.byte_end - o.span.byte_start) * 1000000000 + o.scope_id) AS owner_id
+    FROM i JOIN o ON o.repository_id = i.repository_id AND o.relative_path = i.relative_path AND o.span.byte_start <= i.span.byte_start AND i.span.byte_end <= o.span.byte_end GROUP BY 1, 2, 3""",
+)
+def _(s, d):
+    k = ["repository_id", "relative_path"]
+    all_ = scopes(s, d)
+    callable_ = F.col("scope_kind").isin("function", "method", "closure", "lambda")
+    pick = lambda c: all_.where(c).select(*k, "scope_id", "span").distinct()
+    return joins.innermost_owner(pick(~callable_), pick(callable_), k, "scope_id", "scope_id")
+
+
 # windows, ranking, sets
 
 
