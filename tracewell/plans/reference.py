@@ -342,8 +342,9 @@ def _(s, d):
     FROM {C} c LEFT JOIN {D} d ON d.repository_id = c.repository_id AND d.decl_name = c.written GROUP BY 1""",
 )
 def _(s, d):
-    named = declarations(s, d).select("repository_id", F.col("decl_name").alias("written"), F.concat_ws("#", "relative_path", F.col("declaration_id").cast("string")).alias("t"))
-    return candidates(s, d).select("record_id", "repository_id", "written").join(named, ["repository_id", "written"], "left").groupBy("record_id").agg(F.countDistinct("t").alias("n_named"))
+    # Declarations are counted per name before the join: a common name meets its calls once each.
+    named = declarations(s, d).groupBy("repository_id", F.col("decl_name").alias("written")).agg(F.countDistinct("relative_path", "declaration_id").alias("n"))
+    return candidates(s, d).select("record_id", "repository_id", "written").join(named, ["repository_id", "written"], "left").select("record_id", F.coalesce("n", F.lit(0)).alias("n_named"))
 
 
 @query(

@@ -61,6 +61,17 @@ def written(df: DataFrame) -> DataFrame:
     prune columns and skip row groups. The folder belongs to the application.
     """
     spark = df.sparkSession
-    where = os.path.join(checkpoint_dir(spark), "tracewell-" + spark.sparkContext.applicationId, uuid.uuid4().hex)
+    where = os.path.join(own_folder(spark), uuid.uuid4().hex)
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)
+
+
+def own_folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one."""
+    return os.path.join(checkpoint_dir(spark), "tracewell-" + spark.sparkContext.applicationId)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes what `written` made, once no DataFrame that reads it is used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
