@@ -42,7 +42,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tracewell-")
     context.setCheckpointDir(made)
-    return made
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
