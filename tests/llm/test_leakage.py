@@ -49,6 +49,18 @@ def test_against_brute_force():
     assert hits > 300
 
 
+def test_long_documents_are_searched_in_parts(monkeypatch):
+    from tracewell.llm import leakage
+
+    item = [f"w{i}" for i in range(30)]
+    index = ItemIndex([(1, " ".join(item)), (2, "other " * 12)])
+    monkeypatch.setattr(leakage, "PART", 50)
+    for at in range(0, 140, 7):
+        doc = ["x"] * at + item[:12] + ["y"] * (140 - at)
+        assert index.leaks(doc) == [1]
+        assert index.leaks(["x"] * at + item[:9] + ["y"] * (140 - at)) == []
+
+
 def test_forms_of_words():
     plain = ["explain", "why", "openbatch", "fails", "at", "12"]
     for text in (

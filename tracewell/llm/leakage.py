@@ -29,6 +29,8 @@ Q, PHRASE = 5, 16
 RUN = 10
 SHARE = 0.8
 STRETCH = 1.5
+#: Words of a document that are searched at once; longer ones are searched in overlapping parts of this size.
+PART = 50_000
 #: Items that are held by a worker at once; more are done in blocks of so many.
 BLOCK = 2000
 
@@ -186,6 +188,10 @@ class ItemIndex:
         """Ids of the items that a document of these words leaks."""
         if not tokens or not self.ids:
             return []
+        overlap = max(RUN, floor(STRETCH * max(map(len, self.words))))  # no passage is longer
+        if len(tokens) > PART + overlap:
+            parts = (tokens[a : a + PART + overlap] for a in range(0, len(tokens), PART))
+            return sorted({i for part in parts for i in self.leaks(part)})
         padded = _padded(tokens)
         phrase_gid, phrase_word = self.phrases.known(*_phrase_grams(padded))
         by_run = self.phrases.shared(phrase_gid) >= self.least_run
