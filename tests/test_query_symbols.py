@@ -142,3 +142,29 @@ def test_facets_witness_and_rollups(spark):
     k = spark.createDataFrame([("a/b.py",)], "path string")
     r = {x.query_id: (list(x.terms), list(x.identifiers), list(x.paths)) for x in symbols.query_signature(q, k, identifier_terms, ["where", "is", "in"]).collect()}
     assert r == {1: (["a", "apply", "b", "batch", "py"], ["Where", "applyBatch"], ["a/b.py"]), 2: ([], [], [])}
+
+
+def test_anchors_and_aliases(spark):
+    q = spark.createDataFrame([("Which functions call applyBatch applyBatch in util.encode: a::b?",), ("",), ("who is it",)], "t string")
+    assert [list(r[0]) for r in q.select(query.anchors(F.col("t"))).collect()] == [["applyBatch", "util.encode", "a::b"], [], []]
+    m = spark.createDataFrame([("r", "b", t) for t in "ZYXWV"] + [("r", c, t) for c in "acd" for t in "mnop"], "repository_id string, role string, term string")
+    got = {r.role: list(r.terms) for r in query.manifest_aliases(m).collect()}
+    assert got == {"a": list("mnop"), "b": list("vwxy"), "c": list("mnop")}
+    d = spark.createDataFrame([("incoming", "call_candidate"), ("outgoing", "call_candidate"), ("incoming", "contains")], "d string, k string")
+    assert [r[0] for r in d.select(query.edge_relevant("callers", F.col("d"), F.col("k"))).collect()] == [True, False, False]
+
+
+def test_view_query(spark, graph_tables):
+    from tracewell.operators.packet import parse_packet
+
+    n, e = graph_tables
+    out = query.view_query(query.QueryPlan("apply batch", intent="related"), n, e)
+    doc = parse_packet(out["packet"].first().packet)
+    assert doc.query == "apply batch" and len(doc.facts) == 7 and {r[0] for r in doc.relations} == {"call_candidate", "contains"}
+    o = query.observation(out["seeds"], out["related"]).first()
+    assert (o.n_seeds, o.n_related, o.n_candidates) == (5, 2, 1)
+    m = spark.createDataFrame([("q", "x", 0.5), ("q", "y", 0.2)], "query string, entry string, similarity double")
+    r = spark.createDataFrame([("x", "same"), ("x", "gone"), ("z", "same")], "entry string, state string")
+    assert rows(query.compose_memory(m, r).select("entry", "n_same", "n_gone")) == [("x", 1, 1), ("y", 0, 0)]
+    g = spark.createDataFrame([("a",)], "family string")
+    assert query.gap_signatures(g, g.withColumn("node", F.lit(None).cast("string"))).count() == 1
