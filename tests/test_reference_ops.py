@@ -316,3 +316,19 @@ def test_php_class_calls(spark):
         "static::own": ("static", "out_of_scope", []),
     }
     assert {r.rule_id for r in links.rule_registry(spark).collect()} == set(links.RULES)
+
+
+def test_php_function_tiers_and_methods(spark):
+    texts = {
+        "a.php": "<?php\nnamespace A;\nuse function B\\imp;\nuse function B\\lost;\nfunction own() {}\nclass C { function own() { imp(); lost(); own(); glob(); \\own(); nowhere(); $f(); } }\n",
+        "b.php": "<?php\nnamespace B;\nfunction imp() {}\n",
+        "g.php": "<?php\nfunction glob() {}\nfunction GLOB() {}\n",
+        "r.rs": "struct S;\nimpl<'a> T for S { fn m() { free() } }\nimpl S { fn n() {} }\nfn free() {}\n",
+    }
+    files = spark.createDataFrame([("r", p, t) for p, t in texts.items()], "repository_id string, relative_path string, source_text string").withColumn("lang", repository.language_by_path(F.col("relative_path")))
+    f = extract.source_facts(files, ["repository_id", "relative_path"], "lang", "source_text").cache()
+    kinds = {(r.relative_path, r.name, r.kind, r.scope) for r in f.where("fact_kind = 'declaration' and kind in ('function', 'method')").collect()}
+    assert kinds == {("a.php", "own", "function", ""), ("a.php", "own", "method", "C"), ("b.php", "imp", "function", ""), ("g.php", "glob", "function", ""), ("g.php", "GLOB", "function", ""), ("r.rs", "m", "method", "S"), ("r.rs", "n", "method", "S"), ("r.rs", "free", "function", "")}
+    got = {r.name: (r.outcome, list(r.candidates)) for r in links.php_function_calls(f).collect()}
+    assert got["imp"] == ("single_candidate", ["b.php#1"]) and got["lost"] == ("no_candidate", []) and got["own"] == ("single_candidate", ["a.php#1"])
+    assert got["glob"] == ("multiple_candidates", ["g.php#0", "g.php#1"]) and got["nowhere"] == ("no_candidate", []) and "$f" not in got

@@ -131,7 +131,7 @@ _DECLARED = {
         ("interface", re.compile(r"\binterface\s+(\w+)")),
         ("trait", re.compile(r"\btrait\s+(\w+)")),
         ("enum", re.compile(r"\benum\s+(\w+)\s*[:{\n]")),
-        ("function", re.compile(r"\bfunction\s+&?\s*(\w+)")),
+        ("function", re.compile(r"\bfunction\s+&?\s*(\w+)\s*\(")),
         ("constant", re.compile(r"\bconst\s+(?:\w+\s+)?(\w+)\s*=")),
     ],
 }
@@ -151,6 +151,28 @@ _NO_CALL = {
 _PHP_HEAD = re.compile(r"\b(?:class|interface|enum)\s+(\w+)[^{};]*?(?:\sextends\s+([\w\\,\s]+?))?(?:\simplements\s+([\w\\,\s]+?))?\s*\{")
 
 
+#: What owns the functions in its braces: the name is in the first group that is there.
+_OWNERS = {
+    "php": re.compile(r"(?<![:$>\w])(?:class|interface|trait|enum)\s+(\w+)[^{};]*\{"),
+    "rust": re.compile(r"\b(?:impl\b[^{};]*?\bfor\s+([\w:]+)|impl\s*(?:<[^{}]*?>\s*)?([\w:]+)|trait\s+(\w+))[^{};]*\{"),
+}
+
+
+def _bodies(code: str, heads: re.Pattern[str]) -> list[tuple[int, int, str]]:
+    """(start, end, owner) of what stands in the braces of each head, the innermost first."""
+    closes, open_ = {}, []
+    for m in re.finditer(r"[{}]", code):
+        if m.group() == "{":
+            open_.append(m.start())
+        elif open_:
+            closes[open_.pop()] = m.start()
+    out = []
+    for m in heads.finditer(code):
+        start = m.end() - 1
+        out.append((start, closes.get(start, len(code)), next((g for g in m.groups() if g), "")))
+    return sorted(out, key=lambda b: b[1] - b[0])
+
+
 def _blanked(language: str, text: str) -> str:
     """The text with strings and comments replaced by as many blanks (line breaks kept)."""
     return _BLANK[language].sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
@@ -219,8 +241,10 @@ def facts_of(language: str | None, text: str | None) -> list[Fact]:
     found = []
     for kind, pattern in _DECLARED[language]:
         found += [(m.start(1), kind, m.group(1), m.end(1)) for m in pattern.finditer(code)]
+    bodies = _bodies(code, _OWNERS[language]) if language in _OWNERS else []
     for start, kind, name, end in sorted(found):
-        out.add("declaration", "", kind, name, start, end)
+        owner = next((o for a, b, o in bodies if a < start < b), "") if kind in ("function", "constant", "type") else ""
+        out.add("declaration", owner, "method" if owner and kind == "function" else kind, name, start, end)
     _imports(language, text, code, out)
     if language == "php":
         for m in _PHP_HEAD.finditer(code):

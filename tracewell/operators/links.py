@@ -146,6 +146,29 @@ def php_namespaces(facts: DataFrame) -> DataFrame:
     return _record(n.withColumn("_f", F.lower("fqn")).join(same, ["repository_id", "_f"]), "php.namespace.declaration", F.col("_t"))
 
 
+def php_function_calls(facts: DataFrame) -> DataFrame:
+    """Plain PHP calls by tiers: the imported function, else one of the namespace, else a global one.
+
+    The first tier with a function of that full name (without regard to case)
+    wins, and all its functions are candidates. An import whose function is not
+    there ends the search.
+    """
+    keys = ["repository_id", "relative_path"]
+    php = facts.where(F.col("relative_path").endswith(".php"))
+    space = php.where("fact_kind = 'declaration' and kind = 'namespace'").groupBy(*keys).agg(F.min_by("name", "byte_start").alias("_ns"))
+    qualified = F.lower(F.when(F.col("_ns").isNull(), F.col("name")).otherwise(F.concat("_ns", F.lit("\\"), "name")))
+    functions = php.where("fact_kind = 'declaration' and kind = 'function'").join(space, keys, "left").groupBy("repository_id", qualified.alias("_f")).agg(F.sort_array(F.collect_set(F.concat_ws("#", "relative_path", F.col("fact_id").cast("string")))).alias("_fns"))
+    imports = php.where("fact_kind = 'import' and kind = 'function'").select(*keys, F.lower("target").alias("_alias"), F.lower("name").alias("_full")).dropDuplicates([*keys, "_alias"])
+    calls = php.where("fact_kind = 'call' and kind = 'plain'").where(~F.col("name").startswith("$")).join(space, keys, "left").withColumn("_alias", F.lower("name")).join(imports, [*keys, "_alias"], "left")
+    bare = F.lower(F.regexp_replace("name", r"^\\", ""))
+    ways = F.when(F.col("_full").isNotNull(), F.array("_full")).when(F.col("name").startswith("\\") | F.col("_ns").isNull(), F.array(bare)).otherwise(F.array(F.lower(F.concat("_ns", F.lit("\\"), "name")), bare))
+    tiers = calls.select(*keys, "fact_id", "name", F.posexplode(ways).alias("_tier", "_f")).join(functions, ["repository_id", "_f"], "left")
+    best = tiers.groupBy(*keys, "fact_id", "name").agg(F.min(F.when(F.col("_fns").isNotNull(), F.struct(F.col("_tier").alias("t"), F.col("_fns").alias("c")))).alias("_b"))
+    t = F.coalesce("_b.c", F.array().cast("array<string>"))
+    outcome = F.when(F.size(t) == 0, "no_candidate").when(F.size(t) == 1, "single_candidate").otherwise("multiple_candidates")
+    return best.select(*keys, "fact_id", "name", outcome.alias("outcome"), t.alias("candidates"))
+
+
 def inheritance_levels(parents: DataFrame, bound: int = 64) -> DataFrame:
     """(class, ancestor, level): every ancestor at its least level, safe against cycles.
 
@@ -360,7 +383,7 @@ def php_class_calls(facts: DataFrame) -> DataFrame:
     up = up.join(names.select("repository_id", F.concat_ws("#", "relative_path", F.col("fact_id").cast("string")).alias("_t"), "_f"), ["repository_id", "_t"]).select(*keys, "_f").distinct()
     above = calls.where(F.lower("_class") == "parent").join(up, keys, "left").select(*keys, "fact_id", "_how", "name", "_method", "_f")
     met = named.unionByName(own).unionByName(above).join(names.select("repository_id", "_f", F.col("relative_path").alias("_p"), F.col("fact_id").alias("_d")), ["repository_id", "_f"], "left")
-    methods = php.where("fact_kind = 'declaration' and kind = 'function'").select("repository_id", F.col("relative_path").alias("_p"), F.lower("name").alias("_m"), F.col("fact_id").alias("_md"))
+    methods = php.where("fact_kind = 'declaration' and kind = 'method'").select("repository_id", F.col("relative_path").alias("_p"), F.lower("name").alias("_m"), F.col("fact_id").alias("_md"))
     met = met.withColumn("_m", F.lower("_method")).join(methods, ["repository_id", "_p", "_m"], "left")
     hit = F.when(F.col("_how") == "construct", F.when(F.col("_d").isNotNull(), F.concat_ws("#", "_p", F.col("_d").cast("string")))).otherwise(F.when(F.col("_md").isNotNull(), F.concat_ws("#", "_p", F.col("_md").cast("string"))))
     per = met.groupBy(*keys, "fact_id", "_how", "name").agg(F.sort_array(F.collect_set(hit)).alias("candidates"))

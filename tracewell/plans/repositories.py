@@ -99,6 +99,11 @@ def _(s, d):
     return _flat(links.php_class_calls(facts(s, d)), "candidates")
 
 
+@query("call_candidates_php_functions")
+def _(s, d):
+    return _flat(links.php_function_calls(facts(s, d)), "candidates")
+
+
 @query("rule_registry")
 def _(s, d):
     return links.rule_registry(s)
