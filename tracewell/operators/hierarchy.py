@@ -38,54 +38,67 @@ def solve_hierarchy(rows: DataFrame, tree: list[str], node: str, parent: str) ->
 
     One row per (tree, node) is expected (see `latest_rows`); ids are whole
     numbers. A node whose parent is null or does not occur in its tree is a
-    root of depth 0. Rows without id (or with one that
-    is no whole number) or tree are no nodes. Returns tree, node,
-    root, depth, path (array from the root to the node) and status: `ok`,
+    root of depth 0. Rows without id (or with one that is no whole number) or
+    tree are no nodes. Returns tree, node, root, depth, path (array from the root to the node) and status: `ok`,
     `cycle` (its own ancestor) or `below_cycle`; for the latter two root and
     depth are null and path is empty. An empty table gives an empty result;
     other columns are ignored, whatever their names.
     """
-    names = [f"_t{i}" for i in range(len(tree))]
-    plain = rows.select(*[F.col(t).alias(n) for t, n in zip(tree, names)], F.col(node).try_cast("long").alias("id"), F.col(parent).try_cast("long").alias("par"))
-    plain = written(plain.dropna(subset=[*names, "id"]))
-    walks = _walked(_begin(plain, names), names)
+    return _solved(rows, tree, node, parent, False)
+
+
+def _solved(rows: DataFrame, tree: list[str], node: str, parent: str, counts: bool) -> DataFrame:
+    """`solve_hierarchy`; with `counts` also n_descendants (null where no root is reached).
+
+    Trees are named by two 64-bit hashes while walks are followed, so that the
+    rounds move numbers only; their own columns come back in one last join.
+    """
+    names, own = ["_t0", "_t1"], [f"_c{i}" for i in range(len(tree))]
+    flat = rows.select(*[F.col(t).alias(n) for t, n in zip(tree, own)], F.col(node).try_cast("long").alias("id"), F.col(parent).try_cast("long").alias("par")).dropna(subset=[*own, "id"])
+    flat = written(flat.select(F.xxhash64(*own).alias("_t0"), F.xxhash64(F.lit(7), *own).alias("_t1"), *own, "id", "par"))
+    walks = _walked(_begin(flat.select(*names, "id", "par"), names), names)
     solved = _expand(walks, names)
-    return solved.select(*[F.col(n).alias(t) for t, n in zip(tree, names)], F.col("id").alias(node), "root", "depth", "path", "status")
+    if counts:
+        solved = with_descendant_counts(written(solved), names, "id")
+    more = ["n_descendants"] if counts else []
+    whole = solved.join(flat.select(*names, *own, "id"), [*names, "id"])
+    return whole.select(*[F.col(n).alias(t) for t, n in zip(tree, own)], F.col("id").alias(node), "root", "depth", "path", "status", *more)
 
 
 def _begin(plain: DataFrame, tree: list[str]) -> DataFrame:
-    """Walks of no step: (tree, id, ptr, seg, split, open, looped).
+    """Walks of no step: (tree, id, ptr, seg, split, kid, open, looped).
 
     `ptr` is where the walk stands, null past a root; `seg` what it passed, from
-    there down to the node itself.
+    there down to the node itself; `kid` whether the node has children.
     """
     kids = plain.groupBy(*tree, "par").agg(F.count(F.lit(1)).alias("n"))
-    wide = kids.where(F.col("n") > WIDE).select(*tree, F.col("par").alias("id"), F.lit(True).alias("wide"))
-    marked = plain.join(wide, [*tree, "id"], "left")
-    split = F.coalesce(F.col("wide"), F.lit(False)) | (F.pmod(F.xxhash64(*tree, "id"), F.lit(SPLIT)) == 0)
-    marked = marked.select(*tree, "id", "par", split.alias("split"))
-    above = marked.select(*tree, F.col("id").alias("par"), F.col("split").alias("_split"))
+    marked = plain.join(kids.withColumnRenamed("par", "id"), [*tree, "id"], "left")
+    split = (F.coalesce("n", F.lit(0)) > WIDE) | (F.pmod(F.xxhash64(*tree, "id"), F.lit(SPLIT)) == 0)
+    marked = marked.select(*tree, "id", "par", split.alias("split"), F.col("n").isNotNull().alias("kid"))
+    above = marked.where("kid").select(*tree, F.col("id").alias("par"), F.col("split").alias("_split"))
     linked = skew_join(marked, above, [*tree, "par"], F.col("id"), "left", kids)
     exists = F.col("_split").isNotNull()
-    return linked.select(*tree, "id", F.when(exists, F.col("par")).alias("ptr"), F.array("id").alias("seg"), "split", (exists & ~F.col("_split")).alias("open"), F.lit(False).alias("looped"))
+    return linked.select(*tree, "id", F.when(exists, F.col("par")).alias("ptr"), F.array("id").alias("seg"), "split", "kid", (exists & ~F.col("_split")).alias("open"), F.lit(False).alias("looped"))
 
 
 def _walked(state: DataFrame, tree: list[str]) -> DataFrame:
     """`state` with every open walk followed to its end, each round doubling the steps taken.
 
+    Only nodes with children are ever stood on, so only they are looked up.
+
     An open walk stands on a node that has a walk of its own, which it takes
     over. A walk that passed a node twice is closed as looped.
     """
     state, ended = written(state), []
     while n := (going := state.where("open")).count():
         ahead = state if not ended else state.unionByName(_all(ended))
-        ahead = ahead.select(*tree, F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("seg").alias("_seg"), F.col("open").alias("_open"), F.col("looped").alias("_looped"))
+        ahead = ahead.where("kid").select(*tree, F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("seg").alias("_seg"), F.col("open").alias("_open"), F.col("looped").alias("_looped"))
         # So few walks that no key can be hot need no salting.
         moved = skew_join(going, ahead, [*tree, "ptr"], F.col("id")) if n > skew.HOT_ROWS else going.join(ahead, [*tree, "ptr"])
         seg = F.concat("_seg", "seg")
         looped = F.col("_looped") | (F.size(F.array_distinct(seg)) < F.size(seg))
         ended.append(state.where(~F.col("open")))
-        state = written(moved.select(*tree, "id", F.col("_ptr").alias("ptr"), seg.alias("seg"), "split", (F.col("_open") & ~looped).alias("open"), looped.alias("looped")))
+        state = written(moved.select(*tree, "id", F.col("_ptr").alias("ptr"), seg.alias("seg"), "split", "kid", (F.col("_open") & ~looped).alias("open"), looped.alias("looped")))
     return _all([*ended, state])
 
 
@@ -144,8 +157,7 @@ def scope_hierarchy(scopes: DataFrame) -> DataFrame:
     """Every scope with its root, depth, path, descendants and status (-1 and '' where no root is reached)."""
     tree = ["repository_id", "relative_path"]
     newest = latest_rows(scopes, [*tree, "scope_id"], "ingested_at", ["parent_scope_id"])
-    solved = written(solve_hierarchy(newest, tree, "scope_id", "parent_scope_id"))
-    counted = with_descendant_counts(solved, tree, "scope_id")
+    counted = _solved(newest, tree, "scope_id", "parent_scope_id", True)
     return counted.select(
         *tree,
         "scope_id",
