@@ -466,6 +466,13 @@ def _(s, d):
     return graph.bounded_search(e, nodes(s, d).where("node_kind = 'entity'").select("node_id"), 4, None)
 
 
+# The query above ends at depth 4, as its SQL does; this one goes as deep as the operator, with SQL of its own.
+@query("graph_search_whole", SQL["graph_bounded_search"].replace("w.depth < 4", f"w.depth < {graph.BFS_DEPTH}"))
+def _(s, d):
+    e = edges(s, d).where("target is not null")
+    return graph.bounded_search(e, nodes(s, d).where("node_kind = 'entity'").select("node_id"), graph.BFS_DEPTH, None)
+
+
 @query(
     "graph_trails",
     f"""WITH RECURSIVE e AS {E_}, w AS (SELECT node_id AS seed, node_id, 0 AS depth, [] :: VARCHAR[] AS trail FROM {N} WHERE node_kind = 'entity' UNION ALL SELECT w.seed, e.target, w.depth + 1, list_append(w.trail, e.edge_id) FROM w JOIN e ON e.source = w.node_id WHERE w.depth < 3 AND NOT list_contains(w.trail, e.edge_id))
