@@ -2,6 +2,7 @@
 
 import pytest
 
+from tracewell.operators import extract
 from tracewell.plans import reference
 
 NODE = "node_id string, repository_id string, node_key string, node_kind string, language string, relative_path string, label string, disposition_kind string, deleted_at timestamp"
@@ -24,3 +25,34 @@ def chain(spark, tmp_path):
 def test_search_goes_to_depth_8(spark, chain):
     got = sorted((r.node_id, r.depth) for r in reference.QUERIES["graph_search_whole"](spark, chain).collect())
     assert got == [(f"n{i}", i) for i in range(9)]
+
+
+def python_facts(text):
+    return [(f[0], f[2], f[4]) for f in extract.facts_of("python", text)]
+
+
+def test_facts_beside_damage():
+    text = "import a\nclass K:\n    def f(self):\n        g()\n<<<<<<< HEAD\n        h()\n=======\n        i()\n>>>>>>> x\n        j()\nx = (\nprint 'k'\ndef last():\n    z.é()\n"
+    got = python_facts(text)
+    assert {("import", "", "a"), ("declaration", "", "K"), ("declaration", "K", "f"), ("declaration", "", "last"), ("call", "last", "z.é"), *(("call", "K.f", n) for n in "ghij")} == set(got)
+    where = [f[7:] for f in extract.facts_of("python", text) if f[4] == "last"]
+    assert where == [(text.index("def last"), len(text.encode()) - 1)]
+
+
+def test_old_python_and_moved_lines():
+    text = "try:\n    import a\nexcept E, e:\n    print 'x'\nclass T:\n    def m(self):\n        raise E, 'y'\n      n()\n    def o(self):\n        p()\n"
+    assert {("import", "", "a"), ("declaration", "", "T"), ("declaration", "T", "m"), ("declaration", "T", "o"), ("call", "T.o", "p")} <= set(python_facts(text))
+    call = next(f for f in extract.facts_of("python", text) if f[4] == "n")
+    assert call[7:] == (text.index("n()"), text.index("n()") + 3)
+
+
+def test_nesting_is_no_bound():
+    assert python_facts("import q\ny = " + "a.b()" + ".b()" * 1500 + "\n")[0] == ("import", "", "q")
+    deep = "z = " + "-" * 20000 + "1\nfrom ..r import (s as t,\n  u)\nclass T:\n  def m(self):\n    h(1)  # no()\n"
+    assert python_facts(deep) == [("declaration", "", "z"), ("import", "", "r"), ("import", "", "r"), ("declaration", "", "T"), ("declaration", "T", "m"), ("call", "T.m", "h")]
+
+
+def test_damage_at_a_blank_last_line_ends():
+    text = "import a\nclass K:\n    def f(self):\n        try:\n            g()\n  "
+    got = python_facts(text)
+    assert {("import", "", "a"), ("declaration", "", "K"), ("declaration", "K", "f"), ("call", "K.f", "g")} == set(got)

@@ -1,8 +1,8 @@
 """Facts of source texts: declarations, imports and calls, one row each.
 
-Python is read with the standard parser; Go, Rust and PHP by their own token
-patterns, strings and comments set aside, so that damaged files still give the
-facts beside the damage.
+Python is read with the standard parser, damaged lines taken out where it
+stops; Go, Rust and PHP by their own token patterns, strings and comments set
+aside. So damaged files still give the facts beside the damage.
 """
 
 from __future__ import annotations
@@ -30,73 +30,261 @@ class _Facts:
         self.count[fact] += 1
 
 
-class _Python(ast.NodeVisitor):
-    def __init__(self, text: str, out: _Facts) -> None:
-        self.out, self.scope, self.kinds = out, [], ["file"]
+class _Python:
+    """Facts of a Python tree, with an explicit stack: depth of nesting is no bound.
+
+    Each visit is a generator of the nodes to visit next. `shift` has the bytes
+    that were taken off the front of a line before it was parsed.
+    """
+
+    def __init__(self, text: str, out: _Facts, shift: dict[int, int] | None = None) -> None:
+        self.out, self.scope, self.kinds, self.shift = out, [], ["file"], shift or {}
+        self.source = text.encode()
         self.starts = [0]
-        for line in text.encode().splitlines(keepends=True):
+        for line in self.source.splitlines(keepends=True):
             self.starts.append(self.starts[-1] + len(line))
 
+    def _place(self, line: int, column: int) -> int:
+        return min(self.starts[line - 1] + column + self.shift.get(line, 0), self.starts[min(line, len(self.starts) - 1)])
+
     def at(self, node) -> tuple[int, int]:
-        return self.starts[node.lineno - 1] + node.col_offset, self.starts[node.end_lineno - 1] + node.end_col_offset
+        return self._place(node.lineno, node.col_offset), self._place(node.end_lineno, node.end_col_offset)
 
     def name(self) -> str:
         return ".".join(self.scope)
 
-    def _inner(self, node, kind: str, label: str) -> None:
+    def spelled(self, node) -> str:
+        try:
+            return ast.unparse(node)
+        except RecursionError:
+            start, end = self.at(node)
+            return re.sub(r"\s+", " ", self.source[start:end].decode(errors="replace"))
+
+    def visit(self, root) -> None:
+        stack = [iter([root])]
+        while stack:
+            node = next(stack[-1], None)
+            if node is None:
+                stack.pop()
+            else:
+                stack.append(getattr(self, "visit_" + type(node).__name__, ast.iter_child_nodes)(node))
+
+    def _inner(self, node, kind: str, label: str) -> Iterator[ast.AST]:
         # Decorators, defaults and bases belong to the scope around.
         self.out.add("declaration", self.name(), kind, label, *self.at(node))
         for base in getattr(node, "bases", []):
             if isinstance(base, (ast.Name, ast.Attribute)):
-                self.out.add("reference", self.name(), "extends", ast.unparse(base), *self.at(base), target=label)
-        for outer in [*node.decorator_list, *getattr(node, "bases", []), *getattr(node, "keywords", [])]:
-            self.visit(outer)
+                self.out.add("reference", self.name(), "extends", self.spelled(base), *self.at(base), target=label)
+        yield from [*node.decorator_list, *getattr(node, "bases", []), *getattr(node, "keywords", [])]
         if hasattr(node, "args"):
-            for d in [*node.args.defaults, *[x for x in node.args.kw_defaults if x]]:
-                self.visit(d)
+            yield from [*node.args.defaults, *[x for x in node.args.kw_defaults if x]]
         self.scope.append(label)
         self.kinds.append("class" if kind == "class" else "function")
-        for x in node.body:
-            self.visit(x)
+        yield from node.body
         self.scope.pop()
         self.kinds.pop()
 
-    def visit_FunctionDef(self, node) -> None:
-        self._inner(node, "method" if self.kinds[-1] == "class" else "function", node.name)
+    def visit_FunctionDef(self, node) -> Iterator[ast.AST]:
+        return self._inner(node, "method" if self.kinds[-1] == "class" else "function", node.name)
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
-    def visit_ClassDef(self, node) -> None:
-        self._inner(node, "class", node.name)
+    def visit_ClassDef(self, node) -> Iterator[ast.AST]:
+        return self._inner(node, "class", node.name)
 
-    def _targets(self, targets, value) -> None:
+    def _targets(self, targets, value) -> Iterator[ast.AST]:
         if self.kinds[-1] != "function":
             for t in targets:
                 for x in t.elts if isinstance(t, (ast.Tuple, ast.List)) else [t]:
                     if isinstance(x, ast.Name):
                         kind = "field" if self.kinds[-1] == "class" else "constant" if x.id.isupper() else "variable"
                         self.out.add("declaration", self.name(), kind, x.id, *self.at(x))
-        if value is not None:
-            self.visit(value)
+        return iter([] if value is None else [value])
 
-    def visit_Assign(self, node) -> None:
-        self._targets(node.targets, node.value)
+    def visit_Assign(self, node) -> Iterator[ast.AST]:
+        return self._targets(node.targets, node.value)
 
-    def visit_AnnAssign(self, node) -> None:
-        self._targets([node.target], node.value)
+    def visit_AnnAssign(self, node) -> Iterator[ast.AST]:
+        return self._targets([node.target], node.value)
 
-    def visit_Import(self, node) -> None:
+    def visit_Import(self, node) -> Iterator[ast.AST]:
         for a in node.names:
             self.out.add("import", self.name(), "import", a.name, *self.at(node), target=a.asname or "")
+        return iter([])
 
-    def visit_ImportFrom(self, node) -> None:
+    def visit_ImportFrom(self, node) -> Iterator[ast.AST]:
         for a in node.names:
             self.out.add("import", self.name(), "from", node.module or "", *self.at(node), target=a.name, level=node.level)
+        return iter([])
 
-    def visit_Call(self, node) -> None:
+    def visit_Call(self, node) -> Iterator[ast.AST]:
         kind = "plain" if isinstance(node.func, ast.Name) else "member" if isinstance(node.func, ast.Attribute) else "indirect"
-        self.out.add("call", self.name(), kind, ast.unparse(node.func) if kind != "indirect" else "", *self.at(node))
-        self.generic_visit(node)
+        self.out.add("call", self.name(), kind, self.spelled(node.func) if kind != "indirect" else "", *self.at(node))
+        return ast.iter_child_nodes(node)
+
+
+#: A line of a merge conflict.
+_MARKER = re.compile(r"(?:<{7}|>{7}|\|{7})(?:\s|$)|={7}\s*$")
+_GOES_ON = re.compile(r"(?:else|elif|except|finally)\b|[\s#)\]}]|$")
+
+
+def _parsed(text: str) -> ast.Module:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return ast.parse(text)
+
+
+class _Repaired:
+    """A Python text that does not parse, mended line by line until it does.
+
+    The line the parser stops at gives way to `pass` (to `if 1:` where a block
+    follows, to nothing where it is a conflict marker or stands in brackets) and
+    the text is parsed again; all other lines keep their place and their scope.
+    What is sound before the damaged top-level statement is parsed but once.
+    `damaged` has the lines that gave way or had to be moved.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.lines = [x.decode() for x in text.encode().splitlines(keepends=True)]
+        self.state, self.shift, self.damaged, self.body = [0] * len(self.lines), {}, set(), []
+        for i, line in enumerate(self.lines):
+            if "\0" in line:
+                self.lines[i] = line.replace("\0", " ")
+                self.damaged.add(i)
+        if self.lines and self.lines[0].startswith("\ufeff"):
+            self.lines[0], self.shift[1] = self.lines[0][1:], 3
+            self.damaged.add(0)
+        base = 0
+        while base < len(self.lines):
+            try:
+                self._keep(base, len(self.lines))
+                break
+            except SyntaxError as e:
+                at = min(max(base, base + (e.lineno or 1) - 1), len(self.lines) - 1)
+                was = list(self.lines)
+                self._mend(base, at, e)
+                if self.lines == was:
+                    raise MemoryError("nothing is left to mend") from e
+                start = next((i for i in range(at, base, -1) if not _GOES_ON.match(self.lines[i])), base)
+                if start > base:
+                    try:
+                        self._keep(base, start)
+                        base = start
+                    except SyntaxError:
+                        pass
+
+    def _keep(self, start: int, end: int) -> None:
+        self.body += ast.increment_lineno(_parsed("".join(self.lines[start:end])), start).body
+
+    def _indent(self, i: int) -> int:
+        return len(self.lines[i]) - len(self.lines[i].lstrip(" \t\f"))
+
+    def _filled(self, i: int) -> bool:
+        return self.lines[i].strip() != ""
+
+    def _move(self, i: int, to: int) -> None:
+        """Takes the block that begins at line i to a smaller indent."""
+        at = self._indent(i)
+        self.damaged.add(i)
+        for k in range(i, len(self.lines)):
+            if self._filled(k):
+                if self._indent(k) < at:
+                    break
+                self.lines[k] = self.lines[k][at - to :]
+                self.shift[k + 1] = self.shift.get(k + 1, 0) + at - to
+
+    def _mend(self, base: int, at: int, e: SyntaxError) -> None:
+        if isinstance(e, TabError) and any("\t" in x[: self._indent(base + k)] for k, x in enumerate(self.lines[base:])):
+            self.damaged.add(at)
+            for k in range(base, len(self.lines)):
+                n = self._indent(k)
+                front = self.lines[k][:n].expandtabs(8)
+                self.lines[k] = front + self.lines[k][n:]
+                self.shift[k + 1] = self.shift.get(k + 1, 0) + n - len(front)
+            return
+        if isinstance(e, IndentationError) and (m := re.search(r"expected an indented block after .* on line (\d+)", e.msg)):
+            # The head of the empty block keeps its facts.
+            head = base + int(m.group(1)) - 1
+            if self.state[head] == 0 and self.lines[head].rstrip().endswith(":") and "#" not in self.lines[head]:
+                self.lines[head] = self.lines[head].rstrip() + " pass\n"
+                self.state[head] = 1
+                self.damaged.add(head)
+                return
+            at = head if self.state[head] < 2 else at
+        elif isinstance(e, IndentationError) and self._indent(at) and self._filled(at):
+            before = [self._indent(k) for k in range(base, at) if self._filled(k)]
+            lower = [x for x in before if x < self._indent(at)]
+            last = before[-1] if before else 0
+            self._move(at, last if "unexpected indent" in e.msg and last < self._indent(at) else max(lower, default=0))
+            return
+        elif "expected 'except'" in e.msg:
+            opened = next((k for k in range(at, base - 1, -1) if re.match(r"\s*try\s*:", self.lines[k]) and self._indent(k) >= (self._indent(at) if self._filled(at) else 0)), None)
+            if opened is not None:
+                self.lines[opened] = re.sub(r"try\s*:", "if 1:", self.lines[opened], count=1)
+                self.damaged.add(opened)
+                return
+        while at > base and (self.state[at] >= 2 or not self._filled(at)):
+            at -= 1
+        if self.state[at] >= 2 or not self._filled(at):  # nothing is left here that could be at fault
+            at = next((k for k in range(base, len(self.lines)) if self._filled(k) and self.state[k] < 2), None)
+            if at is None:
+                raise MemoryError("no line is left to mend")
+        self.damaged.add(at)
+        if self.state[at] < 1 and not _MARKER.match(self.lines[at]):
+            n = self._indent(at)
+            after = next((self._indent(k) for k in range(at + 1, len(self.lines)) if self._filled(k)), 0)
+            self.lines[at], self.state[at] = self.lines[at][:n] + ("if 1:\n" if after > n else "pass\n"), 1
+        else:
+            self.lines[at], self.state[at] = "\n", 2
+
+
+_PY_BLANK = re.compile(r"(?i:\b[rbuf]{1,2})?(?:\"\"\".*?(?:\"\"\"|\Z)|\'\'\'.*?(?:\'\'\'|\Z)|\"(?:[^\"\\\n]|\\.)*\"|\'(?:[^\'\\\n]|\\.)*\')|#[^\n]*", re.S)
+_PY_FACT = re.compile(r"^(?P<indent>[ \t]*)(?:(?:async[ \t]+)?(?P<kind>def|class)[ \t]+(?P<decl>\w+)|from[ \t]+(?P<dots>\.*)(?P<module>[\w.]*)[ \t]+import[ \t]*(?P<names>\([^)]*\)|[^\n;]*)|import[ \t]+(?P<modules>[^\n;]+)|(?P<target>\w+)[ \t]*(?::[^=\n]+)?=(?!=))|(?<![\w.])(?P<call>\w+(?:\s*\.\s*\w+)*)\s*\(", re.M)
+_PY_NO_CALL = frozenset("if elif while for in and or not return yield await assert del with lambda print except raise from import is else class def match case".split())
+
+
+def _python_patterns(text: str, out: _Facts) -> None:
+    """Facts by token patterns, for what the parser cannot hold. Scopes go by indent."""
+    code = _PY_BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    ascii_ = code.isascii() and text.isascii()
+    place = (lambda i: i) if ascii_ else (lambda i: len(text[:i].encode()))
+    open_: list[tuple[int, str, str]] = []
+    for m in _PY_FACT.finditer(code):
+        if m["call"] is None:
+            while open_ and open_[-1][0] >= len(m["indent"]):
+                open_.pop()
+        scope, inside = ".".join(x for _, x, _ in open_), open_[-1][2] if open_ else "file"
+        where = place(m.start() + len(m["indent"] or "")), place(m.end())
+        if m["decl"]:
+            out.add("declaration", scope, "class" if m["kind"] == "class" else "method" if inside == "class" else "function", m["decl"], *where)
+            open_.append((len(m["indent"]), m["decl"], "class" if m["kind"] == "class" else "function"))
+        elif m["target"]:
+            if inside != "function":
+                out.add("declaration", scope, "field" if inside == "class" else "constant" if m["target"].isupper() else "variable", m["target"], *where)
+        elif m["call"] is not None:
+            if m["call"] not in _PY_NO_CALL:
+                out.add("call", scope, "member" if "." in m["call"] else "plain", re.sub(r"\s+", "", m["call"]), *where)
+        else:
+            for part in (m["modules"] or m["names"].strip("()")).split(","):
+                name, _, alias = " ".join(part.split()).partition(" as ")
+                if name and m["modules"]:
+                    out.add("import", scope, "import", name, *where, target=alias)
+                elif name:
+                    out.add("import", scope, "from", m["module"], *where, target=name, level=len(m["dots"]))
+
+
+def _python_facts(text: str) -> list[Fact]:
+    out = _Facts()
+    try:
+        try:
+            _Python(text, out).visit(_parsed(text))
+        except SyntaxError:
+            mended = _Repaired(text)
+            _Python(text, out, mended.shift).visit(ast.Module(mended.body, []))
+    except (ValueError, RecursionError, MemoryError):
+        out = _Facts()
+        _python_patterns(text, out)
+    return out.rows
 
 
 _BLANK = {
@@ -227,14 +415,7 @@ def facts_of(language: str | None, text: str | None) -> list[Fact]:
     if text is None or language is None:
         return []
     if language == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                tree = ast.parse(text)
-            _Python(text, out).visit(tree)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return out.rows
-        return out.rows
+        return _python_facts(text)
     if language not in _DECLARED:
         return []
     code = _blanked(language, text)
