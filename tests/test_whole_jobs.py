@@ -2,7 +2,7 @@
 
 import pytest
 
-from tracewell.operators import extract
+from tracewell.operators import extract, graph
 from tracewell.plans import reference
 
 NODE = "node_id string, repository_id string, node_key string, node_kind string, language string, relative_path string, label string, disposition_kind string, deleted_at timestamp"
@@ -56,3 +56,18 @@ def test_damage_at_a_blank_last_line_ends():
     text = "import a\nclass K:\n    def f(self):\n        try:\n            g()\n  "
     got = python_facts(text)
     assert {("import", "", "a"), ("declaration", "", "K"), ("declaration", "K", "f"), ("call", "K.f", "g")} == set(got)
+
+
+def test_trails_go_to_six_edges(spark, chain):
+    got = sorted((r.node_id, r.depth) for r in reference.QUERIES["graph_trails_whole"](spark, chain).collect())
+    assert got == [(f"n{i}", i) for i in range(1, 7)]
+    assert reference.QUERIES["trail_evidence_whole"](spark, chain).count() == 6
+    between = sorted((r.seed, r.goal, r.depth) for r in reference.QUERIES["graph_paths_between"](spark, chain).collect())
+    assert between == [("n0", f"n{i}", i) for i in range(1, 7)]
+
+
+def test_paths_stop_at_their_goal(spark):
+    e = spark.createDataFrame([("1", "a", "b"), ("2", "b", "a"), ("3", "b", "c"), ("4", "a", "b"), ("5", "c", "b")], "edge_id string, source string, target string")
+    ends = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "a")], "seed string, goal string")
+    got = sorted((r.goal, ">".join(r.trail)) for r in graph.paths_between(e, ends).collect())
+    assert got == [("a", ""), ("b", "1"), ("b", "4"), ("c", "1>2>4>3"), ("c", "1>3"), ("c", "4>2>1>3"), ("c", "4>3")]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.session import written
 
-NEIGHBOUR_CAP, BFS_DEPTH, BFS_NODES = 256, 8, 512
+NEIGHBOUR_CAP, BFS_DEPTH, BFS_NODES, PATH_DEPTH = 256, 8, 512, 6
 
 
 def adjacent(edges: DataFrame, node: str, direction: str) -> DataFrame:
@@ -101,6 +101,22 @@ def bounded_trails(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataF
     return out
 
 
+def paths_between(edges: DataFrame, ends: DataFrame, depth: int = PATH_DEPTH) -> DataFrame:
+    """Trails of up to `depth` edges from `seed` to `goal` of each row of `ends`: (seed, goal, depth, trail).
+
+    A trail stops where it first meets its goal; a seed that is its own goal has
+    the empty trail. Trails are followed once a seed, whatever its goals.
+    """
+    t = bounded_trails(edges, ends.select(F.col("seed").alias("node_id")).distinct(), depth)
+    met = t.join(ends.where("seed <> goal").withColumnRenamed("goal", "node_id"), ["seed", "node_id"])
+    # A trail that went on from an earlier meeting begins with that meeting's trail.
+    short = met.select("seed", "node_id", F.col("trail").alias("_head"))
+    heads = met.where("depth > 1").select("seed", "node_id", "trail", F.explode(F.transform(F.sequence(F.lit(1), F.size("trail") - 1), lambda i: F.slice("trail", F.lit(1), i))).alias("_head"))
+    ways = met.join(heads.join(short, ["seed", "node_id", "_head"]).select("seed", "node_id", "trail").distinct(), ["seed", "node_id", "trail"], "left_anti")
+    own = ends.where("seed = goal").select("seed", "goal", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("trail")).distinct()
+    return ways.select("seed", F.col("node_id").alias("goal"), "depth", "trail").unionByName(own)
+
+
 def trail_evidence(trails: DataFrame, edges: DataFrame) -> DataFrame:
     """Per trail: whether it rests on facts only, holds candidates, and its distinct candidate sets."""
     steps = trails.withColumn("trail_id", F.array_join("trail", ">")).select("trail_id", F.explode("trail").alias("edge_id"))

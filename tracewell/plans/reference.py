@@ -493,6 +493,27 @@ def _(s, d):
     return graph.trail_evidence(graph.bounded_trails(e, nodes(s, d).where("node_kind = 'entity'").select("node_id"), 3), e)
 
 
+# The two queries above end at depth 3, as their SQL does; these follow trails as far as the reference's path search.
+@query("graph_trails_whole", SQL["graph_trails"].replace("w.depth < 3", f"w.depth < {graph.PATH_DEPTH}"))
+def _(s, d):
+    t = graph.bounded_trails(edges(s, d), nodes(s, d).where("node_kind = 'entity'").select("node_id"), graph.PATH_DEPTH)
+    return t.withColumn("trail", F.array_join("trail", ">"))
+
+
+@query("trail_evidence_whole", SQL["trail_evidence"].replace("w.depth < 3", f"w.depth < {graph.PATH_DEPTH}"))
+def _(s, d):
+    e = edges(s, d)
+    return graph.trail_evidence(graph.bounded_trails(e, nodes(s, d).where("node_kind = 'entity'").select("node_id"), graph.PATH_DEPTH), e)
+
+
+@query("graph_paths_between")
+def _(s, d):
+    # Every pair of an entity and a file of its repository is asked for.
+    n = nodes(s, d)
+    ends = n.where("node_kind = 'entity'").select("repository_id", F.col("node_id").alias("seed")).join(n.where("node_kind = 'file'").select("repository_id", F.col("node_id").alias("goal")), "repository_id")
+    return graph.paths_between(edges(s, d), ends.select("seed", "goal").distinct()).withColumn("trail", F.array_join("trail", ">"))
+
+
 # integrity
 
 
