@@ -71,3 +71,12 @@ def test_paths_stop_at_their_goal(spark):
     ends = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "a")], "seed string, goal string")
     got = sorted((r.goal, ">".join(r.trail)) for r in graph.paths_between(e, ends).collect())
     assert got == [("a", ""), ("b", "1"), ("b", "4"), ("c", "1>2>4>3"), ("c", "1>3"), ("c", "4>2>1>3"), ("c", "4>3")]
+
+
+def test_every_damaged_range_is_reported():
+    text = "x = 1\ny = )\nz = 2\nw = = 3\n"
+    assert extract.damages("python", text) == [(6, 12), (18, 26)]
+    go = "package é\n<<<<<<< HEAD\nfunc a() {}\n=======\nfunc b() {}\n>>>>>>> x\nfunc c() { ] }\n"
+    assert [go.encode()[a:b] for a, b in extract.damages("go", go)] == [b"<<<<<<< HEAD", b"=======", b">>>>>>> x", b"]"]
+    assert extract.damages("go", "package a\n\nvar s = `\n=======\n`\n") == []
+    assert extract.damages("php", "<?php f(]; g(}\n") != []

@@ -470,52 +470,71 @@ def source_facts(files: DataFrame, carried: list[str], language: str, text: str)
 _BRACKETS = {"(": ")", "[": "]", "{": "}"}
 
 
-def damage(language: str | None, text: str | None) -> tuple[int, int] | None:
-    """The byte range at which a text stops making sense, None for a sound one.
+def damages(language: str | None, text: str | None) -> list[tuple[int, int]]:
+    """The byte ranges at which a text stops making sense, none for a sound one.
 
-    Python: the place of the syntax error; Go, Rust and PHP: the first bracket
-    that does not match, strings and comments set aside.
+    Python: the runs of lines that must give way for the rest to parse. Go, Rust
+    and PHP, strings and comments set aside: lines of merge conflicts and each
+    bracket that does not match; other errors of grammar are not seen there.
     """
     if text is None or language is None:
-        return None
+        return []
     if language == "python":
         try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-            return None
-        except SyntaxError as e:
-            lines = text.encode().splitlines(keepends=True)
-            start = sum(map(len, lines[: (e.lineno or 1) - 1]))
-            return start, start + (len(lines[e.lineno - 1]) if e.lineno and e.lineno <= len(lines) else 0)
+            _parsed(text)
+            return []
+        except SyntaxError:
+            try:
+                lines = sorted(_Repaired(text).damaged)
+            except (ValueError, RecursionError, MemoryError):
+                return [(0, len(text.encode()))]
         except (ValueError, RecursionError, MemoryError):
-            return 0, len(text.encode())
+            return [(0, len(text.encode()))]
+        starts = [0]
+        for line in text.encode().splitlines(keepends=True):
+            starts.append(starts[-1] + len(line))
+        out: list[tuple[int, int]] = []
+        for i in lines:
+            if out and out[-1][1] == starts[i]:
+                out[-1] = (out[-1][0], starts[i + 1])
+            else:
+                out.append((starts[i], starts[i + 1]))
+        return out
     if language not in _BLANK:
-        return None
-    code, open_ = _blanked(language, text), []
+        return []
+    code, open_, found = _blanked(language, text), [], []
+    for m in re.finditer(r"^(?:(?:<{7}|>{7}|\|{7})(?:[ \t\r][^\n]*)?|={7}[ \t\r]*)$", code, re.M):
+        found.append((m.start(), m.end()))
+        code = code[: m.start()] + " " * (m.end() - m.start()) + code[m.end() :]
     for m in re.finditer(r"[()\[\]{}]", code):
         c = m.group()
         if c in _BRACKETS:
             open_.append((_BRACKETS[c], m.start()))
-        elif not open_ or open_.pop()[0] != c:
-            at = len(text[: m.start()].encode())
-            return at, at + 1
+        elif open_ and open_[-1][0] == c:
+            open_.pop()
+        else:
+            found.append((m.start(), m.end()))
+            # What was opened inside of the bracket that this one closes ends with it.
+            while any(x == c for x, _ in open_) and open_.pop()[0] != c:
+                pass
     if open_:
-        return len(text[: open_[0][1]].encode()), len(text.encode())
-    return None
+        found.append((open_[0][1], len(text)))
+    return [(len(text[:a].encode()), len(text[:b].encode())) for a, b in sorted(found)]
 
 
 def recovery_regions(files: DataFrame, carried: list[str], language: str, text: str) -> DataFrame:
-    """(carried, status, byte_start, byte_end): `clean`, or `recovered` with where the damage begins."""
+    """(carried, status, byte_start, byte_end): one `clean`, or one `recovered` for each damaged range."""
     types = {f.name: f.dataType.simpleString() for f in files.schema.fields}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [damage(lang, body) for lang, body in zip(pdf["_lang"], pdf["_text"])]
-            out = pdf.drop(columns=["_lang", "_text"])
-            out["status"] = ["recovered" if f else "clean" for f in found]
-            out["byte_start"] = pd.array([f[0] if f else None for f in found], dtype="Int64")
-            out["byte_end"] = pd.array([f[1] if f else None for f in found], dtype="Int64")
+            found = [damages(lang, body) or [None] for lang, body in zip(pdf["_lang"], pdf["_text"])]
+            flat = [f for regions in found for f in regions]
+            at = [i for i, regions in enumerate(found) for _ in regions]
+            out = pdf.drop(columns=["_lang", "_text"]).iloc[at].reset_index(drop=True)
+            out["status"] = ["recovered" if f else "clean" for f in flat]
+            out["byte_start"] = pd.array([f[0] if f else None for f in flat], dtype="Int64")
+            out["byte_end"] = pd.array([f[1] if f else None for f in flat], dtype="Int64")
             yield out
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), "status string, byte_start long, byte_end long"])
