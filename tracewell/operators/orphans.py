@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import squash_id
+from tracewell.session import written
 
 #: Lifetimes in one range's arrays: 4 arrays of 8 bytes, 3.2 MB in a Python worker.
 RANGE_ROWS = 100_000
@@ -23,8 +24,8 @@ RANGE_ROWS = 100_000
 SLICE_ROWS = 500_000
 #: Stands for a missing time, which must not be null (see below).
 TIMELESS = -(2**62)
-#: At most so many ranges are split into slices.
-MOST_SLICED = 4096
+#: A slice holds 1/MOST_SLICED of the references at least, so that the list of sliced ranges is bounded.
+MOST_SLICED = 1 << 16
 PROBED = "ref_table string, record_id string, target_key string, at_us long, reason string"
 
 
@@ -137,12 +138,15 @@ def orphan_references(refs: DataFrame, lives: DataFrame) -> DataFrame:
     """
     spark = refs.sparkSession
     lives = lives.distinct()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranges = max(3 * tasks, -(-lives.count() // RANGE_ROWS))
+    asked = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranges = max(3 * asked, -(-lives.count() // RANGE_ROWS))
     refs = refs.withColumn("range_no", _range_of(F.col("k1"), ranges))
-    sizes = refs.groupBy("range_no").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(refs.groupBy("range_no").agg(F.count(F.lit(1)).alias("n")))  # one row a range
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # Fewer than MOST_SLICED ranges can hold more than 1/MOST_SLICED of the rows: that bounds the broadcast.
-    least = F.greatest(F.lit(SLICE_ROWS), sizes.agg(F.sum("n") / MOST_SLICED).scalar())
+    least = max(SLICE_ROWS, -(-total // MOST_SLICED))
+    # As many tasks as slices need, whatever the session's number of partitions.
+    tasks = max(asked, -(-total // least))
     hot = sizes.where(F.col("n") > least).select("range_no", F.ceil(F.col("n") / least).cast("int").alias("slices"))
     packed = lives.withColumn("range_no", _range_of(F.col("k1"), ranges)).groupBy("range_no").applyInPandas(_pack, "range_no int, parents binary")
     arrays = (

@@ -1,9 +1,10 @@
 """Equi-joins that survive hot keys.
 
-A key is hot if it holds more than 1/`HOT_SHARE` of the probe rows, so there are
-fewer than `HOT_SHARE` hot keys whatever the data: that list is the only thing
-that is broadcast. The probe rows of a hot key are spread over `SALTS` tasks and
-the (small) build rows of these keys are repeated as often.
+A task's share is R = max(`HOT_ROWS`, 1/`HOT_SHARE` of the probe rows). A key of
+more than R rows is hot; there are fewer than `HOT_SHARE` of them whatever the
+data, so that list is bounded, and it is the only thing that is broadcast. A hot
+key of n probe rows is spread over ceil(n / R) tasks, and its (small) build rows
+are repeated as often: fewer than 2 `HOT_SHARE` repetitions over all keys.
 """
 
 from __future__ import annotations
@@ -13,17 +14,15 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import distinct_names
 
-HOT_SHARE = 512
-SALTS = 32
+HOT_SHARE = 1 << 16
 #: Below this many probe rows for a key no task is at risk, and a key is not salted.
 HOT_ROWS = 50_000
 
 
-def hot_keys(counts: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
-    """Keys of more than max(HOT_ROWS, 1/HOT_SHARE of the rows), from per-key counts."""
-    # A key of more than total/HOT_SHARE rows: at most HOT_SHARE - 1 of them can exist.
-    total = counts.agg(F.sum(count)).scalar()
-    return counts.where((F.col(count) > HOT_ROWS) & (F.col(count) * HOT_SHARE > total)).select(*keys)
+def hot_keys(counts: DataFrame, keys: list[str], count: str = "n", salts: str = "_salts") -> DataFrame:
+    """Hot keys and over how many tasks each is spread, from per-key counts."""
+    share = F.greatest(F.lit(HOT_ROWS), F.ceil(counts.agg(F.sum(count) / HOT_SHARE).scalar()))
+    return counts.where(F.col(count) > share).select(*keys, F.ceil(F.col(count) / share).cast("int").alias(salts))
 
 
 def skew_join(
@@ -43,15 +42,10 @@ def skew_join(
     """
     if counts is None:
         counts = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    name = distinct_names([*probe.columns, *build.columns], ["_hot", "_salt"])
-    hot_, salt = name["_hot"], name["_salt"]
-    hot = hot_keys(counts, keys).withColumn(hot_, F.lit(True))
-    left = probe.join(F.broadcast(hot), keys, "left").withColumn(
-        salt, F.when(F.col(hot_), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
-    )
-    right = (
-        build.join(F.broadcast(hot), keys, "left")
-        .withColumn(salt, F.explode(F.when(F.col(hot_), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        .drop(hot_)
-    )
-    return left.drop(hot_).join(right, [*keys, salt], how).drop(salt)
+    name = distinct_names([*probe.columns, *build.columns], ["_salts", "_salt"])
+    salts, salt = name["_salts"], name["_salt"]
+    hot = hot_keys(counts, keys, salts=salts)
+    many = F.coalesce(F.col(salts), F.lit(1))
+    left = probe.join(F.broadcast(hot), keys, "left").withColumn(salt, F.pmod(F.xxhash64(spread), many).cast("int")).drop(salts)
+    right = build.join(F.broadcast(hot), keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), many - 1))).drop(salts)
+    return left.join(right, [*keys, salt], how).drop(salt)
