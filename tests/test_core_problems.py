@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import dedup, hierarchy, nested, orphans, skew, snapshots
@@ -85,7 +86,12 @@ def brute_hierarchy(parent):
     return out
 
 
-def test_hierarchies_against_brute_force(spark):
+@pytest.mark.parametrize("bits", [hierarchy.BLOCK_BITS, 4, 1])
+def test_hierarchies_against_brute_force(spark, monkeypatch, bits):
+    # Small blocks leave most parents in other blocks.
+    monkeypatch.setattr(hierarchy, "BLOCK_BITS", bits)
+    monkeypatch.setattr(hierarchy, "TOGETHER", 40)
+    monkeypatch.setattr(hierarchy, "HELD_IDS", 300)
     rng = random.Random(5)
     trees = {}
     for t in range(12):
@@ -99,6 +105,8 @@ def test_hierarchies_against_brute_force(spark):
     df = spark.createDataFrame(data, "tree string, node long, parent long, id string")
     solved = hierarchy.with_descendant_counts(hierarchy.solve_hierarchy(df, ["tree"], "node", "parent"), ["tree"], "node")
     got = {(r.tree, r.node): (r.root, r.depth, list(r.path), r.status, r.n_descendants) for r in solved.collect()}
+    own = {(r.tree, r.node): r.n_descendants for r in hierarchy._solved(df, ["tree"], "node", "parent").collect()}
+    assert own == {k: v[4] for k, v in got.items()}
     want = {}
     for t, ps in trees.items():
         solved_t = brute_hierarchy(ps)
@@ -109,7 +117,9 @@ def test_hierarchies_against_brute_force(spark):
     assert hierarchy.solve_hierarchy(df.limit(0), ["tree"], "node", "parent").count() == 0
 
 
-def test_hierarchy_wide_parent(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [hierarchy.BLOCK_BITS, 2])
+def test_hierarchy_wide_parent(spark, monkeypatch, bits):
+    monkeypatch.setattr(hierarchy, "BLOCK_BITS", bits)
     monkeypatch.setattr(hierarchy, "WIDE", 10)
     monkeypatch.setattr(skew, "HOT_ROWS", 10)
     data = [("t", 0, None), *[("t", i, 0) for i in range(1, 400)], *[("t", 1000 + i, 7) for i in range(300)]]
@@ -216,3 +226,23 @@ def test_skew_join_matches_plain_join(spark, monkeypatch):
     right = spark.range(0, 20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert rows(skew.skew_join(left, right, ["k"], F.col("id"), how).select("k", "id")) == rows(left.join(right, ["k"], how).select("k", "id"))
+
+
+def test_hot_key_is_spread_by_its_size(spark, monkeypatch):
+    """Half of all rows have one key: no task of the join gets more than about its share."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 500)
+    left = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 997).alias("k"), "id")
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert skew.hot_keys(counts, ["k"]).collect() == [(0, 21)]
+    right = spark.range(0, 997).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = skew.skew_join(left, right, ["k"], F.col("id"))
+        most = joined.groupBy(F.spark_partition_id().alias("p"), (F.col("k") == 0).alias("hot")).count().where("hot")
+        per = [r["count"] for r in most.collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(per) == sum(1 for i in range(20_000) if i % 2 == 0 or i % 997 == 0)
+    assert len(per) > 1 and max(per) < sum(per)
