@@ -7,6 +7,7 @@ import re
 from tracewell.llm.syntax.base import Broken
 
 _SPACE = re.compile(r"(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*.*?\*/)+", re.S)
+_LINE = re.compile(r"[\n\r\u2028\u2029]")
 _ID = re.compile(r"(?:[$_]|[^\W\d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[$\w\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*")
 _NUM = re.compile(r"0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[bB][01]+(?:_[01]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|(?:0|[1-9](?:_?\d)*)n|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?")
 _STR = re.compile(r'"(?:[^"\\\r\n]|\\(?:\r\n|[^xu0-9]|0(?!\d)|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]{1,6}\}))*"|' + r"'(?:[^'\\\r\n]|\\(?:\r\n|[^xu0-9]|0(?!\d)|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]{1,6}\}))*'", re.S)
@@ -41,28 +42,28 @@ class Ecma:
         raise Broken(f"at {self.pos} {self.v!r} {what}")
 
     def step(self) -> str:
-        old, src = self.t, self.src
-        pos = self.end
-        m = _SPACE.match(src, pos)
+        old, src, pos = self.t, self.src, self.end
         self.nl = False
-        if m:
-            gap = m.group()
-            self.nl = any(c in gap for c in "\n\r\u2028\u2029")
-            pos = m.end()
+        c = src[pos : pos + 1]
+        if c in " \t\n\r\v\f/" or c > "\x1b" and not c.isascii() or c < " ":
+            m = _SPACE.match(src, pos)
+            if m:
+                self.nl = _LINE.search(src, pos, m.end()) is not None
+                pos = m.end()
+                c = src[pos : pos + 1]
         self.pos = pos
-        if pos >= len(src):
+        if not c:
             self.t, self.v, self.end = "EOF", "", pos
-            return old
-        c = src[pos]
-        if m := _ID.match(src, pos):
-            self.v, self.end = m.group(), m.end()
-            self.t = self.v if self.v in RESERVED else "ID"
+        elif (c > "@" or c == "$") and (m := _ID.match(src, pos)):
+            v = self.v = m.group()
+            self.end = m.end()
+            self.t = v if v in RESERVED else "ID"
         elif c.isdigit() or c == "." and src[pos + 1 : pos + 2].isdigit():
             m = _NUM.match(src, pos)
             if m is None or _ID.match(src, m.end()) or src[m.end() : m.end() + 1].isdigit():
                 self.fail("number")
             self.t, self.v, self.end = "LIT", m.group(), m.end()
-        elif c in "\"'":
+        elif c == '"' or c == "'":
             m = _STR.match(src, pos)
             if m is None:
                 self.fail("string")
@@ -73,7 +74,8 @@ class Ecma:
             m = _OP.match(src, pos)
             if m is None:
                 self.fail("character")
-            self.t, self.v, self.end = m.group(), m.group(), m.end()
+            self.t = self.v = m.group()
+            self.end = m.end()
             if self.t == "#":
                 m = _ID.match(src, pos + 1)
                 if m is None:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from tracewell.llm.syntax.base import Broken, Cursor, master
+from tracewell.llm.syntax.base import AHEAD, Broken, Cursor, master
 
 KEYWORDS = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
 _ESC = r"\\(?:[abfnrtv\\]|[0-3][0-7]{2}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})"
@@ -25,14 +26,17 @@ BINARY = {"||": 1, "&&": 2, "==": 3, "!=": 3, "<": 3, "<=": 3, ">": 3, ">=": 3,
 ASSIGN = frozenset("= += -= *= /= %= &= |= ^= <<= >>= &^=".split())
 
 
-def tokens(src: str) -> list[str]:
+def tokens(src: str, out: list[str]) -> Iterator[None]:
+    """Appends the tokens of `src` to `out`, pausing after every AHEAD of them."""
     if src.startswith("\ufeff"):
         src = src[1:]
     if "\0" in src:
         raise Broken("NUL")
-    out: list[str] = []
-    pos, n, match = 0, len(src), _TOKEN.match
+    pos, n, match, pause = 0, len(src), _TOKEN.match, AHEAD
     while pos < n:
+        if len(out) >= pause:
+            pause = len(out) + AHEAD
+            yield
         m = match(src, pos)
         if m is None:
             raise Broken(f"character {pos}")
@@ -57,12 +61,12 @@ def tokens(src: str) -> list[str]:
     if out and out[-1] in _ENDS:
         out.append(";")
     out.append("EOF")
-    return out
 
 
 class Go(Cursor):
     def __init__(self, src: str) -> None:
-        super().__init__(tokens(src))
+        read: list[str] = []
+        super().__init__(read, tokens(src, read))
         self.level = 0
 
     def semi(self) -> None:

@@ -26,6 +26,8 @@ _TOKEN = master(
 )
 _NAME = re.compile(r"[a-zA-Z_\x80-\U0010ffff][\w\x80-\U0010ffff]*")
 _SIMPLE_INDEX = re.compile(r"\[(?:-?\d+|\$?[a-zA-Z_\x80-\U0010ffff][\w\x80-\U0010ffff]*)\]")
+#: What means nothing within a quoted string.
+_PLAIN = re.compile(r"[^\\\"`${]*")
 _OPEN_TAG = re.compile(r"<\?(?:php(?=\s|$)|=)", re.I)
 
 
@@ -161,7 +163,7 @@ class Lexer:
             elif c == "$":
                 pos = self.variable(pos)
             else:
-                pos += 1
+                pos = _PLAIN.match(src, pos + 1).end()
         raise Broken("string")
 
     def heredoc(self, m: re.Match[str]) -> int:

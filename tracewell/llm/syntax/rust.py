@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tracewell.llm.syntax.base import Broken, Cursor, master
+from collections.abc import Iterator
+
+from tracewell.llm.syntax.base import AHEAD, Broken, Cursor, master
 
 KEYWORDS = frozenset(
     "as break const continue crate else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while async await dyn abstract become box do final macro override priv typeof unsized virtual yield try".split()
 )
 _ESC = r"\\(?:[nrt\\0'\"]|x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\})"
 _TOKEN = master(
+    ("open", r"/\*"),
     ("space", r"\s+"),
     ("line", r"//[^\n]*"),
     ("raw", r'(?:br|cr|r)(?P<hash>#*)".*?"(?P=hash)'),
@@ -27,19 +30,27 @@ ASSIGN = frozenset("= += -= *= /= %= ^= &= |= <<= >>=".split())
 _PATH = frozenset(["ID", "self", "Self", "super", "crate"])
 
 
-def tokens(src: str) -> list[str]:
+def tokens(src: str, out: list[str]) -> Iterator[None]:
+    """Appends the tokens of `src` to `out`, pausing after every AHEAD of them."""
     if src.startswith("\ufeff"):
         src = src[1:]
     if src.startswith("#!") and not src[2:].lstrip().startswith("["):
         src = src[src.find("\n") :] if "\n" in src else ""
-    out: list[str] = []
-    pos, n, match = 0, len(src), _TOKEN.match
+    pos, n, match, pause = 0, len(src), _TOKEN.match, AHEAD
     doc_at = -1  # tokens before the last outer doc comment
     while pos < n:
-        if src.startswith("/*", pos):
-            if src.startswith("/**", pos) and src[pos + 3 : pos + 4] not in ("*", "/"):
+        if len(out) >= pause:
+            pause = len(out) + AHEAD
+            yield
+        m = match(src, pos)
+        if m is None:
+            raise Broken(f"character {pos}")
+        kind = m.lastgroup
+        if kind == "open":
+            pos = m.end()
+            if src.startswith("*", pos) and src[pos + 1 : pos + 2] not in ("*", "/"):
                 doc_at = len(out)
-            depth, pos = 1, pos + 2
+            depth = 1
             while depth:
                 a, b = src.find("/*", pos), src.find("*/", pos)
                 if b < 0:
@@ -49,10 +60,7 @@ def tokens(src: str) -> list[str]:
                 else:
                     depth, pos = depth - 1, b + 2
             continue
-        m = match(src, pos)
-        if m is None:
-            raise Broken(f"character {pos}")
-        kind, text, pos = m.lastgroup, m.group(), m.end()
+        text, pos = m.group(kind), m.end()
         if kind in ("space", "line"):
             if text.startswith("///") and not text.startswith("////"):
                 doc_at = len(out)
@@ -76,7 +84,6 @@ def tokens(src: str) -> list[str]:
     if doc_at == len(out):
         raise Broken("doc comment without item")
     out.append("EOF")
-    return out
 
 
 def _number(text: str) -> bool:
@@ -1102,4 +1109,5 @@ class Rust(Cursor):
 
 def check(src: str) -> None:
     """Raises Broken unless `src` is a Rust source file."""
-    Rust(tokens(src)).file()
+    read: list[str] = []
+    Rust(read, tokens(src, read)).file()

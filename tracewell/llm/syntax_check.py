@@ -11,6 +11,7 @@ import ast
 import re
 import sys
 import warnings
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,7 +57,7 @@ def _python(text: str) -> None:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(text)
-    except (SyntaxError, ValueError, MemoryError) as e:
+    except (SyntaxError, ValueError) as e:
         raise Broken(str(e)) from None
 
 
@@ -65,9 +66,7 @@ GRAMMARS = {"python": _python, "go": golang.check, "rust": rust.check, "php": ph
 
 def ranked(text: str) -> list[str]:
     """The languages, the one whose words make up most of the text first."""
-    seen: dict[str, int] = {}
-    for w in _WORD.findall(text):
-        seen[w] = seen.get(w, 0) + 1
+    seen = Counter(_WORD.findall(text))
     score = {name: sum(seen.get(w, 0) for w in marks) for name, marks in MARKS.items()}
     return sorted(score, key=lambda n: (-score[n], n))
 
@@ -85,7 +84,7 @@ def parse_all(text: str) -> tuple[list[str], list[str]]:
             accepted.append(name)
         except Broken:
             pass
-        except RecursionError:
+        except (RecursionError, MemoryError):  # nested deeper than the parser goes
             undecided.append(name)
     return accepted, undecided
 
