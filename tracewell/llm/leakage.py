@@ -31,15 +31,19 @@ SHARE = 0.8
 STRETCH = 1.5
 #: Words of a document that are searched at once; longer ones are searched in overlapping parts of this size.
 PART = 50_000
-#: Items that are held by a worker at once; more are done in blocks of so many.
-BLOCK = 2000
+#: Items of one index, and how many indexes a worker holds at once; more items take more passes.
+BLOCK, BLOCKS_A_PASS = 2000, 8
+#: Documents that are searched at once, at most.
+TOGETHER = 256
+#: Marks (documents times grams of items) that a worker holds at once.
+HELD_MARKS = 4_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _DIVIDED = re.compile(r"(?<=[^\W_])[-‐‑][ \t]*(?:\r\n|\r|\n)[ \t]*(?:(?:[>#|*%;]+|//+|--+)[ \t]*)*(?=[^\W_])")
 _INLINE = re.compile(r"</?(?:em|strong|b|i|u|s|mark|code|span|sub|sup|small|a|font|tt|kbd)(?:\s[^<>]*)?>", re.I)
 _BLOCK_TAG = re.compile(r"</?(?:p|br|div|li|ul|ol|td|tr|th|table|tbody|h[1-6]|pre|blockquote|hr|img)(?:\s[^<>]*)?/?>", re.I)
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
-_MUL = np.uint64(1099511628211)
+_MUL, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
 
 
 def words(text: str | None) -> list[str]:
@@ -64,32 +68,43 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def _hashes(padded: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
-    h = np.zeros(len(at), np.uint64)
+def _powers(padded: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """size -> hashes of the grams of so many code points at every place; grams of 2^k are made of two halves."""
+    out, h, m, size = {}, padded.astype(np.uint64), _MUL, 1
     with np.errstate(over="ignore"):
-        for k in range(q):
-            h = h * _MUL + padded[at + k].astype(np.uint64)
-    return h
+        while True:
+            out |= {n: h[:-1] * _MUL + padded[size:].astype(np.uint64) for n in sizes if n == size + 1 and len(h) > 1}
+            if size in sizes:
+                out[size] = h
+            if 2 * size > max(sizes) or len(h) <= size:
+                return out
+            h, m, size = h[:-size] * m + h[size:], m * m, 2 * size
 
 
-def _inner_grams(padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word numbers, hashes) of the q-grams of code points that hold a blank at their ends only."""
-    n = len(padded) - Q + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    blank = padded == 32
-    inner = np.zeros(n, bool)
-    for k in range(1, Q - 1):
-        inner |= blank[k : k + n]
-    at = np.flatnonzero(~inner)
-    return (np.cumsum(blank)[at + 1] - 1), _hashes(padded, at, Q)
+def _grams(padded: np.ndarray, words_before: np.ndarray, begins: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(word numbers, hashes, documents) of the inner grams - Q code points that hold a blank at their ends only -
+    and of the phrase grams - PHRASE code points that begin with a word - of documents laid end to end.
 
-
-def _phrase_grams(padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word numbers, hashes) of the grams of PHRASE code points that begin with a word."""
-    begins = np.flatnonzero(padded[:-1] == 32) + 1
-    at = begins[begins + PHRASE <= len(padded)]
-    return np.arange(len(at)), _hashes(padded, at, PHRASE)
+    `begins`: where each document begins, `words_before`: how many words come before it.
+    """
+    blank, hashes = padded == 32, _powers(padded, [Q, PHRASE])
+    inner = phrase = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))
+    if Q in hashes:
+        n = len(hashes[Q])
+        within = np.zeros(n, bool)
+        for k in range(1, Q - 1):
+            within |= blank[k : k + n]
+        at = np.flatnonzero(~within)
+        doc = np.searchsorted(begins, at, "right") - 1
+        # Every document has one blank more than words.
+        inner = np.cumsum(blank)[at + 1] - 1 - doc - words_before[doc], hashes[Q][at], doc
+    if PHRASE in hashes:
+        at = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+        word = np.arange(len(at))
+        at = at[at < len(hashes[PHRASE])]
+        doc = np.searchsorted(begins, at, "right") - 1
+        phrase = word[: len(at)] - words_before[doc], hashes[PHRASE][at], doc
+    return inner, phrase
 
 
 def _padded(tokens: list[str]) -> np.ndarray:
@@ -105,6 +120,8 @@ class Grams:
         at_word = np.concatenate([*(w for w, _ in each), np.empty(0)]).astype(np.int64)
         self.n_items = len(each)
         self.vocabulary, gid = np.unique(flat, return_inverse=True)
+        self.marked = np.zeros(1 << 20, bool)
+        self.marked[self.vocabulary >> _TOP] = True
         order = np.argsort(gid, kind="stable")
         self.post_item = owner[order]
         self.post_from = np.searchsorted(gid[order], np.arange(len(self.vocabulary) + 1))
@@ -115,24 +132,31 @@ class Grams:
             self.item_gid.append(gid[o])
             self.item_word.append(at_word[o])
 
-    def known(self, at_word: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(gram numbers, words) of a document's grams that some item holds."""
+    def known(self, at_word: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(gram numbers, words, documents) of the grams of documents that some item holds."""
         if not len(self.vocabulary):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return (np.empty(0, np.int64),) * 3
+        # Most grams of a document are in no item: a bitmap of the hashes' top bits sorts them out.
+        may = np.flatnonzero(self.marked[h >> _TOP])
+        h = h[may]
         place = np.searchsorted(self.vocabulary, h)
         place[place == len(self.vocabulary)] = 0
         hit = self.vocabulary[place] == h
-        return place[hit], at_word[hit]
-
-    def shared(self, gid: np.ndarray) -> np.ndarray:
-        """Of each item, how many of its grams are among these."""
-        seen = np.unique(gid)
+        may = may[hit]
+        return place[hit], at_word[may], doc[may]
+
+    def shared(self, gid: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+        """(document, item): how many of the item's grams are among the document's."""
+        size = len(self.vocabulary)
+        if not len(gid):
+            return np.zeros((docs, self.n_items), np.int64)
+        there = np.zeros(docs * size, bool)
+        there[doc * size + gid] = True
+        of, seen = np.divmod(np.flatnonzero(there), size)
         counts = self.post_from[seen + 1] - self.post_from[seen]
-        total = int(counts.sum())
-        if not total:
-            return np.zeros(self.n_items, np.int64)
-        starts = np.repeat(self.post_from[seen] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-        return np.bincount(self.post_item[starts + np.arange(total)], minlength=self.n_items)
+        starts = np.repeat(self.post_from[seen] - (np.cumsum(counts) - counts), counts)
+        item = self.post_item[starts + np.arange(len(starts))]
+        return np.bincount(np.repeat(of * self.n_items, counts) + item, minlength=docs * self.n_items).reshape(docs, self.n_items)
 
     def diagonals(self, k: int, gid: np.ndarray, doc_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(diagonal, gram of the item) of each meeting of item k and a document."""
@@ -154,8 +178,9 @@ class ItemIndex:
         self.ids = [i for i, _ in parsed]
         self.words = [w for _, w in parsed]
         padded = [_padded(w) for w in self.words]
-        self.inner = Grams([_inner_grams(p) for p in padded])
-        self.phrases = Grams([_phrase_grams(p) for p in padded])
+        one = np.zeros(2, np.int64)
+        grams = [_grams(p, one, np.array([0, len(p)])) for p in padded]
+        self.inner, self.phrases = Grams([g[:2] for g, _ in grams]), Grams([g[:2] for _, g in grams])
         self.least_share = np.array([self._least_share(w) for w in self.words], np.int64)
         self.least_run = np.array([self._least_run(w) for w in self.words], np.int64)
 
@@ -186,22 +211,49 @@ class ItemIndex:
 
     def leaks(self, tokens: list[str]) -> list[int]:
         """Ids of the items that a document of these words leaks."""
-        if not tokens or not self.ids:
-            return []
+        return self.leaks_all([tokens])[0]
+
+    def leaks_all(self, documents: list[list[str]]) -> list[list[int]]:
+        """`leaks` of each document; many short ones are searched at once, long ones in overlapping parts."""
+        found: list[set[int]] = [set() for _ in documents]
+        if not self.ids:
+            return [[] for _ in documents]
         overlap = max(RUN, floor(STRETCH * max(map(len, self.words))))  # no passage is longer
-        if len(tokens) > PART + overlap:
-            parts = (tokens[a : a + PART + overlap] for a in range(0, len(tokens), PART))
-            return sorted({i for part in parts for i in self.leaks(part)})
-        padded = _padded(tokens)
-        phrase_gid, phrase_word = self.phrases.known(*_phrase_grams(padded))
-        by_run = self.phrases.shared(phrase_gid) >= self.least_run
-        inner_gid, inner_word = self.inner.known(*_inner_grams(padded))
-        by_share = self.inner.shared(inner_gid) >= self.least_share
-        out = []
-        for k in np.flatnonzero(by_run | by_share):
-            if by_run[k] and self._runs(k, phrase_gid, phrase_word, tokens) or by_share[k] and self._shares(k, inner_gid, inner_word, tokens):
-                out.append(self.ids[k])
-        return out
+        most = max(1, HELD_MARKS // max(1, len(self.inner.vocabulary), len(self.phrases.vocabulary)))
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for d, tokens in enumerate(documents):
+            for a in range(0, len(tokens), PART) if len(tokens) > PART + overlap else [0] if tokens else []:
+                part = tokens[a : a + PART + overlap] if len(tokens) > PART + overlap else tokens
+                held.append((d, part))
+                size += len(part)
+                if size >= PART or len(held) >= most:
+                    self._search(held, found)
+                    held, size = [], 0
+        self._search(held, found)
+        return [sorted(f) for f in found]
+
+    def _search(self, held: list[tuple[int, list[str]]], found: list[set[int]]) -> None:
+        """Adds the items that each (number, words) leaks; their grams are counted together."""
+        if not held:
+            return
+        # Each begins and ends with a blank: the two between them are in no gram of an item.
+        texts = [_padded(tokens) for _, tokens in held]
+        begins = np.cumsum([0, *map(len, texts)])
+        words_before = np.cumsum([0, *(len(tokens) for _, tokens in held)])
+        inner, phrases = _grams(np.concatenate(texts), words_before, begins)
+        phrase_gid, phrase_word, phrase_doc = self.phrases.known(*phrases)
+        inner_gid, inner_word, inner_doc = self.inner.known(*inner)
+        by_run = self.phrases.shared(phrase_gid, phrase_doc, len(held)) >= self.least_run
+        by_share = self.inner.shared(inner_gid, inner_doc, len(held)) >= self.least_share
+        for n, k in zip(*np.nonzero(by_run | by_share)):
+            number, tokens = held[n]
+            if self.ids[k] in found[number]:
+                continue
+            a, b = np.searchsorted(phrase_doc, [n, n + 1])
+            c, d = np.searchsorted(inner_doc, [n, n + 1])
+            if by_run[n, k] and self._runs(k, phrase_gid[a:b], phrase_word[a:b], tokens) or by_share[n, k] and self._shares(k, inner_gid[c:d], inner_word[c:d], tokens):
+                found[number].add(self.ids[k])
 
     def _runs(self, k: int, gid: np.ndarray, doc_word: np.ndarray, tokens: list[str]) -> bool:
         """A run of whole words allows no edit: all its grams lie on one diagonal."""
@@ -277,24 +329,27 @@ def leaked_items(docs: DataFrame, doc_key: str, text: str, items: DataFrame, ite
     A passage is `RUN` consecutive words of the item, or `SHARE` of all its words
     in its order within a stretch of at most `STRETCH` times its number of words.
     Documents are never shuffled; the items are a stated query set and are held
-    by each worker in blocks of `block`, whose number follows from their count.
+    by each worker in blocks of `block`, `BLOCKS_A_PASS` of them in one pass over the documents.
     Null and empty texts hold and leak nothing. Repeated rows come out once.
     """
     spark = docs.sparkSession
     kinds = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     held = items.select(F.col(item_key).alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    blocks = max(1, -(-held.count() // block))
+    passes = max(1, -(-held.count() // (block * BLOCKS_A_PASS)))
     plain = docs.select(F.col(doc_key).alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
     out = None
-    for b in range(blocks):
-        part = held if blocks == 1 else held.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
+    for n in range(passes):
+        part = held if passes == 1 else held.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == n)
         sent = spark.sparkContext.broadcast([(r.i, r.t) for r in part.collect()])
 
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(sent.value)
+            indexes = [ItemIndex(sent.value[a : a + block]) for a in range(0, len(sent.value), block)]
             for pdf in batches:
-                rows = [(k, i) for k, t in zip(pdf["k"], pdf["t"]) for i in index.leaks(words(t))]
-                yield pd.DataFrame(rows, columns=["k", "i"])
+                for start in range(0, len(pdf), TOGETHER):
+                    part = pdf.iloc[start : start + TOGETHER]
+                    texts = [words(t) for t in part["t"]]
+                    rows = [(k, i) for index in indexes for k, ids in zip(part["k"], index.leaks_all(texts)) for i in ids]
+                    yield pd.DataFrame(rows, columns=["k", "i"])
 
         found = plain.mapInPandas(search, f"k {kinds[0]}, i {kinds[1]}")
         out = found if out is None else out.unionByName(found)
