@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 #: A sparse example: (sorted feature numbers, values).
@@ -9,17 +11,18 @@ Sparse = tuple[np.ndarray, np.ndarray]
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(maxsize=1 << 16)
+def _hash_word(word: str, seed: int) -> int:
+    h = 1469598103934665603 ^ seed
+    for b in word.encode("utf-8", "surrogatepass"):
+        h = ((h ^ b) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
+    return h ^ h >> 29
+
+
 def hash_words(words: list[str], bits: int, seed: int = 0) -> np.ndarray:
     """A feature number for each string, the same in every process."""
-    out = np.empty(len(words), np.int64)
     mask = (1 << bits) - 1
-    for i, w in enumerate(words):
-        h = 1469598103934665603 ^ seed
-        for b in w.encode("utf-8", "surrogatepass"):
-            h = ((h ^ b) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-        h ^= h >> 29
-        out[i] = h & mask
-    return out
+    return np.array([_hash_word(w, seed) & mask for w in words], np.int64)
 
 
 def hash_ngrams(text: str, sizes: tuple[int, ...], bits: int, seed: int = 0) -> np.ndarray:
@@ -42,7 +45,12 @@ def block(numbers: np.ndarray, weight: float, sublinear: bool = True) -> Sparse:
     """Counts of feature numbers as a vector of length `weight` (empty where there are none)."""
     if not len(numbers):
         return np.empty(0, np.int64), np.empty(0, np.float32)
-    index, counts = np.unique(numbers, return_counts=True)
+    if len(numbers) > 1000:  # counted without sorting
+        counts = np.bincount(numbers)
+        index = np.flatnonzero(counts)
+        counts = counts[index]
+    else:
+        index, counts = np.unique(numbers, return_counts=True)
     v = np.log1p(counts) if sublinear else np.ones(len(index))
     return index, (v * (weight / np.sqrt((v * v).sum()))).astype(np.float32)
 
@@ -112,3 +120,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, weight: np.
             rr = new
         w = w + d
     return w
+
+
+def fit_scale(score: np.ndarray, y: np.ndarray, prior: float = 4.0) -> tuple[float, float]:
+    """Slope and offset of a score whose logistic function is the probability of `y` (Platt).
+
+    A quadratic prior of weight `prior` round (1, 0) keeps few rows from bending it far.
+    """
+    x, w = np.stack([score, np.ones(len(score))], axis=1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (p - y) + prior * (w - [1.0, 0.0])
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + prior * np.eye(2), gradient)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return float(w[0]), float(w[1])
