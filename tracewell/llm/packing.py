@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.session import written
+
 #: Vocabulary of a public byte-level BPE as ranks, one token and its rank a line.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary divides a text before merging (part of the public tokenizer).
@@ -18,6 +20,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 CAPACITY = 2048
 #: Open bins of a task: its memory and, at most, its bins that end up unfilled.
 OPEN_BINS = 256
+#: Neighbouring tasks whose unfilled bins are packed together.
+MERGED = 64
 
 
 class BestFit:
@@ -32,6 +36,8 @@ class BestFit:
         self.capacity, self.open_bins = capacity, open_bins
         self.mask, self.n_open, self.made = 0, 0, 0
         self.by_free: dict[int, list[int]] = {}
+        #: Bins closed since the caller last looked.
+        self.closed: list[int] = []
 
     def _take(self, free: int) -> int:
         held = self.by_free[free]
@@ -50,10 +56,12 @@ class BestFit:
             name = self._take(free)
         else:
             if self.n_open == self.open_bins:
-                self._take((self.mask & -self.mask).bit_length() - 1)
+                self.closed.append(self._take((self.mask & -self.mask).bit_length() - 1))
             free, name = self.capacity, self.made
             self.made += 1
-        if free > size:  # a full bin closes at once
+        if free == size:  # a full bin closes at once
+            self.closed.append(name)
+        else:
             self.by_free.setdefault(free - size, []).append(name)
             self.mask |= 1 << (free - size)
             self.n_open += 1
@@ -74,9 +82,11 @@ def pack_documents(docs: DataFrame, key: str, text: str, capacity: int = CAPACIT
     """The container of each document, or of each piece of one longer than a container.
 
     Every input partition packs its own rows as they stream by, without a
-    shuffle; containers are named by partition and number. A longer document is
-    cut into pieces of `capacity` tokens and a rest; no other is split. A null
-    or empty text has 0 tokens and joins a container that is open (or a new
+    shuffle. The bins that are still open at its end are packed again, whole,
+    together with those of its neighbours (see `_merged`), so that many small
+    partitions waste no space. A longer document is cut into pieces of
+    `capacity` tokens and a rest; no other is split. A null or empty text has 0
+    tokens and joins the container that was closed last (or one that is open, or a new
     one). Repeated rows are packed as often as they occur. Returns the key,
     piece_no, first_token, n_tokens and container_id.
     """
@@ -85,24 +95,64 @@ def pack_documents(docs: DataFrame, key: str, text: str, capacity: int = CAPACIT
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(tokenizer).encode_ordinary
-        bins, where = BestFit(capacity, open_bins), TaskContext.get().partitionId()
+        bins, task = BestFit(capacity, open_bins), TaskContext.get().partitionId()
+        held: dict[int, list[tuple]] = {}  # rows of open bins
+        last = None
         for pdf in batches:
-            rows = []
+            rows: list[tuple] = []
             for name, body in zip(pdf["k"], pdf["t"]):
                 size = len(encode(body)) if isinstance(body, str) else 0
+                if not size and last is not None:
+                    rows.append((name, 0, 0, 0, last, False))
+                    continue
                 piece = 0
                 while size - piece * capacity > capacity:
-                    rows.append((name, piece, piece * capacity, capacity, bins.made))
+                    rows.append((name, piece, piece * capacity, capacity, bins.made, False))
                     bins.made += 1
                     piece += 1
                 rest = size - piece * capacity
-                rows.append((name, piece, piece * capacity, rest, bins.put(rest)))
-            out = pd.DataFrame(rows, columns=["k", "piece_no", "first_token", "n_tokens", "c"])
-            out["container_id"] = f"{where}-" + out["c"].astype(str)
-            yield out[["k", "piece_no", "first_token", "n_tokens", "container_id"]]
+                place = bins.put(rest)
+                held.setdefault(place, []).append((name, piece, piece * capacity, rest, place, False))
+                for last in bins.closed:
+                    rows += held.pop(last)
+                bins.closed.clear()
+                if not size and len(held[place]) >= 2 * capacity:  # nothing but empty texts so far
+                    rows += held[place]
+                    held[place] = []
+                    last = place
+            yield _frame(rows, task)
+        yield _frame([(*row[:-1], row[4] != last) for kept in held.values() for row in kept], task)
+
+    schema = f"k {kind}, piece_no long, first_token long, n_tokens long, container_id string, task int, open boolean"
+    packed = written(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInPandas(pack, schema))
+    columns = ["k", "piece_no", "first_token", "n_tokens", "container_id"]
+    whole = packed.where(~F.col("open")).select(*columns)
+    return whole.unionByName(_merged(packed.where("open"), columns, capacity)).withColumnRenamed("k", key)
+
+
+def _frame(rows: list[tuple], task: int) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["k", "piece_no", "first_token", "n_tokens", "c", "open"])
+    out["container_id"] = f"{task}-" + out["c"].astype(str)
+    out["task"] = task
+    return out[["k", "piece_no", "first_token", "n_tokens", "container_id", "task", "open"]]
+
+
+def _merged(rows: DataFrame, columns: list[str], capacity: int) -> DataFrame:
+    """Bins left open by MERGED tasks packed into containers, the fullest first, none divided.
+
+    A group holds MERGED times OPEN_BINS bins at most.
+    """
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        used = pdf.groupby("container_id")["n_tokens"].sum().reset_index().sort_values(["n_tokens", "container_id"], ascending=[False, True])
+        bins = BestFit(capacity, len(used))
+        where = {name: bins.put(int(size)) for name, size in zip(used["container_id"], used["n_tokens"])}
+        group = int(pdf["g"].iloc[0])
+        pdf["container_id"] = [f"m{group}-{where[c]}" for c in pdf["container_id"]]
+        return pdf[columns]
 
-    schema = f"k {kind}, piece_no long, first_token long, n_tokens long, container_id string"
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInPandas(pack, schema).withColumnRenamed("k", key)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in columns)
+    return rows.withColumn("g", F.floor(F.col("task") / MERGED)).groupBy("g").applyInPandas(merge, schema)
 
 
 def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -28,6 +28,10 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p8_containers(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
 
@@ -36,4 +40,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates, "p7_found": p7_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p10_found": p10_found}
