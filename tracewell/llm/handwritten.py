@@ -28,45 +28,45 @@ TRAIN_FILES = 6000
 #: One of so many repositories is kept out of training, to set thresholds.
 HELD_OUT = 5
 
-_COMMENT = re.compile(r"\s*(?://|#(?!\[|!)|/?\*|<!--|--|;|\"\"\"|''')")
-_SKIP = re.compile(r"\s*(?:<\?php|#!.*)?\s*$")
+#: What a text begins with: a tag or `#!` line, or a comment up to its end, wherever in a line that is.
+_LEADING = re.compile(r"""\s*(?:(?P<tag><\?php(?=\s|\Z)|\A\s*\#![^\[\n][^\n]*)|(?P<said>//[^\n]*|\#(?![\[!])[^\n]*|/\*.*?(?:\*/|\Z)|\"\"\".*?(?:\"\"\"|\Z)|\'\'\'.*?(?:\'\'\'|\Z)|<!--.*?(?:-->|\Z)))""", re.S)
+_LITERAL, _DIGITS = frozenset("\"'0123456789"), {ord(d): "0" for d in "123456789"}
+#: Stretches of encoded bytes.
+_DENSE = re.compile(r"[A-Za-z0-9+/=]{50,}")
 #: Banners of tools and of copied sources. Fixed values.
 _TOOL = re.compile(r"code generated|@generated|auto[- ]?generated|machine[- ]generated|automatically (?:generated|created|produced)|generated by|produced by running|do not (?:edit|modify|make changes)|manual change is lost|changes will be lost", re.I)
 _COPIED = re.compile(r"vendored (?:copy|from)|bundled third[- ]party|third[- ]party source|taken verbatim from|imported unchanged from|copied (?:unchanged )?from upstream|this file is part of [\w-]+ v?\d|\| free licen[cs]e|distributed with this product", re.I)
 #: Folders that package managers and generators write to. Fixed values.
 _COPY_DIRS = frozenset("vendor _vendor third_party thirdparty third-party 3rdparty node_modules bower_components godeps _workspace site-packages dist-packages deps external".split())
 _TOOL_DIRS = frozenset("generated gen __generated__ zz_generated autogen".split())
-_TOOL_NAME = re.compile(r"(?:[._-]gen|_pb2?|\.pb|[._]generated|_autogen|^zz_generated.*|Generated)$")
+_TOOL_NAME = re.compile(r"(?:[._-]gen|_pb2?(?:_grpc)?|\.pb|[._]generated|_autogen|^zz_generated.*|Generated)$")
 _MIN_NAME = re.compile(r"(?:\.min|[.-]bundle|-[0-9a-f]{6,}(?:\.min)?)$")
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 
 
 def leading_comment(text: str) -> tuple[str, str]:
-    """(comment lines the text begins with, the rest); a tag or `#!` line before them belongs to neither."""
-    lines, k, head = text.lstrip("﻿").split("\n"), 0, []
-    for k, line in enumerate(lines[:40]):
-        if _SKIP.match(line):
-            continue
-        if not _COMMENT.match(line):
-            break
-        head.append(line.strip()[:300])
-    else:
-        k = min(len(lines), 40)
-    return "\n".join(head), "\n".join(lines[k:])
+    """(the comments a text begins with, the rest); a tag or `#!` line before them belongs to neither."""
+    text, pos, head = text.lstrip("\ufeff"), 0, []
+    while (m := _LEADING.match(text, pos)) and m.end() > pos:
+        if m["said"] is not None:
+            head.append(m["said"])
+        pos = m.end()
+    return "\n".join(head), text[pos:].lstrip("\r\n")
 
 
 def shape(text: str) -> dict[str, float]:
-    """Longest and mean line, share of white space, share of literals, length."""
+    """Longest and mean line, share of white space, of literals and of encoded bytes, length."""
     lines = text.split("\n")
     tokens = _TOKEN.findall(text)
-    literals = sum(1 for t in tokens if t[0] in "\"'0123456789")
-    filled = [len(x) for x in lines if x.strip()] or [0]
+    literals = sum(map(_LITERAL.__contains__, [t[0] for t in tokens]))
+    filled = [len(x) for x in lines if x and not x.isspace()] or [0]
     return {
         "longest": max(filled),
         "mean": sum(filled) / len(filled),
-        "blank": sum(1 for c in text if c.isspace()) / max(1, len(text)),
+        "blank": 1 - sum(map(len, text.split())) / max(1, len(text)),
         "literals": literals / max(1, len(tokens)),
         "tokens": len(tokens),
+        "dense": sum(map(len, _DENSE.findall(text))) / max(1, len(text)),
     }
 
 
@@ -87,7 +87,7 @@ def giveaways(path: str, head: str, look: dict[str, float]) -> dict[str, set[str
         found["vendored"].add("head")
     if dirs & _COPY_DIRS:
         found["vendored"].add("path")
-    if look["literals"] > 0.85 and look["tokens"] > 60:
+    if look["literals"] > 0.85 and look["tokens"] > 60 or look["dense"] > 0.8:
         found["data"].add("shape")
     return found
 
@@ -98,7 +98,12 @@ def _bucket(name: str, value: float, edges: tuple[float, ...]) -> list[str]:
 
 def features(path: str, language: str | None, head: str, body: str, look: dict[str, float], masked: frozenset[str] = frozenset()) -> Sparse:
     """The example of a file. `masked` names views that are left out."""
-    parts = [block(hash_ngrams(re.sub(r"\d", "0", body), (3, 4, 5), BITS, 1), 0.7)]
+    return join(blocks(path, language, head, body, look, masked))
+
+
+def blocks(path: str, language: str | None, head: str, body: str, look: dict[str, float], masked: frozenset[str] = frozenset()) -> list[Sparse]:
+    """The views of a file, each a sparse vector of fixed length."""
+    parts = [block(hash_ngrams(body.translate(_DIGITS), (3, 4, 5), BITS, 1), 0.7)]
     if "head" not in masked:
         words = re.findall(r"[a-z@<>|]+", head.lower())
         parts.append(block(hash_words(["h:" + w for w in words] + [f"h:{a} {b}" for a, b in zip(words, words[1:])], BITS), 1.4))
@@ -111,9 +116,10 @@ def features(path: str, language: str | None, head: str, body: str, look: dict[s
         parts.append(block(hash_words(names, BITS), 1.4, False))
     if "shape" not in masked:
         marks = _bucket("longest", look["longest"], (80, 120, 200, 500, 2000)) + _bucket("mean", look["mean"], (30, 60, 120, 400)) + _bucket("literals", look["literals"], (0.3, 0.5, 0.7, 0.85, 0.95)) + _bucket("tokens", look["tokens"], (60, 300, 2000))
+        marks += [f"dense>{e}" for e in (0.2, 0.5, 0.8) if look["dense"] > e]
         marks += [f"blank<{e}" for e in (0.05, 0.1, 0.15, 0.25) if look["blank"] < e]
         parts.append(block(hash_words([f"s:{m}" for m in marks] + [f"l:{language}"], BITS), 1.0, False))
-    return join(parts)
+    return parts
 
 
 def training_rows(path: str, language: str | None, text: str) -> list[tuple[Sparse, set[str]]]:
@@ -137,30 +143,36 @@ def training_rows(path: str, language: str | None, text: str) -> list[tuple[Spar
 
 
 def fit_kinds(sample: pd.DataFrame) -> pd.DataFrame:
-    """Weights, bias and held-out figures of each kind's classifier, from (repository, path, language, text)."""
+    """Weights, bias and held-out figures of each kind's classifier, from (repository, path, language, text).
+
+    Thresholds are set on the files of held-out repositories, as they are and
+    with their giveaways masked; hits are counted for both.
+    """
     fit_x: list[Sparse] = []
     fit_kind: list[set[str]] = []
-    held: list[tuple[Sparse, set[str]]] = []
+    held: list[tuple[Sparse, set[str], bool]] = []
     for repository, path, language, text in zip(sample["repository"], sample["path"], sample["language"], sample["text"]):
         if not isinstance(text, str):
             continue
         rows = training_rows(path or "", language, text)
         if int(hash_words([str(repository)], 20)[0]) % HELD_OUT == 0:
-            held.append(rows[0])  # as it is: what will be asked
+            held += [(x, k, n > 0) for n, (x, k) in enumerate(rows)]
         else:
             fit_x += [x for x, _ in rows]
             fit_kind += [k for _, k in rows]
+    masked = np.array([m for _, _, m in held], bool)
     out = []
     for kind in KINDS:
         y = np.array([1.0 if kind in k else -1.0 for k in fit_kind])
         share = max(1.0, min(10.0, float((y < 0).sum() / max(1, (y > 0).sum()))))
         w, b = fit_svm(fit_x, y, 1 << BITS, weight=np.where(y > 0, share**0.5, 1.0))
-        score = np.array([float(w[i] @ v) + b for (i, v), _ in held])
-        true = np.array([kind in k for _, k in held], bool)
+        score = np.array([float(w[i] @ v) + b for (i, v), _, _ in held])
+        true = np.array([kind in k for _, k, _ in held], bool)
         cut = _threshold(score, true)
         said = score > cut
-        out.append((kind, w.astype(np.float32).tobytes(), b, cut, len(y), int((y > 0).sum()), int((said & true).sum()), int(said.sum()), int(true.sum())))
-    return pd.DataFrame(out, columns=["kind", "weights", "bias", "cut", "n_rows", "n_positive", "held_hits", "held_said", "held_true"])
+        figures = [int(x.sum()) for part in (~masked, masked) for x in (said & true & part, said & part, true & part)]
+        out.append((kind, w.astype(np.float32).tobytes(), b, cut, len(y), int((y > 0).sum()), *figures))
+    return pd.DataFrame(out, columns=["kind", "weights", "bias", "cut", "n_rows", "n_positive", "held_hits", "held_said", "held_true", "masked_hits", "masked_said", "masked_true"])
 
 
 def _threshold(score: np.ndarray, true: np.ndarray) -> float:
@@ -171,12 +183,15 @@ def _threshold(score: np.ndarray, true: np.ndarray) -> float:
     return float(min(tries, key=lambda c: (int(((score > c) != true).sum()), abs(c))))
 
 
-MODEL = "kind string, weights binary, bias double, cut double, n_rows long, n_positive long, held_hits long, held_said long, held_true long"
+MODEL = "kind string, weights binary, bias double, cut double, n_rows long, n_positive long, held_hits long, held_said long, held_true long, masked_hits long, masked_said long, masked_true long"
 
 
 def train_kinds(files: DataFrame, key: str, repository: str, path: str, language: str, text: str, rows: int = TRAIN_FILES) -> DataFrame:
     """The classifiers, fitted in one task on a bounded sample of files; one row per kind."""
-    chosen = files.select(F.col(key).alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(rows)
+    # A bound on the hash keeps some more than `rows` ids within the first scan; only those are sorted.
+    share = min(1.0, 1.5 * rows / max(1, files.count()))
+    some = files.select(F.col(key).alias("k")).where(F.xxhash64("k") <= F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64))))
+    chosen = some.distinct().orderBy(F.xxhash64("k"), "k").limit(rows)
     held = files.select(F.col(key).alias("k"), F.col(repository).alias("repository"), F.col(path).alias("path"), F.col(language).alias("language"), F.col(text).cast("string").alias("text"))
     # The chosen ids are at most `rows`: that bounds the broadcast and the task that fits.
     sample = held.join(F.broadcast(chosen), "k").dropDuplicates(["k"])
@@ -193,17 +208,20 @@ def classify_kinds(files: DataFrame, key: str, path: str, language: str, text: s
     sent = spark.sparkContext.broadcast([(r.kind, bytes(r.weights), r.bias, r.cut) for r in model.collect()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = [(k, np.frombuffer(w, np.float32), b, c) for k, w, b, c in sent.value]
+        names = [k for k, _, _, _ in sent.value]
+        weights = np.stack([np.frombuffer(w, np.float32) for _, w, _, _ in sent.value], axis=1) if names else None
+        cuts = np.array([b - c for _, _, b, c in sent.value])
         for pdf in batches:
             out = []
             for k, p, lang, t in zip(pdf["k"], pdf["p"], pdf["l"], pdf["t"]):
-                if not isinstance(t, str) or not t.strip():
+                if not names or not isinstance(t, str) or not t.strip():
                     continue
                 head, body = leading_comment(t)
-                index, value = features(p or "", lang, head, body, shape(t))
-                best = max(((float(w[index] @ value) + b - c, name) for name, w, b, c in models), default=(-1.0, ""))
-                if best[0] > 0:
-                    out.append((k, best[1], best[0]))
+                parts = blocks(p or "", lang, head, body, shape(t))
+                score = sum(value @ weights[index] for index, value in parts) + cuts
+                best = int(score.argmax())
+                if score[best] > 0:
+                    out.append((k, names[best], float(score[best])))
             yield pd.DataFrame(out, columns=["k", "kind", "score"])
 
     plain = files.select(F.col(key).alias("k"), F.col(path).alias("p"), F.col(language).alias("l"), F.col(text).cast("string").alias("t"))

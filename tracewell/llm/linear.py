@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -28,16 +29,13 @@ def hash_words(words: list[str], bits: int, seed: int = 0) -> np.ndarray:
 def hash_ngrams(text: str, sizes: tuple[int, ...], bits: int, seed: int = 0) -> np.ndarray:
     """Feature numbers of all byte n-grams of a text."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
-    parts = []
+    parts, h = [], np.full(len(raw), np.uint64(seed), np.uint64)
     with np.errstate(over="ignore"):
-        for n in sizes:
-            if len(raw) < n:
-                continue
-            h = np.full(len(raw) - n + 1, np.uint64(seed * 131 + n), np.uint64)
-            for k in range(n):
-                h = (h ^ raw[k : len(raw) - n + 1 + k]) * _MUL
-                h ^= h >> np.uint64(31)
-            parts.append((h >> np.uint64(64 - bits)).astype(np.int64))
+        for k in range(min(max(sizes), len(raw))):
+            h = (h[: len(raw) - k] ^ raw[k:]) * _MUL
+            h ^= h >> np.uint64(31)
+            if k + 1 in sizes:
+                parts.append((h >> np.uint64(64 - bits)).astype(np.int64))
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
@@ -47,10 +45,12 @@ def block(numbers: np.ndarray, weight: float, sublinear: bool = True) -> Sparse:
         return np.empty(0, np.int64), np.empty(0, np.float32)
     if len(numbers) > 1000:  # counted without sorting
         counts = np.bincount(numbers)
-        index = np.flatnonzero(counts)
+        index = np.flatnonzero(counts != 0)
         counts = counts[index]
     else:
-        index, counts = np.unique(numbers, return_counts=True)
+        seen = Counter(numbers.tolist())
+        index = np.array(sorted(seen), np.int64)
+        counts = np.array([seen[i] for i in index.tolist()])
     v = np.log1p(counts) if sublinear else np.ones(len(index))
     return index, (v * (weight / np.sqrt((v * v).sum()))).astype(np.float32)
 
