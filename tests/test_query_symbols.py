@@ -6,7 +6,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tracewell.functions.identifiers import identifier_terms
-from tracewell.operators import query, symbols, verify
+from tracewell.operators import graph, query, symbols, verify
 
 
 def rows(df):
@@ -48,12 +48,31 @@ def test_limits_and_completeness(graph_tables):
 def test_expansion(graph_tables):
     n, e = graph_tables
     def related(intent):
-        plan = query.QueryPlan("apply batch", intent=intent, target="x")
+        plan = query.QueryPlan("apply batch", intent=intent, target="applyBatch")
         return [(r.seed, r.node_id) for r in query.expand(plan, query.run(plan, n), n, e).collect()]
 
     assert related("callers") == [("n0", "n5")] and related("callees") == [("n0", "n7")] and related("related") == [("n0", "n5"), ("n0", "n6")]
 
 
+def test_targets_and_routes(spark, graph_tables):
+    n, e = graph_tables
+    assert rows(query.run(query.QueryPlan("x", intent="callers", target="other"), n).select("node_id", "total")) == [(f"n{i}", 4) for i in range(5, 9)]
+    assert rows(query.run(query.QueryPlan("x", intent="callers", target="decl:03"), n).select("node_id")) == [("n3",)]
+    more = e.unionByName(spark.createDataFrame([("e0", "n0", "n7", "contains", "fact", None), ("e4", "n7", "n6", "contains", "fact", None), ("e6", "n0", "n1", "contains", "fact", None), ("e7", "n1", "n2", "contains", "fact", None), ("e8", "n2", "n8", "contains", "fact", None), ("e9", "n8", "n7", "contains", "fact", None)], e.schema))
+    def ways(a, b, **k):
+        return [(r.depth, ">".join(r.trail)) for r in graph.routes(more, spark.createDataFrame([(a, b)], "seed string, goal string"), **k).orderBy("rank").collect()]
+
+    # Routes of 1 and 2 edges; 3 edges: none, so that of 4 is not reported.
+    assert ways("n0", "n7") == [(1, "e0"), (2, "e2>e3")]
+    assert ways("n0", "n7", most=1) == [(1, "e0")] and ways("n0", "n7", kinds=["call_candidate"]) == [] and ways("n0", "n7", evidence="fact") == [(1, "e0")]
+    assert ways("n0", "n0") == [(0, "")] and ways("n7", "n5") == [] and ways("n0", "n8", depth=2) == []
+    assert len(graph.paths_between(more, spark.createDataFrame([("n0", "n7")], "seed string, goal string")).collect()) == 3
+    plan = query.QueryPlan("x", intent="paths", target="n0", to="decl:07")
+    assert [r.depth for r in query.plan_routes(plan, n, more).orderBy("rank").collect()] == [1, 2]
+    assert query.expand(plan, query.run(plan, n), n, more).count() == 0
+    assert query.plan_routes(query.QueryPlan("x", intent="paths", target="applyBatch", to="n7"), n, more).count() == 0  # five share the name
+
+
 def test_reordering(spark):
     df = spark.createDataFrame([("q", "a", 0, 0.1, 6), ("q", "b", 1, 0.2, 6), ("q", "c", 2, 0.9, 6), ("q", "d", 3, None, 6), ("q", "e", 4, 0.21, 6)], "g string, k string, pos int, rate double, size int")
     order = lambda x: [r.k for r in x.orderBy("new_position").collect()]
@@ -63,8 +82,10 @@ def test_reordering(spark):
     assert [r.k for r in query.fit_budget(df, ["g"], ["pos"], "size", 13).orderBy("pos").collect()] == ["a", "b"]
     got = query.scored(df, "k", lambda s: pd.Series([0.5 if x == "a" else 7 if x == "b" else "bad" for x in s])).select("k", "score")
     assert [(r.k, r.score) for r in got.collect()][:3] == [("a", 0.5), ("b", None), ("c", None)]
-    q = spark.createDataFrame([("Who calls f?",), ("path from a to b",), ("f",)], "t string")
-    assert [r[0] for r in q.select(query.intent_of(F.col("t"))).collect()] == ["callers", "paths", "find"]
+    q = spark.createDataFrame([("Who calls f?",), ("path from a to b",), ("f",), ("applyBatch",), ("Which tests cover x?",), ("What is declared in go.mod?",), ("",)], "t string")
+    assert [r[0] for r in q.select(query.intent_of(F.col("t"))).collect()] == ["callers", "path_or_flow", "ambiguous", "locate", "test_evidence", "definition", "ambiguous"]
+    labels = spark.createDataFrame([("f",), ("cover",), ("",)], "label string")
+    assert rows(query.known_anchors(q, "t", labels).select("t", "position", "anchor")) == [("Which tests cover x?", 2, "cover"), ("Who calls f?", 2, "f"), ("f", 0, "f")]
 
 
 def test_symbol_exposures(spark):
@@ -151,6 +172,7 @@ def test_anchors_and_aliases(spark):
     got = {r.role: list(r.terms) for r in query.manifest_aliases(m).collect()}
     assert got == {"a": list("mnop"), "b": list("vwxy"), "c": list("mnop")}
     d = spark.createDataFrame([("incoming", "call_candidate"), ("outgoing", "call_candidate"), ("incoming", "contains")], "d string, k string")
+    assert [r[0] for r in d.select(query.edge_relevant("manifest_or_config", F.col("d"), F.col("k"))).collect()] == [False, False, True]
     assert [r[0] for r in d.select(query.edge_relevant("callers", F.col("d"), F.col("k"))).collect()] == [True, False, False]
 
 

@@ -268,8 +268,47 @@ def test_recovery_regions(spark):
 
 def test_incremental_fold_equals_whole(spark, small):
     e = sessions.clean_events(spark.read.parquet(f"{small}/agent_events.parquet"))
+    whole = rows(sessions.session_fold(e))
     stored = sessions.session_fold(e.where("number <= 30"))
-    assert rows(sessions.derive_incrementally(stored, e)) == rows(sessions.session_fold(e))
+    assert rows(sessions.derive_incrementally(stored, e, e.where("number > 30"))) == whole
+    # Every third event comes late, with an older number.
+    late = e.where("number % 3 = 1")
+    assert rows(sessions.derive_incrementally(sessions.session_fold(e.where("number % 3 <> 1")), e, late)) == whole
+
+
+def test_follow_ups(spark):
+    def call(op=None, cat=None, id_=None):
+        return ("tool_call_started", Row(repository_operation=op, category=cat, tool_call_id=id_))
+
+    show, seen, other = ("context_artifact_presented", Row(repository_operation=None, category=None, tool_call_id="p1")), ("source_observed", Row(repository_operation=None, category=None, tool_call_id=None)), ("agent_message", Row(repository_operation=None, category=None, tool_call_id=None))
+    cases = {
+        "a": [show, seen, call("edit"), call("discovery_search")],  # ends at the edit
+        "b": [show, seen, call("discovery_list"), call("test")],
+        "c": [show, call("discovery_search", None, "p1"), other],  # the producer's own call
+        "d": [show, other, show],
+        "e": [show, call("git_inspection"), call(None, "shell")],
+        "f": [show, *[other] * 63, call(None, "search")],
+        "g": [show, *[other] * 64, call(None, "search")],
+        "h": [show, call(None, "file_read"), show, call("build")],
+    }
+    events = [(s, 7 * n, kind, p) for s, es in cases.items() for n, (kind, p) in enumerate(es, 1)] + [("a", None, *show)]
+    df = spark.createDataFrame(events, "session string, number long, event_type string, p struct<repository_operation: string, category: string, tool_call_id: string>")
+    got = {(r.session, r.start): (r.outcome, r.n_after, r.verified) for r in sessions.follow_ups(df).collect()}
+    assert got == {
+        ("a", 7): ("verification", 2, True), ("b", 7): ("discovery", 3, True), ("c", 7): ("none", 2, False), ("d", 7): ("artifact", 2, False), ("d", 21): ("none", 0, False),
+        ("e", 7): ("unclassified", 2, False), ("f", 7): ("discovery", 64, False), ("g", 7): ("none", 64, False), ("h", 7): ("artifact", 2, True), ("h", 21): ("task_action", 1, False),
+    }
+    assert [(r.session, r.number, r.position) for r in sessions.positions(df.where("session = 'b'"), 8).orderBy("number").collect()] == [("b", 7, 0), ("b", 14, 1), ("b", 21, 2), ("b", 28, 3)]
+
+
+def test_floor_percentiles_against_sorting(spark):
+    rng = random.Random(4)
+    data = [(rng.choice("ab"), rng.choice([rng.randrange(10), rng.randrange(10**9)])) for _ in range(700)] + [("c", 5), ("c", None), ("d", None)]
+    got = {r.k: (r.n, r.most, r.p0, r.p50, r.p99) for r in sessions.floor_percentiles(spark.createDataFrame(data, "k string, v long"), ["k"], "v", {"p0": 0.0, "p50": 0.5, "p99": 0.99}, 8).collect()}
+    for k in "abc":
+        v = sorted(x for j, x in data if j == k and x is not None)
+        assert got[k] == (len(v), v[-1], v[0], v[int((len(v) - 1) * 0.5)], v[int((len(v) - 1) * 0.99)])
+    assert set(got) == set("abc")
 
 
 def test_mentions_and_reports(spark):

@@ -11,7 +11,7 @@ from tracewell.operators.joins import range_union
 
 #: What the folds read of a payload; other fields are left alone.
 PAYLOAD = (
-    "path string, observation_kind string, line_start long, line_end long, bytes long, tool_name string, tool_call_id string, category string, "
+    "path string, observation_kind string, line_start long, line_end long, bytes long, tool_name string, tool_call_id string, category string, repository_operation string, "
     "ok boolean, output_bytes long, model string, input_tokens long, output_tokens long, cached_input_tokens long, cached_output_tokens long, "
     "reasoning_tokens long, usage_estimated boolean, text string, content string, role string, task string, note string, outcome string, reason string"
 )
@@ -156,38 +156,85 @@ def sliding_activity(seen: DataFrame, days: int) -> DataFrame:
     return recent.groupBy("repository", "path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "explicit_read").alias("n_reads"), F.countDistinct("investigation").alias("n_investigations"))
 
 
-def follow_ups(events: DataFrame, reach: int = FOLLOW_UP) -> DataFrame:
-    """What follows each presented artifact within `reach` events of its session.
+#: What a repository operation, or else a tool category, is an activity of; all others are unclassified. Fixed values.
+OPERATIONS = {"discovery": ["discovery_search", "discovery_list"], "verification": ["source_read"], "task_action": ["edit", "build", "test", "runtime"]}
+CATEGORIES = {"discovery": ["search", "directory_list"], "verification": ["file_read"]}
 
-    The scan stops at the next artifact or edit. Sequence numbers are cut into
-    blocks of `reach`, so that the join key is (session, block): a session of any
-    length is spread. Precedence: artifact, edit, observation, other, none.
-    """
-    kind = F.when(F.col("event_type") == "context_artifact_presented", "artifact").when((F.col("event_type") == "tool_call_started") & (F.col("p.tool_name") == "edit"), "edit").when(F.col("event_type") == "source_observed", "observed").otherwise("other")
-    flat = events.where("number is not null").select("session", "number", kind.alias("kind"))
-    block = lambda c: F.floor(c / reach).cast("long")
-    starts = flat.where("kind = 'artifact'").select("session", F.col("number").alias("start"), F.explode(F.array(block(F.col("number")), block(F.col("number")) + 1)).alias("block"))
-    after = starts.join(flat.withColumn("block", block(F.col("number"))), ["session", "block"]).where((F.col("number") > F.col("start")) & (F.col("number") <= F.col("start") + reach))
-    stop = F.min(F.when(F.col("kind").isin("artifact", "edit"), F.struct("number", "kind")))
-    per = after.groupBy("session", "start").agg(stop.alias("stop"), F.sort_array(F.collect_list(F.struct("number", "kind"))).alias("seen"))
-    seen = F.filter("seen", lambda x: F.col("stop").isNull() | (x.number <= F.col("stop.number")))
-    counted = per.select("session", "start", F.col("stop.kind").alias("stopped_by"), F.size(seen).alias("n_after"), F.exists(seen, lambda x: x.kind == "observed").alias("observed"))
-    outcome = F.coalesce("stopped_by", F.when(F.col("observed"), "observed").otherwise("other"))
-    all_ = flat.where("kind = 'artifact'").select("session", F.col("number").alias("start"))
-    return all_.join(counted.select("session", "start", outcome.alias("outcome"), "n_after"), ["session", "start"], "left").select("session", "start", F.coalesce("outcome", F.lit("none")).alias("outcome"), F.coalesce("n_after", F.lit(0)).alias("n_after"))
 
+def activity() -> Column:
+    """The activity of an event: artifact, discovery, verification, task_action, unclassified; null for none."""
+    operation = category = F.lit("unclassified")
+    for name, values in OPERATIONS.items():
+        operation = F.when(F.col("p.repository_operation").isin(values), name).otherwise(operation)
+    for name, values in CATEGORIES.items():
+        category = F.when(F.col("p.category").isin(values), name).otherwise(category)
+    call = F.when(F.col("p.repository_operation").isNotNull(), operation).otherwise(category)
+    kind = F.col("event_type")
+    return F.when(kind == "context_artifact_presented", "artifact").when(kind == "tool_call_started", call).when(kind == "source_observed", "verification")
 
-def floor_percentiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, float]) -> DataFrame:
-    """Percentiles at index floor((n - 1) q) of the sorted values, with n and max.
 
-    Values are pre-counted, so a key's running sum is over its distinct values.
+def positions(events: DataFrame, block: int = 1024) -> DataFrame:
+    """`events` (session, number, distinct) with `position`: how many of its session come before.
+
+    Numbers are cut into blocks, which hold `block` events at most; blocks are
+    counted and summed up, so that no session is sorted in one task.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(*keys).orderBy(value)
-    run = counts.withColumn("_to", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    total = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), F.max(value).alias("most"))
-    ranked = run.join(total, keys)
-    return ranked.groupBy(*keys, "n", "most").agg(*[F.min(F.when(F.col("_to") > F.floor((F.col("n") - 1) * q), F.col(value))).alias(name) for name, q in levels.items()])
+    cut = events.withColumn("_block", F.floor(F.col("number") / block))
+    sizes = cut.groupBy("session", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("session").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("session", "_block").orderBy("number")) - 1
+    return cut.withColumn("_w", within).join(sizes.select("session", "_block", before.alias("_before")), ["session", "_block"]).withColumn("position", F.col("_before") + F.col("_w")).drop("_block", "_w", "_before")
+
+
+def follow_ups(events: DataFrame, reach: int = FOLLOW_UP) -> DataFrame:
+    """What follows each presented artifact within the next `reach` events of its session.
+
+    The scan ends at the next artifact or task action. Precedence: discovery,
+    artifact, verification, task_action, unclassified, none. A tool call that
+    made an artifact of its session is no activity. Positions are cut into blocks of
+    `reach`, so that the join key is (session, block): a session of any length
+    is spread. Returns session, start (the artifact's number), outcome, n_after (events scanned)
+    and verified (whether a verification came first). Events without a number are left out.
+    """
+    flat = events.where("number is not null").select("session", "number", activity().alias("kind"), F.col("p.tool_call_id").alias("call"))
+    made = flat.where("kind = 'artifact' and call is not null").select("session", "call").distinct().withColumn("_made", F.lit(True))
+    flat = flat.join(made, ["session", "call"], "left").select("session", "number", F.when(F.col("_made") & (F.col("kind") != "artifact"), None).otherwise(F.col("kind")).alias("kind"))
+    placed = positions(flat)
+    block = lambda c: F.floor(c / reach).cast("long")
+    starts = placed.where("kind = 'artifact'").select("session", F.col("number").alias("start"), F.col("position").alias("at"))
+    near = starts.withColumn("block", F.explode(F.array(block(F.col("at")), block(F.col("at")) + 1)))
+    after = near.join(placed.select("session", "position", "kind", block(F.col("position")).alias("block")), ["session", "block"]).where((F.col("position") > F.col("at")) & (F.col("position") <= F.col("at") + reach))
+    stops = F.min(F.when(F.col("kind").isin("artifact", "task_action"), F.col("position")))
+    per = after.groupBy("session", "start").agg(stops.alias("stop"), F.collect_list(F.struct("position", "kind")).alias("seen"))  # `reach` events at most
+    seen = F.filter("seen", lambda x: F.col("stop").isNull() | (x.position <= F.col("stop")))
+    has = lambda k: F.exists(F.col("seen"), lambda x: F.coalesce(x.kind == k, F.lit(False)))
+    per = per.withColumn("seen", seen)
+    outcome = F.lit("none")
+    for name in ("unclassified", "task_action", "verification", "artifact", "discovery"):
+        outcome = F.when(has(name), name).otherwise(outcome)
+    found = per.select("session", "start", outcome.alias("outcome"), F.size("seen").alias("n_after"), has("verification").alias("verified"))
+    return starts.select("session", "start").join(found, ["session", "start"], "left").select("session", "start", F.coalesce("outcome", F.lit("none")).alias("outcome"), F.coalesce("n_after", F.lit(0)).alias("n_after"), F.coalesce("verified", F.lit(False)).alias("verified"))
+
+
+def floor_percentiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, float], buckets: int = 4096) -> DataFrame:
+    """Percentiles at index floor((n - 1) q) of the sorted whole numbers, with n and max.
+
+    Values are counted in `buckets` equal ranges of each key first; a second
+    count tells the values of just those buckets that hold a percentile. So no
+    key's values are sorted in one task, however many there are.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    total = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), F.max("_v").alias("most"), F.min("_v").alias("_least"))
+    width = F.greatest(F.ceil((F.col("most") - F.col("_least") + 1) / buckets), F.lit(1))
+    placed = counts.join(total, keys).withColumn("_b", F.floor((F.col("_v") - F.col("_least")) / width))
+    sums = placed.groupBy(*keys, "n", "most", "_b").agg(F.sum("_c").alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    run = sums.withColumn("_from", F.coalesce(before, F.lit(0)))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.floor((F.col("n") - 1) * q).alias("at")) for name, q in levels.items()]))
+    wanted = run.withColumn("_q", asked).where((F.col("_from") <= F.col("_q.at")) & (F.col("_q.at") < F.col("_from") + F.col("_s"))).select(*keys, "_b", "_from", "_q")
+    within = F.sum("_c").over(Window.partitionBy(*keys, "_b", "_q.name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    fine = placed.join(wanted, [*keys, "_b"]).withColumn("_to", F.col("_from") + within).where(F.col("_to") > F.col("_q.at"))
+    return fine.groupBy(*keys, "n", "most").agg(*[F.min(F.when(F.col("_q.name") == name, F.col("_v"))).alias(name) for name in levels])
 
 
 def shrunken_rates(df: DataFrame, keys: list[str], hit: str, least: int = 5, weight: int = 3) -> DataFrame:
@@ -204,11 +251,18 @@ def mined_recipes(df: DataFrame, owner: list[str], term: str, least: int = 2) ->
     return sets.groupBy("terms").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def derive_incrementally(stored: DataFrame, events: DataFrame) -> DataFrame:
-    """Session parts after new events: only events past each session's stored last number are folded, then merged."""
+def derive_incrementally(stored: DataFrame, log: DataFrame, new: DataFrame) -> DataFrame:
+    """Session parts after new events.
+
+    Where all new events of a session come after its stored last number, they
+    are folded alone and merged. A session with a late event is folded again from the log.
+    `log`: all clean events, the new ones included; `new`: those that came since.
+    """
     offset = stored.select("session", F.col("last_number").alias("_last"))
-    new = events.join(offset, "session", "left").where(F.col("_last").isNull() | (F.col("number") > F.col("_last"))).drop("_last")
-    return merge_parts(stored.unionByName(session_fold(new)))
+    late = new.join(offset, "session").where(F.col("number") <= F.col("_last")).select("session").distinct()
+    again = session_fold(log.join(late, "session", "left_semi"))
+    rest = session_fold(new.join(late, "session", "left_anti"))
+    return merge_parts(stored.join(late, "session", "left_anti").unionByName(rest)).unionByName(again.select(*stored.columns))
 
 
 def path_mentions(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
