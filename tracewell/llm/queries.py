@@ -41,3 +41,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates, "p7_found": p7_found, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p10_found": p10_found}
+
+SQL: dict[str, str] = {}  # none of these can be said in SQL
