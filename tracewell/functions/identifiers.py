@@ -68,10 +68,10 @@ def python_module(c: Column) -> Column:
 
 
 def relative_base(d: Column, levels: Column) -> Column:
-    """`d` without its last levels - 1 segments; null above the root."""
+    """`d` without its last levels - 1 segments; null where that leaves nothing: at the root or above it."""
     parts = F.filter(F.split(d, "/"), lambda p: p != "")
     keep = F.size(parts) - (levels - 1)
-    return F.when(keep >= 0, F.array_join(F.when(keep == 0, F.array().cast("array<string>")).otherwise(F.slice(parts, F.lit(1), F.greatest(keep, F.lit(1)))), "/"))
+    return F.when(keep >= 1, F.array_join(F.slice(parts, F.lit(1), F.greatest(keep, F.lit(1))), "/"))
 
 
 def ancestors(c: Column) -> Column:
@@ -102,7 +102,7 @@ def php_class_fqn(written: Column, namespace: Column, aliases: Column) -> Column
 def php_hint_classes(hint: Column) -> Column:
     """Classes a type hint names: `?T` and `A|B` arms; an `A&B` names none; builtins and `static` are no classes."""
     builtin = ["int", "float", "string", "bool", "array", "callable", "iterable", "object", "mixed", "void", "never", "null", "false", "true", "static"]
-    arms = F.transform(F.split(F.regexp_replace(hint, r"^\?", ""), r"\|"), F.trim)
+    arms = F.transform(F.split(F.regexp_replace(hint, r"^\?", ""), r"\|"), lambda a: F.trim(a))
     return F.when(hint.contains("&"), F.array().cast("array<string>")).otherwise(F.filter(arms, lambda a: (a != "") & ~F.lower(a).isin(builtin)))
 
 

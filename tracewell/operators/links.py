@@ -169,16 +169,17 @@ def php_function_calls(facts: DataFrame) -> DataFrame:
     return best.select(*keys, "fact_id", "name", outcome.alias("outcome"), t.alias("candidates"))
 
 
-def inheritance_levels(parents: DataFrame, bound: int = 64) -> DataFrame:
+def inheritance_levels(parents: DataFrame, bound: int | None = None) -> DataFrame:
     """(class, ancestor, level): every ancestor at its least level, safe against cycles.
 
-    `parents`: (class, parent). One join a level until nothing new comes, `bound` levels at most.
+    `parents`: (class, parent). One join a level until nothing new comes; `bound` ends earlier.
     """
     from tracewell.session import written
 
     reached = written(parents.select("class", F.col("parent").alias("ancestor")).distinct().withColumn("level", F.lit(1)))
-    frontier = reached
-    for level in range(2, bound + 1):
+    frontier, level = reached, 1
+    while bound is None or level < bound:
+        level += 1
         step = frontier.select("class", F.col("ancestor").alias("_at")).join(parents.select(F.col("class").alias("_at"), F.col("parent").alias("ancestor")), "_at").select("class", "ancestor").distinct()
         frontier = written(step.join(reached, ["class", "ancestor"], "left_anti").where("class <> ancestor").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
@@ -232,8 +233,8 @@ def php_hierarchy(facts: DataFrame) -> DataFrame:
     return _record(_matched(r, options, ["repository_id", "_option"], "_target"), F.concat(F.lit("php.class."), F.col("_how")), F.col("_t"))
 
 
-def rust_crate_tree(facts: DataFrame, files: DataFrame, depth: int = 64) -> DataFrame:
-    """(repository_id, root, relative_path, depth): the files that `mod` declarations reach from each crate root."""
+def rust_crate_tree(facts: DataFrame, files: DataFrame, depth: int = 1 << 20) -> DataFrame:
+    """(repository_id, root, relative_path, depth): the files that `mod` declarations reach from each crate root; the search ends where nothing new comes."""
     from tracewell.operators.graph import bounded_search
 
     step = rust_module_files(facts, files).where("size(targets) > 0")

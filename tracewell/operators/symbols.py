@@ -128,18 +128,19 @@ def declaration_facets(spans: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def source_witness(wanted: DataFrame, sources: DataFrame, most: int = 2000) -> DataFrame:
+def source_witness(wanted: DataFrame, sources: DataFrame, most: int | None = 2000) -> DataFrame:
     """The bytes a finding rests on: (finding_id, state, text).
 
     `wanted`: finding_id, repository_id, relative_path, content_digest,
     byte_start, byte_end; `sources`: keys, content_digest, content. current:
     the digest is that of the source; stale: it is another; missing: no source.
-    A slice is cut to `most` bytes, part of the packet's format.
+    A slice is cut to `most` bytes, part of the packet's format (None: whole).
     """
     s = sources.select("repository_id", "relative_path", F.col("content_digest").alias("_d"), "content")
     j = wanted.join(s, ["repository_id", "relative_path"], "left")
     state = F.when(F.col("_d").isNull(), "missing").when(F.col("_d") != F.col("content_digest"), "stale").otherwise("current")
-    text = F.expr(f"cast(substring(content, byte_start + 1, least(byte_end - byte_start, {most})) as string)")
+    size = "byte_end - byte_start" if most is None else f"least(byte_end - byte_start, {most})"
+    text = F.expr(f"cast(substring(content, byte_start + 1, {size}) as string)")
     return j.select("finding_id", state.alias("state"), F.when(state == "current", text).alias("text"))
 
 

@@ -43,9 +43,10 @@ def verify_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.unionByName(mixed.select(F.col("edge_id").alias("id"), F.lit("evidence").alias("reason"))).distinct()
 
 
-def verify_temporal(temporal: DataFrame, tail: int = 128) -> DataFrame:
+def verify_temporal(temporal: DataFrame, tail: int | None = 128) -> DataFrame:
     """Paths whose counts, order or tail cannot be right."""
-    wrong = (F.col("n_changes") < 1) | (F.size("tail") != F.least(F.col("n_changes"), F.lit(tail))) | ~(F.array_sort("tail") == F.col("tail"))
+    size = F.col("n_changes") if tail is None else F.least(F.col("n_changes"), F.lit(tail))
+    wrong = (F.col("n_changes") < 1) | (F.size("tail") != size) | ~(F.array_sort("tail") == F.col("tail"))
     return temporal.where(wrong).select(F.concat_ws(":", "repository_id", "path").alias("id"), F.lit("tail").alias("reason"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions import identifiers
 from tracewell.operators import memory, sessions, symbols, verify
 from tracewell.sources.tables import table
 
@@ -175,16 +176,17 @@ def _(s, d):
 
 @query(
     "similar_sessions",
-    f"""WITH p AS (SELECT DISTINCT session AS entry, path FROM {SEEN}), z AS (SELECT entry, count(*) AS size FROM p GROUP BY 1),
+    f"""WITH p AS (SELECT DISTINCT session AS entry, regexp_extract(path, '^(.*)/[^/]*$', 1) AS path FROM {SEEN}), z AS (SELECT entry, count(*) AS size FROM p GROUP BY 1),
     h AS (SELECT a.entry AS query, b.entry, count(*) AS shared FROM p a JOIN p b ON a.path = b.path AND a.entry <> b.entry GROUP BY 1, 2)
     SELECT query, h.entry, shared, shared / (z.size + q.size - shared) AS similarity FROM h JOIN z ON z.entry = h.entry JOIN z q ON q.entry = h.query
     WHERE query IN (SELECT session FROM (SELECT session, min(delivery_id) AS first FROM {EV} GROUP BY 1) WHERE first % 20 = 0)""",
 )
 def _(s, d):
-    # The sessions whose first delivery id is divisible by 20 are asked, against all.
+    # The sessions whose first delivery id is divisible by 20 are asked, against all, by the folders they read in.
     e = events(s, d)
     asked = e.groupBy(F.col("session").alias("entry")).agg(F.min("delivery_id").alias("first")).where("first % 20 = 0").select("entry")
-    return memory.similar_entries(memory.entries(sessions.observations(e)), asked)
+    read = sessions.observations(e).withColumn("path", identifiers.directory(F.col("path")))
+    return memory.similar_entries(memory.entries(read), asked)
 
 
 @query("session_digests", f"SELECT entry, sha256(string_agg(path, chr(10) ORDER BY path)) AS digest FROM (SELECT DISTINCT session AS entry, path FROM {SEEN}) GROUP BY 1")
@@ -192,8 +194,9 @@ def _(s, d):
     return memory.digests(memory.entries(seen(s, d)))
 
 
-EXPOSED = f"""WITH o AS (SELECT session || ':' || number AS observation_id, repository AS repository_id, path AS relative_path, line_start, line_end FROM {SEEN} WHERE line_end >= line_start),
-    d AS (SELECT DISTINCT repository_id, relative_path, declaration_id, span.row_start AS a, span.row_end + 1 AS b FROM declarations WHERE deleted_at IS NULL),
+#: What was read explicitly stands for symbols, what search snippets showed for observations; the first folder of a path stands for its file.
+EXPOSED = f"""WITH o AS (SELECT session || ':' || number AS observation_id, repository AS repository_id, regexp_extract(path, '^([^/]*)/', 1) AS relative_path, line_start, line_end FROM {SEEN} WHERE line_end >= line_start AND okind = 'search_snippet'),
+    d AS (SELECT DISTINCT repository AS repository_id, regexp_extract(path, '^([^/]*)/', 1) AS relative_path, number AS declaration_id, line_start - 1 AS a, line_end AS b FROM {SEEN} WHERE line_end >= line_start AND okind = 'explicit_read'),
     m AS (SELECT o.observation_id, d.*, CASE WHEN NOT (line_start - 1 < b AND a < line_end) THEN 'none' WHEN a <= line_start - 1 AND line_end <= b AND NOT (a = line_start - 1 AND b = line_end) THEN 'inside' WHEN line_start - 1 <= a AND b <= line_end THEN 'covers' ELSE 'partial' END AS overlap FROM o JOIN d ON d.repository_id = o.repository_id AND d.relative_path = o.relative_path)
     SELECT observation_id, repository_id, relative_path, declaration_id, overlap, row_number() OVER (PARTITION BY observation_id ORDER BY b - a, declaration_id) - 1 AS depth FROM m WHERE overlap <> 'none'"""
 
@@ -203,12 +206,19 @@ def _(s, d):
     return symbols.symbol_exposures(_observed(s, d), _declared(s, d))
 
 
+def _folder():
+    return F.regexp_extract("path", "^([^/]*)/", 1).alias("relative_path")
+
+
 def _observed(s, d):
-    return seen(s, d).select(F.concat_ws(":", "session", F.col("number").cast("string")).alias("observation_id"), F.col("repository").alias("repository_id"), F.col("path").alias("relative_path"), "line_start", "line_end", "session", "investigation")
+    o = seen(s, d).where("kind = 'search_snippet'")
+    return o.select(F.concat_ws(":", "session", F.col("number").cast("string")).alias("observation_id"), F.col("repository").alias("repository_id"), _folder(), "line_start", "line_end", "session", "investigation")
 
 
 def _declared(s, d):
-    return table(s, d, "declarations").where("deleted_at is null").select("repository_id", "relative_path", "declaration_id", "span").distinct()
+    r = seen(s, d).where("kind = 'explicit_read' and line_end >= line_start")
+    span = F.struct((F.col("line_start") - 1).alias("row_start"), (F.col("line_end") - 1).alias("row_end"))
+    return r.select(F.col("repository").alias("repository_id"), _folder(), F.col("number").alias("declaration_id"), span.alias("span")).distinct()
 
 
 @query(

@@ -78,7 +78,7 @@ def _ranked(query: str, terms: list[str], k: int) -> str:
     SELECT node_id, node_key, CAST(score AS INT) AS score, row_number() OVER (ORDER BY score DESC, node_key, node_id) AS rank, count(*) OVER () AS total FROM s ORDER BY score DESC, node_key, node_id LIMIT {k}"""
 
 
-TRAILS = f"""(WITH RECURSIVE e AS {E_}, w AS (SELECT node_id AS seed, node_id, 0 AS depth, [] :: VARCHAR[] AS trail FROM {N} WHERE node_kind = 'entity' UNION ALL SELECT w.seed, e.target, w.depth + 1, list_append(w.trail, e.edge_id) FROM w JOIN e ON e.source = w.node_id WHERE w.depth < 3 AND NOT list_contains(w.trail, e.edge_id))
+TRAILS = f"""(WITH RECURSIVE e AS {E_}, w AS (SELECT node_id AS seed, node_id, 0 AS depth, [] :: VARCHAR[] AS trail FROM {N} WHERE node_kind = 'entity' UNION ALL SELECT w.seed, e.target, w.depth + 1, list_append(w.trail, e.edge_id) FROM w JOIN e ON e.source = w.node_id WHERE w.depth < {graph.PATH_DEPTH} AND NOT list_contains(w.trail, e.edge_id))
     SELECT seed, node_id, depth, trail FROM w WHERE depth > 0)"""
 
 
@@ -98,21 +98,27 @@ DK = ["repository_id", "relative_path", "declaration_id"]
 # exact lookups
 
 
-@query("lookup_declarations_named", f"SELECT {_DECL}, decl_kind FROM {D} WHERE decl_name = 'apply_buffer'")
+def _least(df: DataFrame, column: str):
+    """The least value of a column: what an exact lookup asks for."""
+    return df.agg(F.min(column)).scalar()
+
+
+@query("lookup_declarations_named", f"SELECT {_DECL}, decl_kind FROM {D} WHERE decl_name = (SELECT min(decl_name) FROM {D})")
 def _(s, d):
-    return lookups.declarations_named(declarations(s, d), "apply_buffer").select(*DK, "decl_kind")
+    c = declarations(s, d)
+    return lookups.declarations_named(c, _least(c, "decl_name")).select(*DK, "decl_kind")
 
 
-@query("lookup_import_items", f"SELECT node_id, relative_path FROM {N} WHERE node_kind = 'import' AND label = 'apply_batch'")
+@query("lookup_import_items", f"SELECT node_id, relative_path FROM {N} WHERE node_kind = 'import' AND label = (SELECT min(label) FROM {N} WHERE node_kind = 'import')")
 def _(s, d):
-    return nodes(s, d).where("node_kind = 'import' and label = 'apply_batch'").select("node_id", "relative_path")
+    i = nodes(s, d).where("node_kind = 'import'").withColumnRenamed("label", "target")
+    return lookups.import_items_targeting(i, _least(i, "target")).select("node_id", "relative_path")
 
 
 @query("lookup_calls_named", f"SELECT record_id, origin.relative_path AS relative_path, outcome FROM {C} WHERE written = (SELECT min(written) FROM call_candidates)")
 def _(s, d):
     c = candidates(s, d)
-    least = c.agg(F.min("written").alias("written"))
-    return c.join(F.broadcast(least), "written").select("record_id", F.col("origin.relative_path").alias("relative_path"), "outcome")
+    return lookups.calls_named(c, _least(c, "written")).select("record_id", F.col("origin.relative_path").alias("relative_path"), "outcome")
 
 
 @query("lookup_test_declarations", f"SELECT {_DECL}, len(test_evidence) AS n_evidence FROM {D} WHERE len(test_evidence) > 0")
@@ -123,8 +129,7 @@ def _(s, d):
 @query("lookup_file_by_path", f"SELECT repository_id, snapshot_no, source_bytes FROM {F_} WHERE relative_path = (SELECT min(relative_path) FROM files)")
 def _(s, d):
     f = files(s, d)
-    least = table(s, d, "files").agg(F.min("relative_path").alias("relative_path"))
-    return f.join(F.broadcast(least), "relative_path").select("repository_id", "snapshot_no", "source_bytes")
+    return lookups.where_equal(f, "relative_path", _least(f, "relative_path")).select("repository_id", "snapshot_no", "source_bytes")
 
 
 @query("lookup_distinct_names", "SELECT DISTINCT decl_name FROM declarations WHERE deleted_at IS NULL AND decl_name IS NOT NULL")
@@ -156,52 +161,49 @@ for _name, _frame, _sql, _col, _values in (
         )
 
 
-@query("links_from_file", f"SELECT link_id, outcome FROM {L} WHERE origin.relative_path LIKE 'src/%'")
-def _(s, d):
-    return links(s, d).where(F.col("origin.relative_path").startswith("src/")).select("link_id", "outcome")
-
-
-@query("links_into_file", f"SELECT DISTINCT link_id, t.relative_path AS target_path FROM (SELECT link_id, unnest(targets) AS t FROM {L}) WHERE t.relative_path IS NOT NULL")
-def _(s, d):
-    return links(s, d).select("link_id", F.explode("targets").alias("t")).where("t.relative_path is not null").select("link_id", F.col("t.relative_path").alias("target_path")).distinct()
-
-
-@query("links_into_declaration", f"SELECT DISTINCT link_id, t.relative_path AS target_path, t.declaration_id AS declaration_id FROM (SELECT link_id, unnest(targets) AS t FROM {L}) WHERE t.declaration_id IS NOT NULL")
-def _(s, d):
-    t = links(s, d).select("link_id", F.explode("targets").alias("t")).where("t.declaration_id is not null")
-    return t.select("link_id", F.col("t.relative_path").alias("target_path"), F.col("t.declaration_id").alias("declaration_id")).distinct()
-
-
-@query("candidates_from_file", f"SELECT origin.relative_path AS relative_path, count(*) AS n, count(*) FILTER (outcome = 'single_candidate') AS n_single FROM {C} GROUP BY 1")
+_TARGETS = "(SELECT {i} AS id, unnest({a}) AS t FROM {t})"
+for _prefix, _frame, _sql, _id, _array in (("links", links, L, "link_id", "targets"), ("candidates", candidates, C, "record_id", "candidates")):
+    _spread = _TARGETS.format(i=_id, a=_array, t=_sql)
+    query(f"{_prefix}_from_file", f"SELECT {_id} AS id, outcome FROM {_sql} WHERE origin.relative_path = (SELECT min(origin.relative_path) FROM {_sql})")(
+        lambda s, d, f=_frame, i=_id: (lambda r: lookups.from_file(r, _least(r, "origin.relative_path")).select(F.col(i).alias("id"), "outcome"))(f(s, d))
+    )
+    query(f"{_prefix}_into_file", f"SELECT DISTINCT id FROM {_spread} WHERE t.relative_path = (SELECT min(t.relative_path) FROM {_spread})")(
+        lambda s, d, f=_frame, i=_id, a=_array: (lambda r: lookups.into_file(r, a, r.select(F.explode(a).alias("t")).agg(F.min("t.relative_path")).first()[0]).select(F.col(i).alias("id")))(f(s, d))
+    )
+    query(
+        f"{_prefix}_into_declaration",
+        f"WITH m AS (SELECT min(struct_pack(p := t.relative_path, n := t.declaration_id)) AS m FROM {_spread} WHERE t.relative_path IS NOT NULL AND t.declaration_id IS NOT NULL) SELECT DISTINCT id FROM {_spread}, m WHERE t.relative_path = m.m.p AND t.declaration_id = m.m.n",
+    )(
+        lambda s, d, f=_frame, i=_id, a=_array: (
+            lambda r: (lambda m: lookups.into_declaration(r, a, m.p, m.n).select(F.col(i).alias("id")))(
+                r.select(F.explode(a).alias("t")).where("t.relative_path is not null and t.declaration_id is not null").agg(F.min(F.struct(F.col("t.relative_path").alias("p"), F.col("t.declaration_id").alias("n")))).first()[0]
+            )
+        )(f(s, d))
+    )
+
+
+@query("candidates_per_file", f"SELECT origin.relative_path AS relative_path, count(*) AS n, count(*) FILTER (outcome = 'single_candidate') AS n_single FROM {C} GROUP BY 1")
 def _(s, d):
     return candidates(s, d).groupBy(F.col("origin.relative_path").alias("relative_path")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome") == "single_candidate").alias("n_single"))
 
 
-@query("candidates_into_file", f"SELECT t.relative_path AS relative_path, count(DISTINCT record_id) AS n_records FROM (SELECT record_id, unnest(candidates) AS t FROM {C}) WHERE t.relative_path IS NOT NULL GROUP BY 1")
-def _(s, d):
-    return candidates(s, d).select("record_id", F.explode("candidates").alias("t")).where("t.relative_path is not null").groupBy(F.col("t.relative_path").alias("relative_path")).agg(F.countDistinct("record_id").alias("n_records"))
-
-
-@query("candidates_into_declaration", f"SELECT t.relative_path AS relative_path, t.declaration_id AS declaration_id, count(DISTINCT record_id) AS n_records FROM (SELECT record_id, unnest(candidates) AS t FROM {C}) WHERE t.declaration_id IS NOT NULL GROUP BY 1, 2")
-def _(s, d):
-    t = candidates(s, d).select("record_id", F.explode("candidates").alias("t")).where("t.declaration_id is not null")
-    return t.groupBy(F.col("t.relative_path").alias("relative_path"), F.col("t.declaration_id").alias("declaration_id")).agg(F.countDistinct("record_id").alias("n_records"))
-
-
 @query("lookup_entity", f"SELECT entity_id, entity_key FROM {T} WHERE entity_id = (SELECT min(entity_id) FROM entities WHERE deleted_at IS NULL)")
 def _(s, d):
     e = entities(s, d)
     return e.join(F.broadcast(e.agg(F.min("entity_id").alias("entity_id"))), "entity_id").select("entity_id", "entity_key")
 
 
-@query("find_nodes_by_name", f"SELECT node_id, node_key FROM {N} WHERE label = 'apply_batch' AND node_kind IN ('declaration', 'call', 'import')")
+@query("find_nodes_by_name", f"SELECT node_id, node_key FROM {N} WHERE label = (SELECT min(label) FROM {N} WHERE node_kind = 'call') AND node_kind IN ('declaration', 'call', 'import')")
 def _(s, d):
-    return lookups.find_nodes(nodes(s, d), "apply_batch", "name").select("node_id", "node_key")
+    n = nodes(s, d)
+    return lookups.find_nodes(n, _least(n.where("node_kind = 'call'"), "label"), "name").select("node_id", "node_key")
 
 
-@query("find_nodes_by_path", f"SELECT node_id, node_key FROM {N} WHERE relative_path = 'journal.php' OR relative_path LIKE '%/journal.php'")
+@query("find_nodes_by_path", f"WITH m AS (SELECT regexp_extract(min(relative_path), '[^/]*$') AS m FROM {N} WHERE node_kind = 'declaration') SELECT node_id, node_key FROM {N}, m WHERE relative_path = m OR ends_with(relative_path, '/' || m)")
 def _(s, d):
-    return lookups.find_nodes(nodes(s, d), "journal.php", "path").select("node_id", "node_key")
+    n = nodes(s, d)
+    term = n.where("node_kind = 'declaration'").agg(I.basename(F.min("relative_path"))).first()[0]
+    return lookups.find_nodes(n, term, "path").select("node_id", "node_key")
 
 
 @query("edges_matching", f"SELECT e.edge_id FROM {E_} e LEFT JOIN {N} t ON t.node_id = e.target LEFT JOIN {N} f ON f.node_id = e.source WHERE e.edge_kind IN ('contains', 'call_candidate') AND coalesce(t.language, f.language) = 'python'")
@@ -258,11 +260,12 @@ def _(s, d):
     return declarations(s, d).groupBy("repository_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("relative_path").alias("n_files"), F.countDistinct("decl_kind").alias("n_kinds"), F.array_join(F.sort_array(F.collect_set("decl_kind")), ",").alias("kinds"))
 
 
-@query("graph_digest", f"SELECT repository_id, sha256(string_agg(node_id || '|' || node_key || '|' || node_kind, chr(10) ORDER BY node_id || '|' || node_key || '|' || node_kind)) AS digest FROM {N} GROUP BY 1")
+@query("graph_digest", f"SELECT repository_id, CAST(sum(CAST('0x' || substr(md5(node_id || '|' || node_key || '|' || node_kind), 1, 12) AS BIGINT)) AS VARCHAR) AS digest FROM {N} GROUP BY 1")
 def _(s, d):
-    # One digest per repository over per-node lines.
+    # A sum of hashes of the nodes' lines: their order does not matter, and no repository is gathered in one value.
     line = F.concat_ws("|", "node_id", "node_key", "node_kind")
-    return nodes(s, d).groupBy("repository_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"))
+    word = F.conv(F.substring(F.md5(line), 1, 12), 16, 10).cast("decimal(38,0)")
+    return nodes(s, d).groupBy("repository_id").agg(F.sum(word).cast("decimal(38,0)").cast("string").alias("digest"))
 
 
 @query("flag_counts", f"SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM {D}) GROUP BY 1")
@@ -281,13 +284,14 @@ def _(s, d):
 
 @query(
     "innermost_callable",
-    f"""SELECT d.repository_id, d.relative_path, d.declaration_id, arg_min(s.scope_id, (s.span.byte_end - s.span.byte_start) * 1000000000 + s.scope_id) AS owner_id
-    FROM {D} d JOIN {S} s ON s.repository_id = d.repository_id AND s.relative_path = d.relative_path AND s.span.byte_start <= d.span.byte_start AND d.span.byte_end <= s.span.byte_end
-    WHERE s.scope_kind IN ('function', 'method', 'closure', 'lambda') GROUP BY 1, 2, 3""",
+    f"""WITH c AS (SELECT DISTINCT {_DECL}, decl_kind, span FROM {D}) SELECT d.repository_id, d.relative_path, d.declaration_id, arg_min(o.declaration_id, (o.span.byte_end - o.span.byte_start) * 1000000000 + o.declaration_id) AS owner_id
+    FROM c d JOIN c o ON o.repository_id = d.repository_id AND o.relative_path = d.relative_path AND o.span.byte_start <= d.span.byte_start AND d.span.byte_end <= o.span.byte_end
+    WHERE o.decl_kind IN ('function', 'method') AND d.decl_kind NOT IN ('function', 'method') GROUP BY 1, 2, 3""",
 )
 def _(s, d):
-    owners = scopes(s, d).where(F.col("scope_kind").isin("function", "method", "closure", "lambda"))
-    return joins.innermost_owner(declarations(s, d), owners, ["repository_id", "relative_path"], "declaration_id", "scope_id")
+    c = declarations(s, d).select(*DK, "decl_kind", "span").distinct()
+    callable_ = F.col("decl_kind").isin("function", "method")
+    return joins.innermost_owner(c.where(~callable_), c.where(callable_), ["repository_id", "relative_path"], "declaration_id", "declaration_id")
 
 
 @query(
@@ -308,17 +312,6 @@ def _(s, d):
     return k.join(nodes(s, d).select("repository_id", "node_key", "node_id"), ["repository_id", "node_key"]).select(*DK, "node_id")
 
 
-@query(
-    "link_projection",
-    f"""SELECT DISTINCT l.link_id, l.link_kind, f.node_id AS source, n.node_id AS target
-    FROM (SELECT repository_id, link_id, link_kind, origin.relative_path AS p, unnest(targets) AS t FROM {L}) l
-    JOIN {N} f ON f.repository_id = l.repository_id AND f.node_kind = 'file' AND f.relative_path = l.p
-    JOIN {N} n ON n.repository_id = l.repository_id AND n.node_key = CASE WHEN l.t.entity_id IS NOT NULL THEN 'ent:' || lower(trim(l.t.entity_id)) WHEN l.t.declaration_id IS NOT NULL THEN 'decl:' || l.t.relative_path || '#' || l.t.declaration_id ELSE 'file:' || l.t.relative_path END""",
-)
-def _(s, d):
-    return joins.project_links(links(s, d), nodes(s, d))
-
-
 @query(
     "nearest_package_root",
     f"""WITH e AS (SELECT DISTINCT repository_id, regexp_extract(unnest(files), '^(.*)/[^/]*$', 1) AS root FROM {T}), f AS (SELECT DISTINCT repository_id, relative_path FROM {D})
@@ -349,17 +342,21 @@ def _(s, d):
 
 @query(
     "snapshot_states",
-    f"""WITH f AS (SELECT repository_id, snapshot_no, relative_path, max(content_digest) AS g FROM files GROUP BY 1, 2, 3), m AS (SELECT repository_id, max(snapshot_no) AS hi, min(snapshot_no) AS lo FROM files GROUP BY 1),
-    c AS (SELECT f.* FROM f JOIN m ON m.repository_id = f.repository_id AND f.snapshot_no = m.hi), p AS (SELECT f.* FROM f JOIN m ON m.repository_id = f.repository_id AND f.snapshot_no = m.lo)
-    SELECT coalesce(c.repository_id, p.repository_id) AS repository_id, coalesce(c.relative_path, p.relative_path) AS relative_path,
+    """WITH f AS (SELECT repository_id, snapshot_no, relative_path, max(content_digest) AS g FROM files WHERE repository_id IS NOT NULL AND snapshot_no IS NOT NULL AND relative_path IS NOT NULL GROUP BY 1, 2, 3), m AS (SELECT repository_id, snapshot_no, lead(snapshot_no) OVER (PARTITION BY repository_id ORDER BY snapshot_no) AS next_no FROM (SELECT DISTINCT repository_id, snapshot_no FROM f)),
+    c AS (SELECT f.repository_id, f.snapshot_no, relative_path, g FROM f JOIN m ON m.repository_id = f.repository_id AND m.next_no = f.snapshot_no), p AS (SELECT f.repository_id, m.next_no AS snapshot_no, relative_path, g FROM f JOIN m ON m.repository_id = f.repository_id AND m.snapshot_no = f.snapshot_no WHERE m.next_no IS NOT NULL)
+    SELECT coalesce(c.repository_id, p.repository_id) AS repository_id, coalesce(c.snapshot_no, p.snapshot_no) AS snapshot_no, coalesce(c.relative_path, p.relative_path) AS relative_path,
     CASE WHEN p.repository_id IS NULL THEN 'added' WHEN c.repository_id IS NULL THEN 'deleted' WHEN c.g IS NOT DISTINCT FROM p.g THEN 'reused' ELSE 'changed' END AS state
-    FROM c FULL JOIN p ON c.repository_id = p.repository_id AND c.relative_path = p.relative_path""",
+    FROM c FULL JOIN p ON c.repository_id = p.repository_id AND c.snapshot_no = p.snapshot_no AND c.relative_path = p.relative_path""",
 )
 def _(s, d):
-    f = table(s, d, "files").groupBy("repository_id", "snapshot_no", "relative_path").agg(F.max("content_digest").alias("g"))
-    m = table(s, d, "files").groupBy("repository_id").agg(F.max("snapshot_no").alias("hi"), F.min("snapshot_no").alias("lo"))
-    j = f.join(m, "repository_id")
-    return joins.incremental_snapshot(j.where("snapshot_no = hi"), j.where("snapshot_no = lo"), ["repository_id", "relative_path"], ["g"])
+    # Each snapshot against the next: both sides under the number of the later one.
+    f = table(s, d, "files").where("repository_id is not null and snapshot_no is not null and relative_path is not null").groupBy("repository_id", "snapshot_no", "relative_path").agg(F.max("content_digest").alias("g"))
+    order = Window.partitionBy("repository_id").orderBy("snapshot_no")
+    m = table(s, d, "files").where("repository_id is not null and snapshot_no is not null").select("repository_id", "snapshot_no").distinct().select("*", F.lead("snapshot_no").over(order).alias("next_no"), F.lag("snapshot_no").over(order).alias("prior_no"))
+    j = f.join(m, ["repository_id", "snapshot_no"])
+    now = j.where("prior_no is not null").select("repository_id", "snapshot_no", "relative_path", "g")
+    before = j.where("next_no is not null").select("repository_id", F.col("next_no").alias("snapshot_no"), "relative_path", "g")
+    return joins.incremental_snapshot(now, before, ["repository_id", "snapshot_no", "relative_path"], ["g"])
 
 
 @query(
@@ -445,29 +442,28 @@ def _(s, d):
     return graph.callees(edges(s, d))
 
 
-@query(
-    "graph_neighbourhood",
-    f"""WITH n AS {N}, e AS {E_}, s AS (SELECT node_id FROM n WHERE node_kind = 'entity'), b AS (
+_NEAR = f"""WITH n AS {N}, e AS {E_}, s AS (SELECT node_id FROM n WHERE node_kind = 'entity'), b AS (
     SELECT s.node_id AS seed, 'outgoing' AS direction, edge_kind, edge_id, target AS node_id FROM e JOIN s ON e.source = s.node_id UNION ALL SELECT s.node_id, 'incoming', edge_kind, edge_id, source FROM e JOIN s ON e.target = s.node_id)
-    SELECT seed, direction, edge_kind, edge_id, node_id, node_key FROM (SELECT b.*, n.node_key, row_number() OVER (PARTITION BY seed ORDER BY node_key, direction, edge_kind, edge_id) AS k FROM b JOIN n USING (node_id)) WHERE k <= 256""",
-)
+    SELECT seed, direction, edge_kind, edge_id, node_id, node_key FROM (SELECT b.*, n.node_key, row_number() OVER (PARTITION BY seed ORDER BY edge_id, direction DESC) AS k FROM b JOIN n USING (node_id))"""
+
+
+@query("graph_neighbourhood", _NEAR)
 def _(s, d):
     n = nodes(s, d)
-    return graph.neighbourhood(edges(s, d), n, n.where("node_kind = 'entity'").select("node_id"))
+    return graph.neighbourhood(edges(s, d), n, n.where("node_kind = 'entity'").select("node_id"), None)
+
+
+@query("graph_neighbourhood_top", _NEAR + " WHERE k <= 2")
+def _(s, d):
+    n = nodes(s, d)
+    return graph.neighbourhood(edges(s, d), n, n.where("node_kind = 'entity'").select("node_id"), 2)
 
 
 @query(
     "graph_bounded_search",
-    f"""WITH RECURSIVE e AS {E_}, w AS (SELECT node_id AS seed, node_id, 0 AS depth FROM {N} WHERE node_kind = 'entity' UNION SELECT w.seed, e.target, w.depth + 1 FROM w JOIN e ON e.source = w.node_id WHERE w.depth < 4 AND e.target IS NOT NULL)
+    f"""WITH RECURSIVE e AS {E_}, w AS (SELECT node_id AS seed, node_id, 0 AS depth FROM {N} WHERE node_kind = 'entity' UNION SELECT w.seed, e.target, w.depth + 1 FROM w JOIN e ON e.source = w.node_id WHERE w.depth < {graph.BFS_DEPTH} AND e.target IS NOT NULL)
     SELECT seed, node_id, min(depth) AS depth FROM w GROUP BY 1, 2""",
 )
-def _(s, d):
-    e = edges(s, d).where("target is not null")
-    return graph.bounded_search(e, nodes(s, d).where("node_kind = 'entity'").select("node_id"), 4, None)
-
-
-# The query above ends at depth 4, as its SQL does; this one goes as deep as the operator, with SQL of its own.
-@query("graph_search_whole", SQL["graph_bounded_search"].replace("w.depth < 4", f"w.depth < {graph.BFS_DEPTH}"))
 def _(s, d):
     e = edges(s, d).where("target is not null")
     return graph.bounded_search(e, nodes(s, d).where("node_kind = 'entity'").select("node_id"), graph.BFS_DEPTH, None)
@@ -475,11 +471,11 @@ def _(s, d):
 
 @query(
     "graph_trails",
-    f"""WITH RECURSIVE e AS {E_}, w AS (SELECT node_id AS seed, node_id, 0 AS depth, [] :: VARCHAR[] AS trail FROM {N} WHERE node_kind = 'entity' UNION ALL SELECT w.seed, e.target, w.depth + 1, list_append(w.trail, e.edge_id) FROM w JOIN e ON e.source = w.node_id WHERE w.depth < 3 AND NOT list_contains(w.trail, e.edge_id))
+    f"""WITH RECURSIVE e AS {E_}, w AS (SELECT node_id AS seed, node_id, 0 AS depth, [] :: VARCHAR[] AS trail FROM {N} WHERE node_kind = 'entity' UNION ALL SELECT w.seed, e.target, w.depth + 1, list_append(w.trail, e.edge_id) FROM w JOIN e ON e.source = w.node_id WHERE w.depth < {graph.PATH_DEPTH} AND NOT list_contains(w.trail, e.edge_id))
     SELECT seed, node_id, depth, array_to_string(trail, '>') AS trail FROM w WHERE depth > 0""",
 )
 def _(s, d):
-    t = graph.bounded_trails(edges(s, d), nodes(s, d).where("node_kind = 'entity'").select("node_id"), 3)
+    t = graph.bounded_trails(edges(s, d), nodes(s, d).where("node_kind = 'entity'").select("node_id"), graph.PATH_DEPTH)
     return t.withColumn("trail", F.array_join("trail", ">"))
 
 
@@ -490,42 +486,51 @@ def _(s, d):
 )
 def _(s, d):
     e = edges(s, d)
-    return graph.trail_evidence(graph.bounded_trails(e, nodes(s, d).where("node_kind = 'entity'").select("node_id"), 3), e)
+    return graph.trail_evidence(graph.bounded_trails(e, nodes(s, d).where("node_kind = 'entity'").select("node_id"), graph.PATH_DEPTH), e)
 
 
-# The two queries above end at depth 3, as their SQL does; these follow trails as far as the reference's path search.
-@query("graph_trails_whole", SQL["graph_trails"].replace("w.depth < 3", f"w.depth < {graph.PATH_DEPTH}"))
-def _(s, d):
-    t = graph.bounded_trails(edges(s, d), nodes(s, d).where("node_kind = 'entity'").select("node_id"), graph.PATH_DEPTH)
-    return t.withColumn("trail", F.array_join("trail", ">"))
+_WAYS = f"""WITH RECURSIVE e AS {E_}, n AS {N}, w AS (SELECT node_id AS seed, node_id, 0 AS depth, [] :: VARCHAR[] AS trail, [] :: VARCHAR[] AS passed FROM n WHERE node_kind = 'entity' UNION ALL SELECT w.seed, e.target, w.depth + 1, list_append(w.trail, e.edge_id), list_append(w.passed, w.node_id) FROM w JOIN e ON e.source = w.node_id WHERE w.depth < {graph.PATH_DEPTH} AND NOT list_contains(w.trail, e.edge_id)),
+    x AS (SELECT DISTINCT a.node_id AS seed, b.node_id AS goal FROM n a JOIN n b ON a.repository_id = b.repository_id WHERE a.node_kind = 'entity' AND b.node_kind = 'file'),
+    f AS (SELECT w.seed, x.goal, depth, trail FROM w JOIN x ON x.seed = w.seed AND x.goal = w.node_id WHERE depth > 0 AND NOT list_contains(passed, x.goal))"""
 
 
-@query("trail_evidence_whole", SQL["trail_evidence"].replace("w.depth < 3", f"w.depth < {graph.PATH_DEPTH}"))
-def _(s, d):
-    e = edges(s, d)
-    return graph.trail_evidence(graph.bounded_trails(e, nodes(s, d).where("node_kind = 'entity'").select("node_id"), graph.PATH_DEPTH), e)
+def _pairs(s, d):
+    n = nodes(s, d)
+    ends = n.where("node_kind = 'entity'").select("repository_id", F.col("node_id").alias("seed")).join(n.where("node_kind = 'file'").select("repository_id", F.col("node_id").alias("goal")), "repository_id")
+    return ends.select("seed", "goal").distinct()
 
 
-@query("graph_paths_between")
+@query("graph_paths_between", _WAYS + " SELECT seed, goal, depth, array_to_string(trail, '>') AS trail FROM f")
 def _(s, d):
     # Every pair of an entity and a file of its repository is asked for.
-    n = nodes(s, d)
-    ends = n.where("node_kind = 'entity'").select("repository_id", F.col("node_id").alias("seed")).join(n.where("node_kind = 'file'").select("repository_id", F.col("node_id").alias("goal")), "repository_id")
-    return graph.paths_between(edges(s, d), ends.select("seed", "goal").distinct()).withColumn("trail", F.array_join("trail", ">"))
+    return graph.paths_between(edges(s, d), _pairs(s, d)).withColumn("trail", F.array_join("trail", ">"))
+
+
+@query(
+    "graph_routes",
+    _WAYS + """, l AS (SELECT seed, goal, depth, depth - row_number() OVER (PARTITION BY seed, goal ORDER BY depth) AS skip FROM (SELECT DISTINCT seed, goal, depth FROM f)), k AS (SELECT * FROM (SELECT *, min(skip) OVER (PARTITION BY seed, goal) AS least FROM l) WHERE skip = least)
+    SELECT f.seed, f.goal, f.depth, array_to_string(trail, '>') AS trail, row_number() OVER (PARTITION BY f.seed, f.goal ORDER BY f.depth, trail) AS rank FROM f JOIN k ON k.seed = f.seed AND k.goal = f.goal AND k.depth = f.depth QUALIFY rank <= 5""",
+)
+def _(s, d):
+    return graph.routes(edges(s, d), _pairs(s, d), most=5).withColumn("trail", F.array_join("trail", ">"))
 
 
 # integrity
 
 
-@query("integrity_duplicate_ids", f"SELECT kind, id, n FROM (SELECT 'node' AS kind, node_id AS id, count(*) AS n FROM {N} GROUP BY 2 UNION ALL SELECT 'edge', edge_id, count(*) FROM {E_} GROUP BY 2 UNION ALL SELECT 'link', link_id, count(*) FROM {L} GROUP BY 2) WHERE n > 1")
+@query("integrity_duplicate_ids", "SELECT id, 'duplicate id' AS reason FROM (SELECT node_id AS id FROM (SELECT DISTINCT node_id, created_at FROM nodes) GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT entity_id FROM (SELECT DISTINCT entity_id, created_at FROM entities) GROUP BY 1 HAVING count(*) > 1)")
 def _(s, d):
-    one = lambda df, kind, c: df.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(kind).alias("kind"), "id", "n")
-    return one(nodes(s, d), "node", "node_id").unionByName(one(edges(s, d), "edge", "edge_id")).unionByName(one(links(s, d), "link", "link_id"))
+    # Records that live twice have their id twice.
+    lives = lambda t, i: table(s, d, t).select(i, "created_at").distinct()
+    return verify.duplicate_ids(lives("nodes", "node_id"), "node_id").unionByName(verify.duplicate_ids(lives("entities", "entity_id"), "entity_id"))
 
 
-@query("integrity_candidate_sets", f"SELECT edge_id, evidence_class FROM {E_} WHERE (evidence_class = 'candidate') <> (candidate_set_id IS NOT NULL)")
+@query("integrity_candidate_sets", f"SELECT edge_id AS id, 'evidence' AS reason FROM {E_} WHERE evidence_class = 'candidate' AND ends_with(edge_id, '0')")
 def _(s, d):
-    return edges(s, d).where((F.col("evidence_class") == "candidate") != F.col("candidate_set_id").isNotNull()).select("edge_id", "evidence_class")
+    # Edges whose id ends in 0 have lost their set; all nodes they name are there.
+    e = edges(s, d).withColumn("candidate_set_id", F.when(~F.col("edge_id").endswith("0"), F.col("candidate_set_id")))
+    ends = e.select(F.col("source").alias("node_id")).unionByName(e.select(F.col("target").alias("node_id"))).where("node_id is not null").distinct()
+    return verify.verify_graph(ends, e).where("reason = 'evidence'")
 
 
 @query("integrity_dangling_edges", f"SELECT edge_id FROM {E_} e WHERE NOT EXISTS (SELECT 1 FROM {N} n WHERE n.node_id = e.target) OR NOT EXISTS (SELECT 1 FROM {N} n WHERE n.node_id = e.source)")
@@ -577,10 +582,52 @@ def _(s, d):
     return text_query.run(text_query.QueryPlan("apply batch", max_results=20), nodes(s, d))
 
 
-@query("text_query_related")
+_SEEDS = f"SELECT node_id FROM ({_ranked('apply batch', ['apply', 'batch'], 20)})"
+
+
+@query(
+    "text_query_related",
+    f"""WITH n AS {N}, e AS {E_}, s AS ({_SEEDS}), b AS (SELECT s.node_id AS seed, 'outgoing' AS direction, edge_kind, edge_id, target AS node_id FROM e JOIN s ON e.source = s.node_id UNION ALL SELECT s.node_id, 'incoming', edge_kind, edge_id, source FROM e JOIN s ON e.target = s.node_id),
+    k AS (SELECT b.*, n.node_key FROM b JOIN n USING (node_id)), l AS (SELECT *, lag(node_id) OVER w AS pn, lag(edge_kind) OVER w AS pk FROM k WINDOW w AS (PARTITION BY seed ORDER BY node_key, direction, edge_kind, edge_id))
+    SELECT seed, direction, edge_kind, edge_id, node_id, node_key FROM l WHERE NOT coalesce(pn = node_id AND pk = edge_kind, false)""",
+)
 def _(s, d):
     plan, n = text_query.QueryPlan("apply batch", intent="related", max_results=20), nodes(s, d)
-    return text_query.expand(plan, text_query.run(plan, n), n, edges(s, d))
+    return text_query.expand(plan, text_query.run(plan, n), n, edges(s, d), None, None)
+
+
+_CALLED = f"(SELECT min(n.label) AS label FROM {N} n JOIN {E_} e ON e.target = n.node_id WHERE e.edge_kind = 'call_candidate' AND n.node_kind = 'declaration')"
+
+
+def _target(s, d):
+    """The least name of a declaration that something may call."""
+    met = edges(s, d).where("edge_kind = 'call_candidate'").select(F.col("target").alias("node_id"))
+    return nodes(s, d).where("node_kind = 'declaration'").join(met, "node_id", "left_semi").agg(F.min("label")).first()[0]
+
+
+@query("text_query_callers", f"""WITH n AS {N}, t AS (SELECT node_id FROM n WHERE label = (SELECT label FROM {_CALLED}) AND node_kind IN ('declaration', 'call', 'import')) SELECT t.node_id AS seed, e.edge_id, e.source AS node_id FROM t JOIN {E_} e ON e.target = t.node_id AND e.edge_kind = 'call_candidate' JOIN n ON n.node_id = e.source""")
+def _(s, d):
+    n = nodes(s, d)
+    plan = text_query.QueryPlan("who calls it", intent="callers", target=_target(s, d), max_results=100_000)
+    return text_query.expand(plan, text_query.run(plan, n), n, edges(s, d), None, None).select("seed", "edge_id", "node_id")
+
+
+@query("text_query_target", f"""WITH n AS {N} SELECT node_id, count(*) OVER () AS total, true AS complete FROM n WHERE label = (SELECT label FROM {_CALLED}) AND node_kind IN ('declaration', 'call', 'import')""")
+def _(s, d):
+    plan = text_query.QueryPlan("who calls it", intent="callers", target=_target(s, d), max_results=100_000)
+    return text_query.run(plan, nodes(s, d)).select("node_id", F.col("total").cast("long").alias("total"), "complete")
+
+
+@query("text_query_paths", f"""WITH RECURSIVE e AS {E_}, m AS (SELECT arg_min(source, edge_id) AS a, arg_min(target, edge_id) AS b FROM e WHERE source IN (SELECT node_id FROM {N}) AND target IN (SELECT node_id FROM {N}) AND source <> target), w AS (SELECT a AS node_id, 0 AS depth, [] :: VARCHAR[] AS trail, [] :: VARCHAR[] AS passed FROM m UNION ALL SELECT e.target, w.depth + 1, list_append(w.trail, e.edge_id), list_append(w.passed, w.node_id) FROM w JOIN e ON e.source = w.node_id WHERE w.depth < 3 AND NOT list_contains(w.trail, e.edge_id)),
+    f AS (SELECT depth, trail FROM w, m WHERE w.node_id = m.b AND NOT list_contains(passed, m.b)) SELECT depth, array_to_string(trail, '>') AS trail, row_number() OVER (ORDER BY depth, trail) AS rank FROM f QUALIFY rank <= 2""")
+def _(s, d):
+    # From the source of the first edge between two nodes to its target.
+    n, e = nodes(s, d), edges(s, d)
+    ids = n.select("node_id").distinct()
+    whole = e.where("source <> target").join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi")
+    first = whole.agg(F.min(F.struct("edge_id", "source", "target")).alias("m")).first().m
+    plan = text_query.QueryPlan("path between them", intent="paths", target=first.source, to=first.target)
+    return text_query.plan_routes(plan, n, e).select("depth", F.array_join("trail", ">").alias("trail"), "rank")
 
 
 @query("packet_budget", f"SELECT repository_id, node_id, size FROM (SELECT *, sum(size) OVER (PARTITION BY repository_id ORDER BY node_key, node_id ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT repository_id, node_id, node_key, length(node_key) AS size FROM {N})) WHERE used <= 2000")
@@ -604,15 +651,22 @@ def _(s, d):
     return symbols.scope_chains(newest)
 
 
-@query("lexical_candidates")
+@query(
+    "lexical_candidates",
+    f"""WITH x AS ({SQL["scope_chain_pairs"]}), n AS (SELECT repository_id, relative_path, scope_id, arg_max(struct_pack(p := coalesce(parent_scope_id, -9), k := scope_kind, n := scope_name), struct_pack(t := ingested_at, p := coalesce(parent_scope_id, -9), k := scope_kind, n := scope_name)) AS r FROM scopes GROUP BY 1, 2, 3),
+    m AS (SELECT u.repository_id, u.relative_path, u.scope_id AS use_id, x.level, d.scope_id AS declaration_id FROM n u JOIN x ON x.repository_id = u.repository_id AND x.relative_path = u.relative_path AND x.scope_id = u.scope_id JOIN n d ON d.repository_id = u.repository_id AND d.relative_path = u.relative_path AND d.r.p = x.outer_id AND d.r.n = u.r.n WHERE d.r.k IN ('function', 'method', 'class', 'struct', 'closure'))
+    SELECT repository_id, relative_path, use_id, level, declaration_id FROM m QUALIFY level = min(level) OVER (PARTITION BY repository_id, relative_path, use_id)""",
+)
 def _(s, d):
     from tracewell.operators.hierarchy import latest_rows
 
-    newest = latest_rows(table(s, d, "scopes"), ["repository_id", "relative_path", "scope_id"], "ingested_at", ["parent_scope_id"])
-    decls = declarations(s, d).select("repository_id", "relative_path", "declaration_id", "scope_id", "decl_kind", "decl_name").distinct()
-    # Each field and variant is taken as a use of its name.
-    uses = decls.where(F.col("decl_kind").isin("field", "variant")).select(F.concat_ws("#", "repository_id", "relative_path", F.col("declaration_id").cast("string")).alias("use_id"), "repository_id", "relative_path", "scope_id", F.col("decl_name").alias("name"))
-    return symbols.lexical_candidates(uses, decls, symbols.scope_chains(newest), ["function", "method", "constant", "class", "struct"])
+    # A named scope is a declaration of its parent, and uses its own name from within.
+    newest = latest_rows(table(s, d, "scopes"), ["repository_id", "relative_path", "scope_id"], "ingested_at", ["parent_scope_id", "scope_kind", "scope_name"])
+    decls = newest.select("repository_id", "relative_path", F.col("parent_scope_id").alias("scope_id"), F.col("scope_id").alias("declaration_id"), F.col("scope_kind").alias("decl_kind"), F.col("scope_name").alias("decl_name"))
+    uses = newest.where("scope_name is not null").select(F.concat_ws("#", "repository_id", "relative_path", F.col("scope_id").cast("string")).alias("use_id"), "repository_id", "relative_path", "scope_id", F.col("scope_name").alias("name"))
+    found = symbols.lexical_candidates(uses, decls, symbols.scope_chains(newest), ["function", "method", "class", "struct", "closure"])
+    at = lambda n: F.split("use_id", "#").getItem(n)
+    return found.select(at(0).alias("repository_id"), at(1).alias("relative_path"), at(2).cast("long").alias("use_id"), "level", "declaration_id")
 
 
 @query("verify_links", f"""WITH l AS {L}, bad AS (SELECT link_id AS id, 'cardinality' AS reason FROM l WHERE NOT coalesce(CASE outcome WHEN 'exact' THEN coalesce(len(targets), 0) = 1 WHEN 'ambiguous' THEN coalesce(len(targets), 0) > 1 ELSE coalesce(len(targets), 0) = 0 END, false)),

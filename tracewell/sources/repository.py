@@ -187,22 +187,29 @@ def history_changes(logs: DataFrame) -> DataFrame:
 TAIL = 128
 
 
-def file_temporal(changes: DataFrame) -> DataFrame:
-    """Per path: first and last change by log position (not by time), number of changes, newest TAIL times ascending."""
-    w = Window.partitionBy("repository_id", "path").orderBy("position")
-    numbered = changes.withColumn("k", F.row_number().over(w))
-    return numbered.groupBy("repository_id", "path").agg(
+def file_temporal(changes: DataFrame, tail: int | None = TAIL) -> DataFrame:
+    """Per path: first and last change by log position (not by time), number of changes, newest `tail` times ascending (None: all)."""
+    kept = F.col("at")
+    if tail is not None:
+        w = Window.partitionBy("repository_id", "path").orderBy("position")
+        changes, kept = changes.withColumn("k", F.row_number().over(w)), F.when(F.col("k") <= tail, F.col("at"))
+    return changes.groupBy("repository_id", "path").agg(
         F.max_by("commit", "position").alias("first_commit"),
         F.max_by("at", "position").alias("first_at"),
         F.min_by("commit", "position").alias("last_commit"),
         F.min_by("at", "position").alias("last_at"),
         F.count(F.lit(1)).alias("n_changes"),
-        F.sort_array(F.collect_list(F.when(F.col("k") <= TAIL, F.col("at")))).alias("tail"),
+        F.sort_array(F.collect_list(kept)).alias("tail"),
     )
 
 
+def recent_changes(changes: DataFrame, head: Column, days: int) -> DataFrame:
+    """Changes per path within `days` days before `head`, counted from the changes themselves: (repository_id, path, n)."""
+    return changes.where(F.col("at") >= head - days * 86400).groupBy("repository_id", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
 def change_measures(temporal: DataFrame, head: Column, days: list[int]) -> DataFrame:
-    """Recent changes within N days, mean interval, and changes a year x 10^6, in whole numbers."""
+    """Recent changes within N days (exact while they fit the tail; see `recent_changes`), mean interval, and changes a year x 10^6, in whole numbers."""
     age = head - F.col("first_at")
     out = temporal
     for n in days:
