@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from tracewell.streaming import ingest
 
 
@@ -35,3 +37,36 @@ def test_running_counts(spark, tmp_path):
     write(src, "2.json", [event("b", 1)])
     got = ingest.drain(ingest.running_counts(ingest.read_events(spark, str(src), 1), ["event_type"]), str(tmp_path / "cp"), "complete", str(tmp_path / "out"))
     assert sorted(tuple(r) for r in got.collect()) == [("t", 2), ("u", 1)]
+
+
+def test_a_lost_checkpoint_loses_no_events(spark, tmp_path):
+    src, log = tmp_path / "in", str(tmp_path / "log")
+    ids = lambda: sorted(r.event_id for r in ingest.replay(spark, log).collect())
+    write(src, "1.json", [event("a", 1), event("a", 2)])
+    ingest.ingest(ingest.read_events(spark, str(src)), log, str(tmp_path / "cp1")).awaitTermination()
+    (src / "1.json").unlink()
+    write(src, "2.json", [event("a", 2), event("b", 1)])
+    ingest.ingest(ingest.read_events(spark, str(src)), log, str(tmp_path / "cp2")).awaitTermination()  # batch numbers begin anew
+    assert ids() == ["a:1", "a:2", "b:1"]
+
+
+def test_a_log_that_cannot_be_read_ends_the_batch(spark, tmp_path):
+    src, log = tmp_path / "in", tmp_path / "log"
+    write(src, "1.json", [event("a", 1)])
+    log.mkdir()
+    (log / "part.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        ingest.ingest(ingest.read_events(spark, str(src)), str(log), str(tmp_path / "cp")).awaitTermination()
+    assert [p.name for p in log.iterdir()] == ["part.parquet"]
+
+
+def test_counts_of_each_event_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    src = tmp_path / "in"
+    write(src, "1.json", [event("a", 1), event("a", 1), event("a", 2, event_type="u")])
+    write(src, "2.json", [event("a", 1), event("b", 1), event("b", 2, event_type="u")])
+    e = ingest.read_events(spark, str(src), 1).withColumn("at", F.to_timestamp("event_time"))
+    once = ingest.once_within(e, "at", ["session_id", "sequence"])
+    got = ingest.drain(ingest.running_counts(once, ["event_type"]), str(tmp_path / "cp"), "update", str(tmp_path / "out"), ["event_type"])
+    assert sorted(tuple(r) for r in got.collect()) == [("t", 2), ("u", 2)]

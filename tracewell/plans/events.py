@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import identifiers
 from tracewell.operators import memory, sessions, symbols, verify
+from tracewell.session import kept
 from tracewell.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +39,8 @@ FOLD = f"""(SELECT session, arg_min(investigation, number) FILTER (investigation
 
 
 def events(s, d):
-    return sessions.clean_events(table(s, d, "agent_events"))
+    """The clean log, which every fold starts from: written once for an application."""
+    return kept(s, "clean-events", d, lambda: sessions.clean_events(table(s, d, "agent_events")))
 
 
 def seen(s, d):
@@ -57,7 +59,7 @@ def query(name: str, sql: str | None = None):
 
 @query("p5_kept", f"SELECT session, number, event_type FROM {EV}")
 def _(s, d):
-    return events(s, d).select("session", "number", "event_type")
+    return sessions.clean_events(table(s, d, "agent_events")).select("session", "number", "event_type")
 
 
 @query("session_fold", f"SELECT * FROM {FOLD}")

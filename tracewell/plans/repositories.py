@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import identifiers as I
-from tracewell.operators import extract, graph, links, packet, sessions
+from tracewell.operators import dedup, extract, graph, links, packet, sessions
 from tracewell.plans import reference
-from tracewell.session import checkpoint_dir, written
+from tracewell.session import checkpoint_dir, kept
 from tracewell.sources.repository import language_by_path
 from tracewell.sources.tables import table
 from tracewell.streaming import ingest
@@ -33,12 +33,19 @@ def query(name: str, sql: str | None = None):
 
 
 def sources(s, d):
-    f = table(s, d, "source_files").dropDuplicates(["file_id"])
+    """Source files as they are: rows repeat whole, so what is derived from them is made distinct, not the texts."""
+    f = table(s, d, "source_files")
     return f.select("repository_id", "relative_path", language_by_path(F.col("relative_path")).alias("lang"), "source_text")
 
 
+def paths(s, d):
+    return table(s, d, "source_files").select("repository_id", "relative_path").distinct()
+
+
 def facts(s, d):
-    return written(extract.source_facts(sources(s, d), ["repository_id", "relative_path"], "lang", "source_text"))
+    """Facts of all source files, parsed once for an application."""
+    keys = ["repository_id", "relative_path"]
+    return kept(s, "facts", d, lambda: extract.source_facts(sources(s, d), keys, "lang", "source_text").dropDuplicates([*keys, "fact_kind", "fact_id"]))
 
 
 def _flat(df: DataFrame, array: str) -> DataFrame:
@@ -65,7 +72,7 @@ for _name, _rule in {
     "links_php_uses": lambda f, p: links.php_uses(f),
     "links_php_namespaces": lambda f, p: links.php_namespaces(f),
 }.items():
-    query(_name)(lambda s, d, rule=_rule: _flat(rule(facts(s, d), sources(s, d).select("repository_id", "relative_path")), "targets"))
+    query(_name)(lambda s, d, rule=_rule: _flat(rule(facts(s, d), paths(s, d)), "targets"))
 
 
 @query("links_go_imports")
@@ -75,17 +82,17 @@ def _(s, d):
 
 
 def _modules(s, d):
-    return sources(s, d).select("repository_id").distinct().select("repository_id", F.concat(F.lit("example.com/"), "repository_id").alias("module"), F.lit("").alias("root"))
+    return paths(s, d).select("repository_id").distinct().select("repository_id", F.concat(F.lit("example.com/"), "repository_id").alias("module"), F.lit("").alias("root"))
 
 
 @query("rust_crate_tree")
 def _(s, d):
-    return links.rust_crate_tree(facts(s, d), sources(s, d).select("repository_id", "relative_path"))
+    return links.rust_crate_tree(facts(s, d), paths(s, d))
 
 
 @query("call_candidates_imported")
 def _(s, d):
-    f, p = facts(s, d), sources(s, d).select("repository_id", "relative_path")
+    f, p = facts(s, d), paths(s, d)
     return _flat(links.imported_candidates(f, links.rust_use_paths(f, p).unionByName(links.python_relative_imports(f, p))), "candidates")
 
 
@@ -111,7 +118,7 @@ def _(s, d):
 
 @query("recovery_regions")
 def _(s, d):
-    return extract.recovery_regions(sources(s, d), ["repository_id", "relative_path"], "lang", "source_text")
+    return extract.recovery_regions(sources(s, d), ["repository_id", "relative_path"], "lang", "source_text").distinct()
 
 
 @query(
@@ -150,13 +157,46 @@ def _folder(s: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(s)}/tracewell-{s.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
-@query("stream_event_types", "SELECT event_type, count(*) AS n FROM agent_events GROUP BY 1")
+_ID = "nullif(regexp_replace(lower({}), '^\\s+|\\s+$', '', 'g'), '')"
+_EVENT = f"coalesce({_ID.format('session_id')}, nullif(regexp_extract({_ID.format('event_id')}, '^(.*):0*([0-9]+)$', 1), '')) AS session, coalesce(sequence, CAST(nullif(regexp_extract({_ID.format('event_id')}, '^(.*):0*([0-9]+)$', 2), '') AS BIGINT)) AS number"
+
+
+def _events_once(s: SparkSession, d: str) -> DataFrame:
+    """The stream with each event of a day once: (at, day, event_type)."""
+    session, number = dedup.event_identity(F.col("event_id"), F.col("session_id"), F.col("sequence"))
+    e = _stream(s, d).select(F.col("received_at").cast("timestamp").alias("at"), "event_type", session.alias("session"), number.alias("number"))
+    return ingest.once_within(e.withColumn("day", F.date_trunc("day", "at")), "at", ["day", "session", "number", "event_type"])
+
+
+@query("stream_event_types", f"SELECT event_type, count(*) AS n FROM (SELECT DISTINCT date_trunc('day', received_at) AS day, {_EVENT}, event_type FROM agent_events) GROUP BY 1")
 def _(s, d):
-    return ingest.drain(ingest.running_counts(_stream(s, d), ["event_type"]), _folder(s, "cp"), "complete", _folder(s, "out"))
+    return ingest.drain(ingest.running_counts(_events_once(s, d), ["event_type"]), _folder(s, "cp"), "update", _folder(s, "out"), ["event_type"])
 
 
-@query("stream_daily_activity", "SELECT date_trunc('day', received_at)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM agent_events GROUP BY 1, 2")
+@query("stream_daily_activity", f"SELECT day::TIMESTAMP AS window_start, event_type, count(*) AS n FROM (SELECT DISTINCT date_trunc('day', received_at) AS day, {_EVENT}, event_type FROM agent_events) GROUP BY 1, 2")
 def _(s, d):
-    e = _stream(s, d).select(F.col("received_at").cast("timestamp").alias("at"), "event_type")
-    counted = ingest.drain(ingest.windowed_activity(e), _folder(s, "cp"), "complete", _folder(s, "out"))
+    counted = ingest.drain(ingest.windowed_activity(_events_once(s, d), watermark=None), _folder(s, "cp"), "update", _folder(s, "out"), ["window_start", "event_type"])
     return counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    "envelope_reasons",
+    r"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN coalesce(trim(event_id), '') = '' THEN 'event_id empty' WHEN coalesce(trim(session_id), '') = '' THEN 'session_id empty' WHEN event_id IS DISTINCT FROM concat_ws(':', session_id, CAST(sequence AS VARCHAR)) THEN 'event_id does not match' WHEN coalesce(trim(event_type), '') = '' THEN 'type empty'
+    WHEN NOT (contains(coalesce(event_time, ''), 'T') AND (ends_with(coalesce(event_time, ''), 'Z') OR contains(coalesce(event_time, ''), '+'))) THEN 'timestamp' WHEN sequence IS NULL OR sequence < 0 THEN 'sequence' END AS reason FROM agent_events) GROUP BY 1""",
+)
+def _(s, d):
+    return table(s, d, "agent_events").groupBy(ingest.envelope_error().alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "ingested_events",
+    r"""WITH v AS (SELECT * FROM agent_events WHERE coalesce(trim(session_id), '') <> '' AND event_id = concat_ws(':', session_id, CAST(sequence AS VARCHAR)) AND coalesce(trim(event_type), '') <> '' AND contains(event_time, 'T') AND (ends_with(event_time, 'Z') OR contains(event_time, '+')) AND sequence >= 0)
+    SELECT event_id, count(*) AS n FROM (SELECT DISTINCT event_id FROM v) GROUP BY 1""",
+)
+def _(s, d):
+    # The log as a stream of JSON lines, taken in twice from its start: what is committed stays single.
+    where, log = _folder(s, "json"), _folder(s, "log")
+    table(s, d, "agent_events").drop("delivery_id", "batch_id", "received_at").write.json(where)
+    for _ in range(2):
+        ingest.ingest(ingest.read_events(s, where), log, _folder(s, "cp")).awaitTermination()
+    return ingest.replay(s, log).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))

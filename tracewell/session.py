@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +68,20 @@ def written(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def kept(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of an application start from, written by the first of them.
+
+    It is told by its name and the directory it comes from; a write that did not
+    end leaves no `_SUCCESS` and is done again.
+    """
+    where = os.path.join(own_folder(spark), f"{name}-{hashlib.sha256(source.encode()).hexdigest()[:16]}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(where, "_SUCCESS"))
+    df = make()
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        df.write.mode("overwrite").parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
 def own_folder(spark: SparkSession) -> str:
     """The application's own folder in the shared one."""
     return os.path.join(checkpoint_dir(spark), "tracewell-" + spark.sparkContext.applicationId)

@@ -50,36 +50,55 @@ def classify(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return both.withColumn("state", state).drop("_old", "_first")
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def ingest(source: DataFrame, log: str, checkpoint: str, refused: str | None = None, **trigger) -> StreamingQuery:
     """Appends the new events of a stream to the Parquet log, each event id once.
 
-    A batch that is run again after a failure finds its events in the log by its
-    batch number and replaces just that part, so nothing is doubled.
+    A part of the log belongs to a query and a batch of it. A batch that is run
+    again after a failure finds its events in the log by both and replaces just
+    that part, so nothing is doubled; a query that begins anew, its checkpoint
+    lost, has another id and replaces nothing. The log is empty only where its
+    folder does not exist: any fault of reading it ends the batch.
     """
-    spark = source.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
-        try:
-            stored = spark.read.parquet(log).where(F.col("batch_no") != number)
-        except Exception:  # the log begins with this batch
+        spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch = batch.persist()
+        if _exists(spark, log):
+            # Two columns, of the ids of this batch only.
+            own = (F.col("query_id") == query) & (F.col("batch_no") == number)
+            stored = spark.read.parquet(log).where(~own).select("event_id", "digest").join(batch.select("event_id").distinct(), "event_id", "left_semi")
+        else:
             stored = spark.createDataFrame([], "event_id string, digest string")
         sorted_ = classify(batch, stored)
         new = sorted_.where("state = 'new'").dropDuplicates(["event_id"]).drop("state", "error")
-        new.write.mode("overwrite").parquet(f"{log}/batch_no={number}")
+        new.write.mode("overwrite").parquet(f"{log}/query_id={query}/batch_no={number}")
         if refused:
-            sorted_.where("state in ('conflict', 'invalid')").write.mode("overwrite").parquet(f"{refused}/batch_no={number}")
+            sorted_.where("state in ('conflict', 'invalid')").write.mode("overwrite").parquet(f"{refused}/query_id={query}/batch_no={number}")
+        batch.unpersist()
 
     return source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def once_within(events: DataFrame, at: str, keys: list[str], late: str = "7 days") -> DataFrame:
+    """Each event of a stream once; its key is forgotten when copies can be `late` no more, so state does not grow without end."""
+    return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+
+
 def replay(spark: SparkSession, log: str) -> DataFrame:
     """All committed events."""
     return spark.read.parquet(log)
 
 
-def windowed_activity(events: DataFrame, every: str = "1 day", late: str = "7 days") -> DataFrame:
-    """Events per window and type, with a watermark for what comes late. `events` has `at` (timestamp)."""
-    return events.withWatermark("at", late).groupBy(F.window("at", every).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
+def windowed_activity(events: DataFrame, every: str = "1 day", watermark: str | None = "7 days") -> DataFrame:
+    """Events per window and type, with a watermark for what comes late (None: the stream has one). `events` has `at` (timestamp)."""
+    marked = events if watermark is None else events.withWatermark("at", watermark)
+    return marked.groupBy(F.window("at", every).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
 def running_counts(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,12 +106,16 @@ def running_counts(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def drain(stream: DataFrame, checkpoint: str, mode: str, into: str) -> DataFrame:
-    """Runs a stream over what is there and returns its last result, written to `into`."""
+def drain(stream: DataFrame, checkpoint: str, mode: str, into: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream of counts over what is there and returns its last result, written to `into`.
+
+    Mode `update` writes only what a batch changed: of each key the greatest `n` is the last.
+    """
     spark = stream.sparkSession
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(into)
+        batch.write.mode("overwrite").parquet(into if mode == "complete" else f"{into}/batch_no={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(into)
+    out = spark.read.schema(stream.schema).parquet(into)
+    return out if keys is None else out.groupBy(*keys).agg(F.max("n").alias("n")).select(*stream.columns)
