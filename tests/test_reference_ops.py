@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tracewell.operators import extract, graph, joins, links, lookups, memory, packet, sessions
+from tracewell.operators import candidates, extract, graph, joins, links, lookups, memory, packet, sessions
 from tracewell.sources import jsonl, repository
 
 
@@ -153,7 +153,7 @@ def test_link_rules(spark, facts):
     f, files = facts
     names = {(r.relative_path, r.fact_id): (r.name, r.target) for r in f.where("fact_kind = 'import'").collect()}
     show = lambda df: {names[r.relative_path, r.fact_id]: (r.rule_id.split(".")[-1], r.outcome, list(r.targets)) for r in df.collect()}
-    assert show(links.python_relative_imports(f, files)) == {("", "m"): ("package_path", "ambiguous", ["a/__init__.py", "a/m.py"]), ("m", "f"): ("package_path", "exact", ["a/m.py"]), ("x", "y"): ("package_path", "unresolved", [])}
+    assert show(links.python_relative_imports(f, files)) == {("", "m"): ("package_path", "exact", ["a/m.py"]), ("m", "f"): ("package_path", "exact", ["a/m.py"]), ("x", "y"): ("package_path", "unresolved", [])}
     assert show(links.python_absolute_imports(f, files)) == {("a.m", ""): ("local_candidate", "ambiguous", ["a/m.py"]), ("os", ""): ("external", "out_of_scope", [])}
     uses = show(links.rust_use_paths(f, files))
     assert uses["crate::one::Thing", "Thing"][1] == "exact" and uses["crate::one::sub", "s"][1] == "unresolved" and uses["std::fmt", "fmt"][1] == "out_of_scope"
@@ -164,8 +164,8 @@ def test_link_rules(spark, facts):
     php = show(links.php_uses(f))
     assert php["App\\V\\Foo", "Foo"][:2] == ("qualified_name", "exact") and php["App\\V\\Gone", "G"][:2] == ("qualified_name", "unresolved")
     assert php["Ext\\Lib", "Lib"][:2] == ("external", "out_of_scope") and php["App\\V\\f", "f"][:2] == ("non_class_import", "out_of_scope")
-    cand = {(r.relative_path, r.name): (r.outcome, len(r.candidates)) for r in links.call_candidates(f).collect()}
-    assert cand["p/a.go", "help"] == ("single_candidate", 1) and cand["src/lib.rs", "helper"] == ("single_candidate", 1) and cand["a/__init__.py", "f"] == ("no_candidate", 0)
+    cand = {(r.relative_path, r.name): (r.outcome, len(r.candidates)) for r in candidates.all_candidates(f, files, spark.createDataFrame([("r", "example.com/r", "")], "repository_id string, module string, root string")).collect()}
+    assert cand["p/a.go", "help"] == ("single_candidate", 1) and cand["src/lib.rs", "helper"] == ("single_candidate", 1) and ("a/__init__.py", "f") not in cand
 
 
 def test_scan_tree(spark, tmp_path):
@@ -238,18 +238,92 @@ def test_hierarchy_and_import_candidates(spark, facts):
     assert [(r.rule_id, r.outcome, list(r.targets)) for r in links.php_hierarchy(f).collect()] == [("php.class.extends", "exact", ["v.php#1"])]
     tree = links.rust_crate_tree(f, files)
     assert rows(tree.select("root", "relative_path", "depth")) == [("src/lib.rs", "src/lib.rs", 0), ("src/lib.rs", "src/one.rs", 1)]
-    resolved = links.python_relative_imports(f, files)
-    got = {(r.relative_path, r.name, r.outcome) for r in links.imported_candidates(f, resolved).collect()}
-    assert got == {("a/__init__.py", "f", "single_candidate"), ("u.php", "f", "no_candidate")}  # the link of the second is not resolved
-    go = links.go_package_calls(f, spark.createDataFrame([("r", "example.com/r", "")], "repository_id string, module string, root string"))
+    go = candidates.go_imported_calls(f, spark.createDataFrame([("r", "example.com/r", "")], "repository_id string, module string, root string"))
     assert [(r.name, r.outcome) for r in go.collect()] == [("fmt.Println", "out_of_scope")]
 
 
+def _facts(spark, lang, texts):
+    files = spark.createDataFrame([("r", p, t) for p, t in texts.items()], "repository_id string, relative_path string, source_text string").withColumn("lang", F.lit(lang))
+    return extract.source_facts(files, ["repository_id", "relative_path"], "lang", "source_text").cache(), files
+
+
+def _shown(records, keep=lambda r: True):
+    return {(r.relative_path, r.name): (r.rule_id.split(".")[-1].removesuffix("_candidate"), r.outcome.split("_")[0], r.reason) for r in records.collect() if keep(r)}
+
+
+def test_python_relative_imports_take_the_package_that_declares_a_name(spark):
+    f, files = _facts(spark, "python", {"p/__init__.py": "X = 1\ndef go(): pass\n", "p/go.py": "", "p/q/__init__.py": "from .. import X, go, gone, q\nfrom ... import y\nfrom ..go import z\n", "top.py": "from . import p\n"})
+    names = {(r.relative_path, r.fact_id): r.target for r in f.where("fact_kind = 'import'").collect()}
+    got = {names[r.relative_path, r.fact_id]: (r.outcome, list(r.targets)) for r in links.python_relative_imports(f, files).collect()}
+    assert got == {"X": ("exact", ["p/__init__.py"]), "go": ("ambiguous", ["p/__init__.py", "p/go.py"]), "gone": ("unresolved", []), "q": ("exact", ["p/q/__init__.py"]), "y": ("unresolved", []), "z": ("exact", ["p/go.py"]), "p": ("unresolved", [])}
+
+
+RUST = {
+    "a/src/lib.rs": "mod m;\nmod inl { pub fn deep() {} pub fn up() { super::top(); self::deep(); deep(); top() } }\npub fn top() {}\npub fn run() { top(); m::go(); crate::m::go(); inl::deep(); std::mem::swap(); let top = 1; top() }\n",
+    "a/src/m.rs": "use crate::inl::deep as d;\nuse crate::inl::*;\nuse crate::m;\nuse crate::gone::x;\nuse crate::K;\npub fn go() { d(); x(); K(); nothing() }\nconst C: fn() = go;\npub fn c() { C(); fn inner() {} inner() }\n",
+    "b/src/lib.rs": "mod m;\npub struct K;\n",
+    "b/src/m.rs": "pub fn go() {}\nuse crate::K;\n",
+    "loose.rs": "use crate::K;\n",
+}
+
+
+def test_rust_uses_and_calls(spark):
+    f, files = _facts(spark, "rust", RUST)
+    uses = links.rust_use_paths(f, files)
+    names = {(r.relative_path, r.fact_id): r.name for r in f.where("fact_kind = 'import'").collect()}
+    got = {(r.relative_path, names[r.relative_path, r.fact_id]): (r.outcome, len(r.targets)) for r in uses.collect()}
+    # Two crates of one repository do not meet; a file that no root reaches resolves nothing; a glob means the module's file.
+    assert got == {("a/src/m.rs", "crate::inl::deep"): ("exact", 1), ("a/src/m.rs", "crate::inl::*"): ("exact", 1), ("a/src/m.rs", "crate::m"): ("exact", 1), ("a/src/m.rs", "crate::gone::x"): ("unresolved", 0), ("a/src/m.rs", "crate::K"): ("unresolved", 0), ("b/src/m.rs", "crate::K"): ("exact", 1), ("loose.rs", "crate::K"): ("unresolved", 0)}
+    local = [(r.relative_path, r.name, r.rule_id.split(".")[-1], r.outcome, r.reason) for r in candidates.rust_local_calls(f, uses).collect()]
+    fn, imp = "local_function_candidate", "imported_function_candidate"
+    assert sorted(local, key=str) == sorted([
+        ("a/src/lib.rs", "deep", fn, "single_candidate", None), ("a/src/lib.rs", "top", fn, "no_candidate", "no_such_function"), ("a/src/lib.rs", "top", fn, "single_candidate", None), ("a/src/lib.rs", "top", fn, "no_candidate", "blocked_by_local_binding"),
+        ("a/src/m.rs", "d", imp, "single_candidate", None), ("a/src/m.rs", "x", imp, "no_candidate", "import_leads_to_no_function"), ("a/src/m.rs", "K", imp, "no_candidate", "import_leads_to_no_function"), ("a/src/m.rs", "nothing", fn, "no_candidate", "no_such_function"),
+        ("a/src/m.rs", "C", fn, "no_candidate", "blocked_by_local_constant"), ("a/src/m.rs", "inner", fn, "single_candidate", None),
+    ], key=str)
+    paths = {r.name: (r.outcome, r.reason) for r in candidates.rust_path_calls(f, files).collect()}
+    assert paths == {"super::top": ("single_candidate", None), "self::deep": ("single_candidate", None), "m::go": ("single_candidate", None), "crate::m::go": ("single_candidate", None), "inl::deep": ("single_candidate", None), "std::mem::swap": ("out_of_scope", "root_is_not_proven")}
+
+
+def test_go_package_blockers(spark):
+    f, _ = _facts(spark, "go", {
+        "p/a.go": 'package p\nimport fmt "x/y"\nfunc one(help int) { help(); two(); both(); fmt(); none() }\nfunc two() { help() }\nfunc both() {}\n',
+        "p/b.go": "package p\nfunc help() { x := two; x(); if two := help(); two != nil { two() }; two() }\ntype both struct{}\nfunc fmt() {}\n",
+        "p/c.go": 'package p\nimport . "dots"\nfunc three() { two() }\n',
+    })
+    got = sorted((r.relative_path, r.name, r.outcome.split("_")[0], r.reason or "") for r in candidates.go_package_calls(f).collect())
+    assert got == sorted([
+        ("p/a.go", "help", "no", "blocked_by_local_binding"), ("p/a.go", "two", "single", ""), ("p/a.go", "both", "no", "mixed_namespace"), ("p/a.go", "fmt", "no", "blocked_by_import_name"), ("p/a.go", "none", "no", "no_such_function"), ("p/a.go", "help", "single", ""),
+        ("p/b.go", "x", "no", "blocked_by_local_binding"), ("p/b.go", "help", "single", ""), ("p/b.go", "two", "no", "blocked_by_local_binding"), ("p/b.go", "two", "single", ""), ("p/c.go", "two", "no", "blocked_by_dot_import"),
+    ])
+
+
+PHP = {
+    "base.php": "<?php\nnamespace B;\nclass Base { private function own() {} public function far() { $this->own(); } public static function s() {} }\ntrait T { function t() {} }\nclass Other { function far() {} }\n",
+    "use.php": "<?php\nnamespace U;\nuse B\\Base;\nuse B\\{Other as O, T};\nclass K extends Base { use T;\n function near() { $this->near(); $this->far(); $this->own(); $this->t(); self::s(); parent::far(); static::s(); new self(); new parent(); new O(); new \\Gone(); new $x(); Base::s(); O::s(); } }\nclass L { function near() { $this->far(); } }\nfunction f(K $k, ?O $o, int $n, $z) { $k->near(); $k->far(); $o->far(); $n->x(); $z->y(); $q = new K(); $q->near(); $q = g(); $q->near(); }\n",
+}
+
+
+def test_php_members(spark):
+    f, _ = _facts(spark, "php", PHP)
+    inherits = {r.name: list(r.targets) for r in f.where("fact_kind = 'reference'").withColumnRenamed("outcome", "_").join(links.php_hierarchy(f).select("relative_path", "fact_id", "targets", "rule_id"), ["relative_path", "fact_id"]).collect()}
+    assert set(inherits) == {"Base", "T"} and all(len(t) == 1 for t in inherits.values())
+    got = sorted((r.relative_path, r.name, r.rule_id.removeprefix("php.call.").removesuffix("_candidate"), r.outcome.split("_")[0]) for r in candidates.php_member_calls(f).collect())
+    u = "use.php"
+    assert got == sorted([
+        ("base.php", "$this->own", "lexical_this_method", "single"),
+        (u, "$this->near", "lexical_this_method", "single"), (u, "$this->far", "inherited_method", "single"), (u, "$this->own", "lexical_this_method", "no"), (u, "$this->t", "inherited_method", "single"), (u, "self::s", "inherited_method", "single"),
+        (u, "parent::far", "parent_method", "single"), (u, "static::s", "static_method", "out"), (u, "new self", "construction_class", "single"), (u, "new parent", "parent_construction", "single"), (u, "new O", "construction_class", "single"), (u, "new K", "construction_class", "single"), (u, "new \\Gone", "construction_class", "no"),
+        (u, "new $x", "construction_class", "out"), (u, "Base::s", "static_method", "single"), (u, "O::s", "static_method", "no"), (u, "$this->far", "lexical_this_method", "no"),
+        (u, "$k->near", "typed_receiver_method", "single"), (u, "$k->far", "inherited_method", "single"), (u, "$o->far", "typed_receiver_method", "single"), (u, "$n->x", "typed_receiver_method", "out"), (u, "$z->y", "typed_receiver_method", "out"), (u, "$q->near", "typed_receiver_method", "single"), (u, "$q->near", "typed_receiver_method", "out"),
+    ])
+
+
 def test_go_package_calls(spark):
     texts = {"a/x.go": 'package a\nimport "m/b"\nfunc f() { b.Do(); b.hidden(); b.Mixed(); b.Gone(); c.Do() }\n', "b/y.go": "package b\nfunc Do() {}\nfunc hidden() {}\nfunc Mixed() {}\n", "b/z.go": "package b\nvar Mixed = 1\n"}
     files = spark.createDataFrame([("r", p, t) for p, t in texts.items()], "repository_id string, relative_path string, source_text string").withColumn("lang", F.lit("go"))
     f = extract.source_facts(files, ["repository_id", "relative_path"], "lang", "source_text").cache()
-    got = {r.name: (r.outcome, list(r.candidates)) for r in links.go_package_calls(f, spark.createDataFrame([("r", "m", "")], "repository_id string, module string, root string")).collect()}
+    got = {r.name: (r.outcome, list(r.candidates)) for r in candidates.go_imported_calls(f, spark.createDataFrame([("r", "m", "")], "repository_id string, module string, root string")).collect()}
     assert got == {"b.Do": ("single_candidate", ["b/y.go#1"]), "b.hidden": ("no_candidate", []), "b.Mixed": ("no_candidate", []), "b.Gone": ("no_candidate", []), "c.Do": ("out_of_scope", [])}
 
 
@@ -344,15 +418,15 @@ def test_php_class_calls(spark):
     }
     files = spark.createDataFrame([("r", p, t) for p, t in texts.items()], "repository_id string, relative_path string, source_text string").withColumn("lang", F.lit("php"))
     f = extract.source_facts(files, ["repository_id", "relative_path"], "lang", "source_text").cache()
-    got = {r.name: (r.how, r.outcome, list(r.candidates)) for r in links.php_class_calls(f).collect()}
+    got = {r.name: (r.outcome, list(r.candidates)) for r in candidates.php_member_calls(f).collect()}
     assert got == {
-        "new L": ("construct", "single_candidate", ["b.php#1"]),
-        "new Gone": ("construct", "no_candidate", []),
-        "new static": ("construct", "out_of_scope", []),
-        "L::make": ("static", "single_candidate", ["b.php#2"]),
-        "self::own": ("static", "single_candidate", ["a.php#2"]),
-        "parent::make": ("static", "single_candidate", ["b.php#2"]),
-        "static::own": ("static", "out_of_scope", []),
+        "new L": ("single_candidate", ["b.php#1"]),
+        "new Gone": ("no_candidate", []),
+        "new static": ("out_of_scope", []),
+        "L::make": ("single_candidate", ["b.php#2"]),
+        "self::own": ("single_candidate", ["a.php#2"]),
+        "parent::make": ("single_candidate", ["b.php#2"]),
+        "static::own": ("out_of_scope", []),
     }
     assert {r.rule_id for r in links.rule_registry(spark).collect()} == set(links.RULES)
 
@@ -368,6 +442,6 @@ def test_php_function_tiers_and_methods(spark):
     f = extract.source_facts(files, ["repository_id", "relative_path"], "lang", "source_text").cache()
     kinds = {(r.relative_path, r.name, r.kind, r.scope) for r in f.where("fact_kind = 'declaration' and kind in ('function', 'method')").collect()}
     assert kinds == {("a.php", "own", "function", ""), ("a.php", "own", "method", "C"), ("b.php", "imp", "function", ""), ("g.php", "glob", "function", ""), ("g.php", "GLOB", "function", ""), ("r.rs", "m", "method", "S"), ("r.rs", "n", "method", "S"), ("r.rs", "free", "function", "")}
-    got = {r.name: (r.outcome, list(r.candidates)) for r in links.php_function_calls(f).collect()}
+    got = {r.name: (r.outcome, list(r.candidates)) for r in candidates.php_function_calls(f).collect()}
     assert got["imp"] == ("single_candidate", ["b.php#1"]) and got["lost"] == ("no_candidate", []) and got["own"] == ("single_candidate", ["a.php#1"])
-    assert got["glob"] == ("multiple_candidates", ["g.php#0", "g.php#1"]) and got["nowhere"] == ("no_candidate", []) and "$f" not in got
+    assert got["glob"] == ("multiple_candidates", ["g.php#0", "g.php#1"]) and got["nowhere"] == ("no_candidate", []) and got["$f"] == ("out_of_scope", [])

@@ -36,9 +36,7 @@ def duck(small):
 
 
 def core_names():
-    from tracewell.plans import core, events, reference, repositories
-
-    return [*core.QUERIES, *reference.QUERIES, *events.QUERIES, *repositories.QUERIES]
+    return [name for plan in entry.PLANS if "llm" not in plan.__name__ for name in plan.QUERIES]
 
 
 @pytest.mark.parametrize("name", core_names())

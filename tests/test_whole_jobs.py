@@ -23,7 +23,7 @@ def chain(spark, tmp_path):
 
 
 def test_search_goes_to_depth_8(spark, chain):
-    got = sorted((r.node_id, r.depth) for r in reference.QUERIES["graph_search_whole"](spark, chain).collect())
+    got = sorted((r.node_id, r.depth) for r in reference.QUERIES["graph_bounded_search"](spark, chain).collect())
     assert got == [(f"n{i}", i) for i in range(9)]
 
 
@@ -35,7 +35,7 @@ def test_facts_beside_damage():
     text = "import a\nclass K:\n    def f(self):\n        g()\n<<<<<<< HEAD\n        h()\n=======\n        i()\n>>>>>>> x\n        j()\nx = (\nprint 'k'\ndef last():\n    z.é()\n"
     got = python_facts(text)
     assert {("import", "", "a"), ("declaration", "", "K"), ("declaration", "K", "f"), ("declaration", "", "last"), ("call", "last", "z.é"), *(("call", "K.f", n) for n in "ghij")} == set(got)
-    where = [f[7:] for f in extract.facts_of("python", text) if f[4] == "last"]
+    where = [f[7:9] for f in extract.facts_of("python", text) if f[4] == "last"]
     assert where == [(text.index("def last"), len(text.encode()) - 1)]
 
 
@@ -43,7 +43,7 @@ def test_old_python_and_moved_lines():
     text = "try:\n    import a\nexcept E, e:\n    print 'x'\nclass T:\n    def m(self):\n        raise E, 'y'\n      n()\n    def o(self):\n        p()\n"
     assert {("import", "", "a"), ("declaration", "", "T"), ("declaration", "T", "m"), ("declaration", "T", "o"), ("call", "T.o", "p")} <= set(python_facts(text))
     call = next(f for f in extract.facts_of("python", text) if f[4] == "n")
-    assert call[7:] == (text.index("n()"), text.index("n()") + 3)
+    assert call[7:9] == (text.index("n()"), text.index("n()") + 3)
 
 
 def test_nesting_is_no_bound():
@@ -59,9 +59,9 @@ def test_damage_at_a_blank_last_line_ends():
 
 
 def test_trails_go_to_six_edges(spark, chain):
-    got = sorted((r.node_id, r.depth) for r in reference.QUERIES["graph_trails_whole"](spark, chain).collect())
+    got = sorted((r.node_id, r.depth) for r in reference.QUERIES["graph_trails"](spark, chain).collect())
     assert got == [(f"n{i}", i) for i in range(1, 7)]
-    assert reference.QUERIES["trail_evidence_whole"](spark, chain).count() == 6
+    assert reference.QUERIES["trail_evidence"](spark, chain).count() == 6
     between = sorted((r.seed, r.goal, r.depth) for r in reference.QUERIES["graph_paths_between"](spark, chain).collect())
     assert between == [("n0", f"n{i}", i) for i in range(1, 7)]
 

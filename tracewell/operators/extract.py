@@ -10,23 +10,27 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FACTS = "fact_kind string, fact_id long, scope string, kind string, name string, target string, level long, byte_start long, byte_end long"
-Fact = tuple[str, int, str, str, str, str, int, int, int]
+#: `scope` is the owner of a declaration, `chain` the named blocks around a fact, the outermost first: `mod:a>fn:b`.
+#: A `binding` is visible from byte_start to byte_end (half open); a `write` gives a variable a value, of class `target` where that is known.
+FACTS = "fact_kind string, fact_id long, scope string, kind string, name string, target string, level long, byte_start long, byte_end long, chain string"
+Fact = tuple[str, int, str, str, str, str, int, int, int, str]
 
 
 class _Facts:
     def __init__(self) -> None:
         self.rows: list[Fact] = []
-        self.count = {"declaration": 0, "import": 0, "call": 0, "reference": 0}
+        self.count = dict.fromkeys(("declaration", "import", "call", "reference", "binding", "write"), 0)
 
     def add(self, fact: str, scope: str, kind: str, name: str, start: int, end: int, target: str = "", level: int = 0) -> None:
-        self.rows.append((fact, self.count[fact], scope, kind, name, target, level, start, end))
+        self.rows.append((fact, self.count[fact], scope, kind, name, target, level, start, end, scope))
         self.count[fact] += 1
 
 
@@ -366,7 +370,7 @@ def _blanked(language: str, text: str) -> str:
     return _BLANK[language].sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
 
 
-def _imports(language: str, text: str, code: str, out: _Facts) -> None:
+def _imports(language: str, text: str, code: str, out: _Facts, bodies: list[tuple[int, int, str]]) -> None:
     if language == "go":
         for m in re.finditer(r"^import\s*(\((.*?)\)|[^\n]*)", text, re.M | re.S):
             for i in re.finditer(r'(?:([\w.]+)\s+)?"([^"\n]+)"', m.group(1)):
@@ -377,6 +381,8 @@ def _imports(language: str, text: str, code: str, out: _Facts) -> None:
                 out.add("import", "", "use", path, m.start(), m.end(), target=alias)
     else:
         for m in re.finditer(r"^\s*use\s+(function\s+|const\s+)?([^;()]+);", code, re.M):
+            if any(a < m.start(2) < b for a, b, _ in bodies):
+                continue  # a trait, not an import
             kind = (m.group(1) or "class").strip()
             body = m.group(2).strip()
             group = re.match(r"([\w\\]+\\)\{(.*)\}$", body, re.S)
@@ -425,14 +431,20 @@ def facts_of(language: str | None, text: str | None) -> list[Fact]:
     bodies = _bodies(code, _OWNERS[language]) if language in _OWNERS else []
     for start, kind, name, end in sorted(found):
         owner = next((o for a, b, o in bodies if a < start < b), "") if kind in ("function", "constant", "type") else ""
-        out.add("declaration", owner, "method" if owner and kind == "function" else kind, name, start, end)
-    _imports(language, text, code, out)
+        head = code[max(0, start - 80) : start] if language == "php" and owner else ""
+        hidden = re.search(r"\bprivate\b[\w\s]*$", head) is not None
+        out.add("declaration", owner, "method" if owner and kind == "function" else kind, name, start, end, target="private" if hidden else "")
+    _imports(language, text, code, out, bodies)
     if language == "php":
         for m in _PHP_HEAD.finditer(code):
             for kind, body in (("extends", m.group(2)), ("implements", m.group(3))):
                 for part in (body or "").split(","):
                     if part.strip():
                         out.add("reference", "", kind, part.strip(), m.start(), m.end(), target=m.group(1))
+        for m in re.finditer(r"(?:^|[{};])\s*use\s+([\w\\,\s]+?)\s*[;{]", code, re.M):
+            owner = next((o for a, b, o in bodies if a < m.start(1) < b), "")
+            for part in m.group(1).split(",") if owner else []:
+                out.add("reference", owner, "uses_trait", part.strip(), m.start(1), m.end(1), target=owner)
     declared = {s for s, *_ in found}
     for m in _CALLED[language].finditer(code):
         g = 1 if m.group(1) else 2
@@ -443,13 +455,201 @@ def facts_of(language: str | None, text: str | None) -> list[Fact]:
             continue
         kind = "macro" if name.endswith("!") else "construct" if name.startswith("new ") else "static" if "::" in name else "member" if "." in name or "->" in name else "plain"
         out.add("call", "", kind, name, m.start(g), m.end(g))
-    return out.rows
+    pairs = _pairs(code)
+    found_blocks = _blocks(language, code, pairs)
+    _bindings(language, code, pairs, found_blocks, out)
+    return _placed(out.rows, text, found_blocks)
+
+
+_BRACKETS = {"(": ")", "[": "]", "{": "}"}
+
+
+def _pairs(code: str) -> dict[int, int]:
+    """Where each bracket that is opened is closed (the end of the text if it never is)."""
+    closes, open_ = {}, []
+    for m in re.finditer(r"[()\[\]{}]", code):
+        c = m.group()
+        if c in _BRACKETS:
+            open_.append((m.start(), _BRACKETS[c]))
+        elif any(x == c for _, x in open_):
+            while open_:
+                at, wanted = open_.pop()
+                closes[at] = m.start()
+                if wanted == c:
+                    break
+    return closes | {at: len(code) for at, _ in open_}
+
+
+#: What begins a named block: `mod` and so on names it in the chain of facts within.
+_BLOCK_HEADS = {
+    "go": re.compile(r"\b(?P<fn>func)\b\s*(?:\([^()]*\)\s*(?=\w))?(?P<name>\w*)"),
+    "rust": re.compile(r"\b(?:(?P<mod>mod)\s+(?P<m>\w+)\s*\{|(?P<fn>fn)\s+(?P<name>\w+)|(?P<own>impl|trait)\b[^{};]*\{)"),
+    "php": re.compile(r"(?<![:$>\w])(?:(?P<own>class|interface|trait|enum)\s+(?P<m>\w+)[^{};]*\{|(?P<fn>function)\b\s*&?\s*(?P<name>\w*))"),
+}
+#: (label, (start, end) of the parameters if it has any, start and end of the body)
+Block = tuple[str, tuple[int, int] | None, int, int]
+
+
+def _blocks(language: str, code: str, pairs: dict[int, int]) -> list[Block]:
+    """Functions, modules and owners of functions with their bodies, in order of their heads."""
+    owners = {a: o for a, _, o in _bodies(code, _OWNERS[language])} if language in _OWNERS else {}
+    out: list[Block] = []
+    for m in _BLOCK_HEADS[language].finditer(code):
+        if not m["fn"]:
+            start = m.end() - 1
+            label = f"mod:{m['m']}" if m.groupdict().get("mod") else f"class:{owners.get(start, '')}"
+            out.append((label, None, start, pairs.get(start, len(code))))
+            continue
+        at = m.end()
+        if code[at : at + 1] in ("<", "["):  # type parameters
+            depth, at = 0, at
+            while at < len(code):
+                c = code[at]
+                if c in "<[":
+                    depth += 1
+                elif c in ">]" and code[at - 1] != "-":
+                    depth -= 1
+                at += 1
+                if not depth:
+                    break
+        at = _BLANKS.match(code, at).end()
+        if code[at : at + 1] != "(":
+            continue
+        params = (at, pairs.get(at, len(code)))
+        at = params[1] + 1
+        # The body is the next brace that is not part of a type.
+        while (n := _BODY.search(code, at)) and n.group() == "{" and re.search(r"\b(?:interface|struct)\s*$", code[at : n.start()]):
+            at = pairs.get(n.start(), len(code)) + 1
+        if n and n.group() == "{":
+            out.append((f"fn:{m['name']}", params, n.start(), pairs.get(n.start(), len(code))))
+    return out
+
+
+_WORDS, _BLANKS, _BODY = re.compile(r"[^\W\d]\w*"), re.compile(r"\s*"), re.compile(r"[{;]|\bfunc\b|=>")
+_RUST_LET = re.compile(r"\b(?P<if>(?:if|while)\s+)?let\s+(?P<pat>[^=;{}]*)(?P<end>=(?!=)|;)?|\bfor\s+(?P<for>[^{};\n]*?)\sin\b|(?<![\w)\]|&])\|(?!\|)(?P<args>[^|\n;{}]*)\||(?P<arm>=>)")
+#: What stands before the arrow of an arm, and a condition at the end of it.
+_ARM_ENDS, _GUARD = re.compile(r"[{},;\n=]"), re.compile(r"\bif\b.*$", re.S)
+_GO_SHORT = re.compile(r"(?P<names>[^\W\d]\w*(?:\s*,\s*[^\W\d]\w*)*)\s*:=|^[ \t]+(?:var|const)\s+(?P<var>[^\W\d]\w*(?:\s*,\s*[^\W\d]\w*)*)", re.M)
+_PHP_WRITE = re.compile(r"(?P<var>\$\w+)\s*(?:=(?![=>])\s*(?P<new>new\s+(?P<class>\\?[\w\\]+))?|(?:[-+*/.%&|^]|\?\?|\*\*|<<|>>)=)|\bas\s+(?:(?P<key>\$\w+)\s*=>\s*)?&?(?P<each>\$\w+)")
+_PHP_PARAM = re.compile(r"(?:(?P<hint>\??[\w\\]+(?:\s*[|&]\s*[\w\\]+)*)\s+)?&?(?:\.\.\.)?(?P<var>\$\w+)")
+
+
+def _ends(code: str, pairs: dict[int, int], at: int) -> int:
+    """Where the expression that begins at `at` ends: its block, or the next comma or closing bracket around it."""
+    while at < len(code) and code[at].isspace():
+        at += 1
+    if code[at : at + 1] == "{":
+        return pairs.get(at, len(code))
+    while at < len(code) and code[at] not in ",;)]}":
+        at = pairs[at] + 1 if at in pairs else at + 1
+    return at
+
+
+class _Spans:
+    """Spans that lie within or beside each other, by start, with the one around each."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.spans = sorted(spans)
+        self.starts, self.around, open_ = [a for a, _ in self.spans], [], []
+        for i, (a, _) in enumerate(self.spans):
+            while open_ and self.spans[open_[-1]][1] < a:
+                open_.pop()
+            self.around.append(open_[-1] if open_ else -1)
+            open_.append(i)
+
+    def end(self, at: int) -> int:
+        """Where the innermost span around a place ends; -1 if none is around it."""
+        i = bisect_left(self.starts, at) - 1
+        while i >= 0 and self.spans[i][1] <= at:
+            i = self.around[i]
+        return self.spans[i][1] if i >= 0 else -1
+
+
+def _bindings(language: str, code: str, pairs: dict[int, int], blocks: list[Block], out: _Facts) -> None:
+    """Local names and where they are visible; for PHP, what variables are given."""
+    n = len(code)
+    braces = _Spans([(a, b) for a, b in pairs.items() if code[a] == "{"])
+    functions = [(params, start, end) for label, params, start, end in blocks if params]
+    bodies = _Spans([(start, end) for _, start, end in functions])
+    if language == "go":
+        for params, start, end in functions:
+            parts = [x.split() for x in re.split(r",", code[params[0] + 1 : params[1]])]
+            named = any(len(x) > 1 and _WORDS.fullmatch(x[0]) and x[0] not in ("func", "map", "chan", "interface", "struct") for x in parts)
+            for x in parts if named else []:
+                if x and _WORDS.fullmatch(x[0]):
+                    out.add("binding", "", "param", x[0], start, end)
+        for m in re.finditer(r"\bfunc\s*\(\s*(\w+)\s+[^()]*\)\s*\w+", code):  # receivers
+            k = bisect_left(functions, ((m.end() - 1, 0), 0, 0))
+            if k < len(functions):
+                out.add("binding", "", "receiver", m.group(1), functions[k][1], functions[k][2])
+        for m in _GO_SHORT.finditer(code):
+            if bodies.end(m.start()) < 0:
+                continue
+            line = max(code.rfind(c, max(0, m.start() - 400), m.start()) for c in "\n;{}") + 1
+            head = re.match(r"\s*(?:else\s+)?(?:if|for|switch|select)\b", code[line : m.start() + 1])
+            brace = code.find("{", m.end()) if head else -1
+            end = pairs.get(brace, n) if brace >= 0 else braces.end(m.start())
+            begin = m.end()
+            while not head and begin < n and code[begin] not in "\n;}":
+                begin = pairs[begin] + 1 if begin in pairs else begin + 1
+            for name in _WORDS.findall(m["names"] or m["var"]):
+                if name != "_":
+                    out.add("binding", "", "short" if m["names"] else "var", name, begin, end)
+    elif language == "rust":
+        for params, start, end in functions:
+            for part in re.findall(r"(?:^|,)\s*(\([^()]*\)|[^:,<>()]+?)\s*:(?!:)", code[params[0] + 1 : params[1]]):
+                for name in _WORDS.findall(part):
+                    if name not in ("mut", "ref", "self", "_"):
+                        out.add("binding", "", "param", name, start, end)
+        for m in _RUST_LET.finditer(code):
+            if bodies.end(m.start()) < 0:
+                continue
+            if m["arm"]:
+                line = next(_ARM_ENDS.finditer(code[max(0, m.start() - 400) : m.start()][::-1]), None)
+                pattern = _GUARD.sub("", code[max(0, m.start() - (line.start() if line else 400)) : m.start()])
+            else:
+                pattern = m["pat"] or m["for"] or m["args"] or ""
+            if m["args"] is not None or m["arm"]:
+                begin, end = m.end(), _ends(code, pairs, m.end())
+            elif m["if"] or m["for"]:
+                brace = code.find("{", m.end())
+                begin, end = (brace, pairs.get(brace, n)) if brace >= 0 else (m.end(), n)
+            else:
+                begin = _ends(code, pairs, m.end()) if m["end"] == "=" else m.end()
+                end = braces.end(m.start())
+            kind = "closure" if m["args"] is not None else "arm" if m["arm"] else "for" if m["for"] else "let"
+            for w in re.finditer(r"(?<![\w:.])([a-z_]\w*)(?!\w|\s*(?:::|\(|\{|!))", re.sub(r":(?!:)[^,|]*", "", pattern)):
+                if w.group(1) not in ("mut", "ref", "_", "box", "true", "false", "self", "super", "crate", "if", "else", "return", "match"):
+                    out.add("binding", "", kind, w.group(1), begin, end)
+    elif language == "php":
+        for params, start, end in functions:
+            for m in _PHP_PARAM.finditer(code, params[0] + 1, params[1]):
+                out.add("write", "", "hint" if m["hint"] else "opaque", m["var"], start + 1, start + 1, target=m["hint"] or "")
+        for m in _PHP_WRITE.finditer(code):
+            for name in filter(None, (m["var"], m["key"], m["each"])):
+                out.add("write", "", "new" if m["new"] else "opaque", name, m.start(), m.end(), target=m["class"] or "")
+
+
+def _placed(rows: list[Fact], text: str, blocks: list[Block]) -> list[Fact]:
+    """Rows with byte offsets instead of those of characters, and the chain of blocks around them."""
+    byte = range(len(text) + 1) if text.isascii() else [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in text)]
+    order = sorted(range(len(rows)), key=lambda i: rows[i][7])
+    waiting, open_, out = sorted(blocks, key=lambda b: b[2]), [], list(rows)
+    k = 0
+    for i in order:
+        at = rows[i][7]
+        while k < len(waiting) and waiting[k][2] < at:
+            open_.append(waiting[k])
+            k += 1
+        open_ = [b for b in open_ if b[3] >= at]
+        out[i] = (*rows[i][:7], byte[min(at, len(text))], byte[min(rows[i][8], len(text))], ">".join(b[0] for b in open_))
+    return out
 
 
 def source_facts(files: DataFrame, carried: list[str], language: str, text: str) -> DataFrame:
     """Facts of each source file beside the carried columns. Files are independent: nothing is shuffled."""
     types = {f.name: f.dataType.simpleString() for f in files.schema.fields}
-    names = ["fact_kind", "fact_id", "scope", "kind", "name", "target", "level", "byte_start", "byte_end"]
+    names = ["fact_kind", "fact_id", "scope", "kind", "name", "target", "level", "byte_start", "byte_end", "chain"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -467,9 +667,6 @@ def source_facts(files: DataFrame, carried: list[str], language: str, text: str)
     return files.select(*carried, F.col(language).alias("_lang"), F.col(text).cast("string").alias("_text")).mapInPandas(run, schema)
 
 
-_BRACKETS = {"(": ")", "[": "]", "{": "}"}
-
-
 def damages(language: str | None, text: str | None) -> list[tuple[int, int]]:
     """The byte ranges at which a text stops making sense, none for a sound one.
 

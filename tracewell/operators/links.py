@@ -30,16 +30,21 @@ def _matched(sources: DataFrame, options: DataFrame, keys: list[str], target: st
 
 
 def python_relative_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """`from .a import b`: the file or package below the base folder, or the module `b` itself."""
+    """`from .a import b`: the file or package a below the base folder; `from . import b`: the module b, or the package that declares b.
+
+    Unresolved at the root and above it, where there is no package.
+    """
     i = facts.where("fact_kind = 'import' and kind = 'from' and level > 0")
     base = I.relative_base(I.directory(F.col("relative_path")), F.col("level"))
-    stem = I.join_dir(F.coalesce(base, F.lit("?")), F.translate("name", ".", "/"))
-    both = F.when(F.col("name") == "", F.array(I.join_dir(base, F.concat("target", F.lit(".py"))), I.join_dir(base, F.concat("target", F.lit("/__init__.py"))), I.join_dir(base, F.lit("__init__.py")))).otherwise(
-        F.array(F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py")))
-    )
-    i = i.withColumn("_options", F.when(base.isNull(), F.array().cast("array<string>")).otherwise(both))
+    whole = F.col("name") != ""
+    stem = I.join_dir(base, F.when(whole, F.translate("name", ".", "/")).otherwise(F.col("target")))
+    module = F.array(F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py")))
+    ways = F.when(whole, module).otherwise(F.concat(module, F.array(F.concat(I.join_dir(base, F.lit("__init__.py")), F.lit("#"), "target"))))
+    i = i.withColumn("_options", F.when(base.isNull(), F.array().cast("array<string>")).otherwise(ways))
     there = files.select("repository_id", F.col("relative_path").alias("_option"), F.col("relative_path").alias("_target")).distinct()
-    return _record(_matched(i, there, ["repository_id", "_option"], "_target"), "python.relative_import.package_path", F.col("_t"))
+    own = facts.where(F.col("relative_path").endswith("__init__.py") & (F.col("scope") == ""))
+    declared = own.where("fact_kind = 'declaration'").select("repository_id", F.concat_ws("#", "relative_path", "name").alias("_option"), F.col("relative_path").alias("_target"))
+    return _record(_matched(i, there.unionByName(declared.distinct()), ["repository_id", "_option"], "_target"), "python.relative_import.package_path", F.col("_t"))
 
 
 def python_absolute_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
@@ -62,27 +67,64 @@ def rust_module_files(facts: DataFrame, files: DataFrame) -> DataFrame:
     return _record(_matched(m, there, ["repository_id", "_option"], "_target"), "rust.mod.standard_file", F.col("_t"))
 
 
-def rust_module_path(path: Column) -> Column:
-    """`src/a/b.rs` is a::b, `src/a/mod.rs` a, the crate root empty."""
-    inner = F.regexp_replace(path, r"^(?:.*?/)?src/", "")
-    plain = F.regexp_replace(F.regexp_replace(inner, r"\.rs$", ""), r"(^|/)(mod|lib|main)$", "")
-    return F.replace(plain, F.lit("/"), F.lit("::"))
+def rust_module_path(path: Column, root: Column) -> Column:
+    """The module of a file in the crate of `root`: below the root's folder `a/b.rs` is a::b, `a/mod.rs` a, the root itself empty."""
+    folder = I.directory(root)
+    inner = F.when(folder == "", path).otherwise(F.expr("substring(relative_path, length(regexp_extract(root, '^(.*)/[^/]*$', 1)) + 2)"))
+    plain = F.regexp_replace(F.regexp_replace(inner, r"\.rs$", ""), r"(^|/)mod$", "")
+    return F.when(path == root, "").otherwise(F.replace(plain, F.lit("/"), F.lit("::")))
+
+
+def inline_modules(chain: Column) -> Column:
+    """The modules of a file that a chain of blocks lies in: `mod:a>mod:b>fn:c` is a::b."""
+    mods = F.filter(F.split(chain, ">"), lambda b: b.startswith("mod:"))
+    return F.array_join(F.transform(mods, lambda b: F.substring(b, 5, 1_000_000)), "::")
+
+
+def _below(outer: Column, inner: Column) -> Column:
+    return F.when(inner == "", outer).when(outer == "", inner).otherwise(F.concat_ws("::", outer, inner))
+
+
+def rust_modules(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """(repository_id, root, relative_path, module): the crates a file belongs to and its module in each.
+
+    A file belongs to the crates whose roots reach it by `mod` declarations: several, one or none.
+    """
+    tree = rust_crate_tree(facts, files)
+    return tree.select("repository_id", "root", "relative_path", rust_module_path(F.col("relative_path"), F.col("root")).alias("module"))
+
+
+def rust_items(facts: DataFrame, modules: DataFrame) -> DataFrame:
+    """(repository_id, root, module, name, relative_path, fact_id, kind) of what stands directly in a module of a crate."""
+    d = facts.where("fact_kind = 'declaration'").where(F.col("relative_path").endswith(".rs") & ((F.col("chain") == "") | ~F.col("chain").rlike(r"(^|>)(?!mod:)")))
+    j = d.join(modules, ["repository_id", "relative_path"])
+    return j.select("repository_id", "root", _below(F.col("module"), inline_modules(F.col("chain"))).alias("module"), "name", "relative_path", "fact_id", "kind")
 
 
 def rust_use_paths(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """`use crate::a::B`: the declaration B of module a, or the module a::B; other roots are out of scope."""
+    """`use crate::a::B`: the declaration B of module a, or the module a::B, in each crate of the file; `crate::a::*` the file of a.
+
+    Unresolved in a file that no crate root reaches; other roots are out of scope.
+    """
     u = facts.where("fact_kind = 'import' and kind = 'use'")
-    inside = u.where(F.col("name").startswith("crate::"))
-    full = F.regexp_replace("name", r"^crate::", "")
-    last = F.regexp_extract(full, r"([^:]+)$", 1)
-    module = F.regexp_replace(full, r"(?:^|::)[^:]+$", "")
-    inside = inside.withColumn("_options", F.array(F.concat(F.lit("m:"), full), F.concat(F.lit("d:"), module, F.lit("#"), last)))
-    mods = files.where(F.col("relative_path").endswith(".rs")).select("repository_id", F.concat(F.lit("m:"), rust_module_path(F.col("relative_path"))).alias("_option"), F.col("relative_path").alias("_target"))
-    decls = facts.where("fact_kind = 'declaration' and kind <> 'module'").where(F.col("relative_path").endswith(".rs"))
-    decls = decls.select("repository_id", F.concat(F.lit("d:"), rust_module_path(F.col("relative_path")), F.lit("#"), "name").alias("_option"), F.concat_ws("#", "relative_path", F.col("fact_id").cast("string")).alias("_target"))
+    crate = (F.col("name") == "crate") | F.col("name").startswith("crate::")
+    modules = rust_modules(facts, files)
+    full = F.regexp_replace("name", r"^crate(::)?", "")
+    glob = (full == "*") | full.endswith("::*")
+    last, module = F.regexp_extract(full, r"([^:]+)$", 1), F.regexp_replace(full, r"(?:^|::)[^:]+$", "")
+    roots = modules.select("repository_id", "relative_path", "root")
+    owned = u.where(crate & (full != "")).join(roots, ["repository_id", "relative_path"], "left")
+    at = lambda kind, text: F.concat("root", F.lit("|" + kind + ":"), text)
+    ways = F.when(F.col("root").isNull(), F.array().cast("array<string>")).when(glob, F.array(at("m", module))).otherwise(F.array(at("m", full), at("d", F.concat(module, F.lit("#"), last))))
+    keys = ["repository_id", "relative_path", "fact_id"]
+    inside = u.where(crate).join(owned.groupBy(*keys).agg(F.flatten(F.collect_list(ways)).alias("_options")), keys, "left")
+    inside = inside.withColumn("_options", F.coalesce("_options", F.array().cast("array<string>")))
+    blocks = facts.where(F.col("relative_path").endswith(".rs") & F.col("chain").contains("mod:")).select("repository_id", "relative_path", inline_modules(F.col("chain")).alias("_inner")).distinct()
+    inner = blocks.join(modules, ["repository_id", "relative_path"]).select("repository_id", "root", "relative_path", _below(F.col("module"), F.col("_inner")).alias("module"))
+    mods = modules.unionByName(inner, allowMissingColumns=True).select("repository_id", at("m", F.col("module")).alias("_option"), F.col("relative_path").alias("_target"))
+    decls = rust_items(facts, modules).where("kind <> 'module'").select("repository_id", at("d", F.concat_ws("#", "module", "name")).alias("_option"), F.concat_ws("#", "relative_path", F.col("fact_id").cast("string")).alias("_target"))
     hit = _record(_matched(inside, mods.unionByName(decls).distinct(), ["repository_id", "_option"], "_target"), "rust.use.crate_path", F.col("_t"))
-    outside = u.where(~F.col("name").startswith("crate::"))
-    return hit.unionByName(_record(outside, "rust.use.non_crate_path", F.array().cast("array<string>"), none="out_of_scope"))
+    return hit.unionByName(_record(u.where(~crate), "rust.use.non_crate_path", F.array().cast("array<string>"), none="out_of_scope"))
 
 
 def go_imports(facts: DataFrame, modules: DataFrame) -> DataFrame:
@@ -146,29 +188,6 @@ def php_namespaces(facts: DataFrame) -> DataFrame:
     return _record(n.withColumn("_f", F.lower("fqn")).join(same, ["repository_id", "_f"]), "php.namespace.declaration", F.col("_t"))
 
 
-def php_function_calls(facts: DataFrame) -> DataFrame:
-    """Plain PHP calls by tiers: the imported function, else one of the namespace, else a global one.
-
-    The first tier with a function of that full name (without regard to case)
-    wins, and all its functions are candidates. An import whose function is not
-    there ends the search.
-    """
-    keys = ["repository_id", "relative_path"]
-    php = facts.where(F.col("relative_path").endswith(".php"))
-    space = php.where("fact_kind = 'declaration' and kind = 'namespace'").groupBy(*keys).agg(F.min_by("name", "byte_start").alias("_ns"))
-    qualified = F.lower(F.when(F.col("_ns").isNull(), F.col("name")).otherwise(F.concat("_ns", F.lit("\\"), "name")))
-    functions = php.where("fact_kind = 'declaration' and kind = 'function'").join(space, keys, "left").groupBy("repository_id", qualified.alias("_f")).agg(F.sort_array(F.collect_set(F.concat_ws("#", "relative_path", F.col("fact_id").cast("string")))).alias("_fns"))
-    imports = php.where("fact_kind = 'import' and kind = 'function'").select(*keys, F.lower("target").alias("_alias"), F.lower("name").alias("_full")).dropDuplicates([*keys, "_alias"])
-    calls = php.where("fact_kind = 'call' and kind = 'plain'").where(~F.col("name").startswith("$")).join(space, keys, "left").withColumn("_alias", F.lower("name")).join(imports, [*keys, "_alias"], "left")
-    bare = F.lower(F.regexp_replace("name", r"^\\", ""))
-    ways = F.when(F.col("_full").isNotNull(), F.array("_full")).when(F.col("name").startswith("\\") | F.col("_ns").isNull(), F.array(bare)).otherwise(F.array(F.lower(F.concat("_ns", F.lit("\\"), "name")), bare))
-    tiers = calls.select(*keys, "fact_id", "name", F.posexplode(ways).alias("_tier", "_f")).join(functions, ["repository_id", "_f"], "left")
-    best = tiers.groupBy(*keys, "fact_id", "name").agg(F.min(F.when(F.col("_fns").isNotNull(), F.struct(F.col("_tier").alias("t"), F.col("_fns").alias("c")))).alias("_b"))
-    t = F.coalesce("_b.c", F.array().cast("array<string>"))
-    outcome = F.when(F.size(t) == 0, "no_candidate").when(F.size(t) == 1, "single_candidate").otherwise("multiple_candidates")
-    return best.select(*keys, "fact_id", "name", outcome.alias("outcome"), t.alias("candidates"))
-
-
 def inheritance_levels(parents: DataFrame, bound: int | None = None) -> DataFrame:
     """(class, ancestor, level): every ancestor at its least level, safe against cycles.
 
@@ -200,27 +219,8 @@ def nearest_methods(levels: DataFrame, methods: DataFrame) -> DataFrame:
     return all_.join(best, ["class", "method", "level"])
 
 
-def call_candidates(facts: DataFrame) -> DataFrame:
-    """Plain calls to the functions of that name in the same package or file.
-
-    Go: the functions of the call's folder, none where another declaration
-    shares the name; Python, Rust and PHP: the functions of the call's file.
-    """
-    calls = facts.where("fact_kind = 'call' and kind = 'plain'").withColumn("_place", F.when(F.col("relative_path").endswith(".go"), I.directory(F.col("relative_path"))).otherwise(F.col("relative_path")))
-    decls = facts.where("fact_kind = 'declaration'").withColumn("_place", F.when(F.col("relative_path").endswith(".go"), I.directory(F.col("relative_path"))).otherwise(F.col("relative_path")))
-    pool = decls.groupBy("repository_id", "_place", "name").agg(
-        F.collect_set(F.when(F.col("kind") == "function", F.concat_ws("#", "relative_path", F.col("fact_id").cast("string")))).alias("_fns"),
-        F.max(~F.col("kind").isin("function", "method")).alias("_mixed"),
-    )
-    j = calls.join(pool, ["repository_id", "_place", "name"], "left")
-    t = F.when(F.coalesce("_mixed", F.lit(False)), F.array().cast("array<string>")).otherwise(F.coalesce("_fns", F.array().cast("array<string>")))
-    t = F.array_sort(t)
-    outcome = F.when(F.size(t) == 0, "no_candidate").when(F.size(t) == 1, "single_candidate").otherwise("multiple_candidates")
-    return j.select("repository_id", "relative_path", "fact_id", "name", outcome.alias("outcome"), t.alias("candidates"))
-
-
 def php_hierarchy(facts: DataFrame) -> DataFrame:
-    """`extends` and `implements`: the written name by the file's aliases and namespace, without regard to case."""
+    """`extends`, `implements` and traits: the written name by the file's aliases and namespace, without regard to case."""
     php = facts.where(F.col("relative_path").endswith(".php"))
     keys = ["repository_id", "relative_path"]
     refs = php.where("fact_kind = 'reference'").withColumnRenamed("kind", "_how")
@@ -245,55 +245,6 @@ def rust_crate_tree(facts: DataFrame, files: DataFrame, depth: int = 1 << 20) ->
     return bounded_search(edges, roots, depth, None).select(part(F.col("seed"), 0).alias("repository_id"), part(F.col("seed"), 1).alias("root"), part(F.col("node_id"), 1).alias("relative_path"), "depth")
 
 
-def imported_candidates(facts: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Plain calls of an imported name: the functions among the targets of its import link.
-
-    `resolved`: links of imports whose targets are `path#declaration` or paths
-    (then a declaration of the imported name in that file). An exact link to
-    something else than a function, and an unresolved one, give no candidate.
-    """
-    keys = ["repository_id", "relative_path"]
-    imports = facts.where("fact_kind = 'import' and target <> ''").select(*keys, F.col("fact_id").alias("_i"), F.col("target").alias("_alias"))
-    calls = facts.where("fact_kind = 'call' and kind = 'plain'").select(*keys, F.col("fact_id").alias("_c"), F.col("name").alias("_alias"))
-    links = resolved.select(*keys, F.col("fact_id").alias("_i"), F.explode_outer("targets").alias("_t"))
-    met = calls.join(imports, [*keys, "_alias"]).join(links, [*keys, "_i"], "left")
-    fns = facts.where("fact_kind = 'declaration' and kind = 'function'").select("repository_id", F.col("relative_path").alias("_p"), F.col("name").alias("_alias"), F.col("fact_id").alias("_d"))
-    met = met.withColumn("_p", F.substring_index("_t", "#", 1)).join(fns, ["repository_id", "_p", "_alias"], "left")
-    whole = F.concat_ws("#", "_p", F.col("_d").cast("string"))
-    hit = F.when(F.col("_d").isNotNull() & (~F.col("_t").contains("#") | (F.col("_t") == whole)), whole)
-    c = met.groupBy(*keys, F.col("_c").alias("fact_id"), F.col("_alias").alias("name")).agg(F.sort_array(F.collect_set(hit)).alias("candidates"))
-    outcome = F.when(F.size("candidates") == 0, "no_candidate").when(F.size("candidates") == 1, "single_candidate").otherwise("multiple_candidates")
-    return c.select(*keys, "fact_id", "name", outcome.alias("outcome"), "candidates")
-
-
-def go_package_calls(facts: DataFrame, modules: DataFrame) -> DataFrame:
-    """`pkg.Func` calls: out of scope unless pkg is an import of the repository's module; then its exported functions.
-
-    A name that another declaration of the package shares has no candidate.
-    """
-    keys = ["repository_id", "relative_path"]
-    go = facts.where(F.col("relative_path").endswith(".go"))
-    operand, func = I.go_selector(F.col("name"))
-    calls = go.where("fact_kind = 'call' and kind = 'member'").select(*keys, F.col("fact_id").alias("_c"), "name", operand.alias("_pkg"), func.alias("_f")).where("_pkg <> ''")
-    imports = go.where("fact_kind = 'import'").select(*keys, F.col("fact_id").alias("_i"), F.when(F.col("target") != "", F.col("target")).otherwise(F.substring_index("name", "/", -1)).alias("_pkg"))
-    targets = go_imports(facts, modules).select(*keys, F.col("fact_id").alias("_i"), F.col("outcome").alias("_o"), F.explode_outer("targets").alias("_t"))
-    pool = (
-        go.where("fact_kind = 'declaration'")
-        .groupBy("repository_id", I.directory(F.col("relative_path")).alias("_dir"), F.col("name").alias("_f"))
-        .agg(F.collect_set(F.when(F.col("kind") == "function", F.concat_ws("#", "relative_path", F.col("fact_id").cast("string")))).alias("_fns"), F.max(~F.col("kind").isin("function", "method")).alias("_mixed"))
-    )
-    met = calls.join(imports, [*keys, "_pkg"], "left").join(targets, [*keys, "_i"], "left").withColumn("_dir", F.substring_index("_t", ":", 1)).join(pool, ["repository_id", "_dir", "_f"], "left")
-    none = F.array().cast("array<string>")
-    usable = I.go_exported(F.col("_f")) & ~F.coalesce("_mixed", F.lit(False))
-    per = met.groupBy(*keys, F.col("_c").alias("fact_id"), "name").agg(
-        F.max(F.col("_i").isNotNull() & (F.col("_o") != "out_of_scope")).alias("_in"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(usable, F.coalesce("_fns", none)).otherwise(none))))).alias("candidates"),
-    )
-    n = F.size("candidates")
-    outcome = F.when(~F.coalesce("_in", F.lit(False)), "out_of_scope").when(n == 0, "no_candidate").when(n == 1, "single_candidate").otherwise("multiple_candidates")
-    return per.select(*keys, "fact_id", "name", outcome.alias("outcome"), F.when(outcome == "out_of_scope", none).otherwise(F.col("candidates")).alias("candidates"))
-
-
 def php_typed_receivers(calls: DataFrame, writes: DataFrame) -> DataFrame:
     """Classes a receiver may hold at each call: (call_id, classes), null after an opaque write.
 
@@ -359,40 +310,6 @@ def crate_targets(files: DataFrame, cargo: DataFrame) -> DataFrame:
     return kept.select("manifest", "kind", "name", "path").unionByName(declared).distinct()
 
 
-def php_class_calls(facts: DataFrame) -> DataFrame:
-    """`new X` and `X::m` by the class they name: (call, how, outcome, candidates).
-
-    A construction's candidates are the class-likes of that name; `static` and
-    variables are out of scope. A static call's candidates are the methods m of
-    files that hold that class; `self` is the class-likes of the file itself and
-    `parent` what they extend; `static` is out of scope.
-    """
-    keys = ["repository_id", "relative_path"]
-    php = facts.where(F.col("relative_path").endswith(".php"))
-    calls = php.where("fact_kind = 'call' and kind in ('construct', 'static')").withColumnRenamed("kind", "_how")
-    cls = F.when(F.col("_how") == "construct", F.regexp_replace("name", r"^new\s+", "")).otherwise(F.regexp_extract("name", r"^(.*)::[^:]*$", 1))
-    calls = calls.withColumn("_class", cls).withColumn("_method", F.when(F.col("_how") == "static", F.regexp_extract("name", r"([^:]+)$", 1)))
-    space = php.where("fact_kind = 'declaration' and kind = 'namespace'").groupBy(*keys).agg(F.min_by("name", "byte_start").alias("_ns"))
-    alias = php.where("fact_kind = 'import' and kind = 'class'").groupBy(*keys).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.lower("target"), "name")))).alias("_al"))
-    none = F.create_map().cast("map<string,string>")
-    out = F.lower("_class").isin("static") | F.col("_class").startswith("$") | (F.col("_class") == "")
-    named = calls.where(~out & ~F.lower("_class").isin("self", "parent")).join(space, keys, "left").join(alias, keys, "left")
-    named = named.select(*keys, "fact_id", "_how", "name", "_method", F.lower(I.php_class_fqn(F.col("_class"), F.col("_ns"), F.coalesce("_al", none))).alias("_f"))
-    names = php_names(facts).withColumn("_f", F.lower("fqn"))
-    own = calls.where(F.lower("_class") == "self").join(names.select(*keys, "_f"), keys, "left").select(*keys, "fact_id", "_how", "name", "_method", "_f")
-    up = php_hierarchy(facts).where("rule_id = 'php.class.extends'").select(*keys, F.explode("targets").alias("_t"))
-    up = up.join(names.select("repository_id", F.concat_ws("#", "relative_path", F.col("fact_id").cast("string")).alias("_t"), "_f"), ["repository_id", "_t"]).select(*keys, "_f").distinct()
-    above = calls.where(F.lower("_class") == "parent").join(up, keys, "left").select(*keys, "fact_id", "_how", "name", "_method", "_f")
-    met = named.unionByName(own).unionByName(above).join(names.select("repository_id", "_f", F.col("relative_path").alias("_p"), F.col("fact_id").alias("_d")), ["repository_id", "_f"], "left")
-    methods = php.where("fact_kind = 'declaration' and kind = 'method'").select("repository_id", F.col("relative_path").alias("_p"), F.lower("name").alias("_m"), F.col("fact_id").alias("_md"))
-    met = met.withColumn("_m", F.lower("_method")).join(methods, ["repository_id", "_p", "_m"], "left")
-    hit = F.when(F.col("_how") == "construct", F.when(F.col("_d").isNotNull(), F.concat_ws("#", "_p", F.col("_d").cast("string")))).otherwise(F.when(F.col("_md").isNotNull(), F.concat_ws("#", "_p", F.col("_md").cast("string"))))
-    per = met.groupBy(*keys, "fact_id", "_how", "name").agg(F.sort_array(F.collect_set(hit)).alias("candidates"))
-    n = F.size("candidates")
-    inside = per.select(*keys, "fact_id", F.col("_how").alias("how"), "name", F.when(n == 0, "no_candidate").when(n == 1, "single_candidate").otherwise("multiple_candidates").alias("outcome"), "candidates")
-    return inside.unionByName(calls.where(out).select(*keys, "fact_id", F.col("_how").alias("how"), "name", F.lit("out_of_scope").alias("outcome"), F.array().cast("array<string>").alias("candidates")))
-
-
 #: What each rule links or calls, and its possible outcomes.
 RULES = {
     "rust.mod.standard_file": "a module declaration to the file of its name | exact, ambiguous, unresolved",
@@ -410,6 +327,22 @@ RULES = {
     "php.use.non_class_import": "a use of a function or constant | out_of_scope",
     "php.class.extends": "a parent class by its full name | exact, ambiguous, unresolved",
     "php.class.implements": "an interface by its full name | exact, ambiguous, unresolved",
+    "php.class.uses_trait": "a trait by its full name | exact, ambiguous, unresolved",
+    "rust.call.local_function_candidate": "a plain call to the functions of the nearest level up to its module | no, single, multiple",
+    "rust.call.imported_function_candidate": "a plain call of an imported name to the functions its import leads to | no, single, multiple",
+    "rust.call.structural_path_function_candidate": "a call by a path from crate, self, super or a child module to the functions there | no, single, multiple, out_of_scope",
+    "go.call.package_local_function_candidate": "a plain call to the functions of its package | no, single, multiple",
+    "go.call.imported_package_function_candidate": "a call by an imported package of the repository to its exported functions | no, single, multiple, out_of_scope",
+    "php.call.namespace_function_candidate": "a plain call to the functions of its namespace, or else global ones | no, single, multiple, out_of_scope",
+    "php.call.imported_function_candidate": "a plain call of an imported name to the functions of its full name | no, single, multiple",
+    "php.call.construction_class_candidate": "a construction to the classes of its full name | no, single, multiple, out_of_scope",
+    "php.call.static_method_candidate": "a static call to the methods of the class it names | no, single, multiple, out_of_scope",
+    "php.call.lexical_self_method_candidate": "a call by self to the methods of the class around it | no, single, multiple, out_of_scope",
+    "php.call.lexical_this_method_candidate": "a call on this to the methods of the class around it | no, single, multiple, out_of_scope",
+    "php.call.typed_receiver_method_candidate": "a call on a variable whose classes are known to their methods | no, single, multiple, out_of_scope",
+    "php.call.inherited_method_candidate": "any of these where the method is that of an ancestor | single, multiple",
+    "php.call.parent_method_candidate": "a call by parent to the methods of the parents of the class around it | no, single, multiple, out_of_scope",
+    "php.call.parent_construction_candidate": "a construction of parent to the parents of the class around it | no, single, multiple, out_of_scope",
 }
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import identifiers as I
-from tracewell.operators import dedup, extract, graph, links, packet, sessions
+from tracewell.operators import candidates, dedup, extract, graph, links, packet, sessions
 from tracewell.plans import reference
 from tracewell.session import checkpoint_dir, kept
 from tracewell.sources.repository import language_by_path
@@ -90,30 +90,21 @@ def _(s, d):
     return links.rust_crate_tree(facts(s, d), paths(s, d))
 
 
-@query("call_candidates_imported")
-def _(s, d):
-    f, p = facts(s, d), paths(s, d)
-    return _flat(links.imported_candidates(f, links.rust_use_paths(f, p).unionByName(links.python_relative_imports(f, p))), "candidates")
-
-
-@query("call_candidates_go_packages")
-def _(s, d):
-    return _flat(links.go_package_calls(facts(s, d), _modules(s, d)), "candidates")
-
-
-@query("call_candidates_php_classes")
-def _(s, d):
-    return _flat(links.php_class_calls(facts(s, d)), "candidates")
-
-
-@query("call_candidates_php_functions")
-def _(s, d):
-    return _flat(links.php_function_calls(facts(s, d)), "candidates")
+for _name, _rule in {
+    "candidates_go_package": lambda f, p, m: candidates.go_package_calls(f),
+    "candidates_go_imported": lambda f, p, m: candidates.go_imported_calls(f, m),
+    "candidates_rust_local": lambda f, p, m: candidates.rust_local_calls(f, links.rust_use_paths(f, p)),
+    "candidates_rust_paths": lambda f, p, m: candidates.rust_path_calls(f, p),
+    "candidates_php_functions": lambda f, p, m: candidates.php_function_calls(f),
+    "candidates_php_members": lambda f, p, m: candidates.php_member_calls(f),
+    "call_candidates_all": candidates.all_candidates,
+}.items():
+    query(_name)(lambda s, d, rule=_rule: _flat(rule(facts(s, d), paths(s, d), _modules(s, d)), "candidates"))
 
 
-@query("rule_registry")
+@query("rule_registry", "SELECT count(*) AS n_rules, count(*) FILTER (rule LIKE '%.call.%') AS n_candidate_rules FROM (SELECT unnest(['rust.mod.standard_file', 'rust.use.crate_path', 'rust.use.non_crate_path', 'go.package.same_directory', 'go.import.local_module', 'go.import.external', 'python.relative_import.package_path', 'python.absolute_import.local_candidate', 'python.absolute_import.external', 'php.namespace.declaration', 'php.use.qualified_name', 'php.use.external', 'php.use.non_class_import', 'php.class.extends', 'php.class.implements', 'php.class.uses_trait', 'rust.call.local_function_candidate', 'rust.call.imported_function_candidate', 'rust.call.structural_path_function_candidate', 'go.call.package_local_function_candidate', 'go.call.imported_package_function_candidate', 'php.call.namespace_function_candidate', 'php.call.imported_function_candidate', 'php.call.construction_class_candidate', 'php.call.static_method_candidate', 'php.call.lexical_self_method_candidate', 'php.call.lexical_this_method_candidate', 'php.call.typed_receiver_method_candidate', 'php.call.inherited_method_candidate', 'php.call.parent_method_candidate', 'php.call.parent_construction_candidate']) AS rule)")
 def _(s, d):
-    return links.rule_registry(s)
+    return links.rule_registry(s).agg(F.count(F.lit(1)).alias("n_rules"), F.count_if(F.col("rule_id").contains(".call.")).alias("n_candidate_rules"))
 
 
 @query("recovery_regions")
@@ -131,15 +122,10 @@ def _(s, d):
     return sessions.path_mentions(table(s, d, "documents"), "doc_id", "text", table(s, d, "files"))
 
 
-@query("call_candidates_by_name")
-def _(s, d):
-    return _flat(links.call_candidates(facts(s, d)), "candidates")
-
-
 @query("answer_packets")
 def _(s, d):
     n, e = reference.nodes(s, d), reference.edges(s, d)
-    near = graph.neighbourhood(e, n, n.where("node_kind = 'entity'").select("node_id"))
+    near = graph.neighbourhood(e, n, n.where("node_kind = 'entity'").select("node_id"), None)
     keys = n.select("node_id", "node_kind", "node_key", "label")
     shown = near.select(F.col("seed").alias("query"), "node_id").unionByName(near.select(F.col("seed").alias("query"), F.col("seed").alias("node_id"))).distinct().join(keys, "node_id")
     rel = near.select(F.col("seed").alias("query"), "edge_id").join(e, "edge_id").select("query", "edge_kind", "source", "target", "evidence_class", "candidate_set_id")
