@@ -574,9 +574,9 @@ def _bindings(language: str, code: str, pairs: dict[int, int], blocks: list[Bloc
     if language == "go":
         for params, start, end in functions:
             parts = [x.split() for x in re.split(r",", code[params[0] + 1 : params[1]])]
-            named = any(len(x) > 1 and _WORDS.fullmatch(x[0]) and x[0] not in ("func", "map", "chan", "interface", "struct") for x in parts)
+            named = any(len(x) > 1 and x[0].isidentifier() and x[0] not in ("func", "map", "chan", "interface", "struct") for x in parts)
             for x in parts if named else []:
-                if x and _WORDS.fullmatch(x[0]):
+                if x and x[0].isidentifier():
                     out.add("binding", "", "param", x[0], start, end)
         for m in re.finditer(r"\bfunc\s*\(\s*(\w+)\s+[^()]*\)\s*\w+", code):  # receivers
             k = bisect_left(functions, ((m.end() - 1, 0), 0, 0))
