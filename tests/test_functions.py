@@ -59,7 +59,7 @@ def test_paths(spark):
     assert one(spark, "src/a.rs", I.rust_module_dir) == "src/a"
     assert one(spark, "a/__init__.py", I.python_module) == "a"
     df = spark.createDataFrame([("a/b", 1), ("a/b", 2), ("a/b", 3), ("a/b", 4)], "d string, n int")
-    assert [r[0] for r in df.select(I.relative_base(F.col("d"), F.col("n"))).collect()] == ["a/b", "a", "", None]
+    assert [r[0] for r in df.select(I.relative_base(F.col("d"), F.col("n"))).collect()] == ["a/b", "a", None, None]
 
 
 def test_php_and_go_names(spark):

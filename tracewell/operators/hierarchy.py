@@ -393,3 +393,11 @@ def scope_hierarchy(scopes: DataFrame) -> DataFrame:
         F.coalesce("n_descendants", F.lit(-1)).alias("n_descendants"),
         "status",
     )
+
+
+def scope_descendants(scopes: DataFrame) -> DataFrame:
+    """Every scope with each scope below it: repository_id, relative_path, ancestor_id, scope_id. Only trees with a root."""
+    tree = ["repository_id", "relative_path"]
+    newest = latest_rows(scopes, [*tree, "scope_id"], "ingested_at", ["parent_scope_id"])
+    below = descendants(solve_hierarchy(newest, tree, "scope_id", "parent_scope_id"), tree, "scope_id")
+    return below.select(*tree, F.col("ancestor").alias("ancestor_id"), "scope_id")

@@ -24,6 +24,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.scope_hierarchy(table(spark, d, "scopes"))
 
 
+def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.scope_descendants(table(spark, d, "scopes"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.analysis_facts(table(spark, d, "analysis_records"))
 
@@ -32,7 +36,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.duplicate_events(table(spark, d, "agent_events"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_orphan_rates": p2_orphan_rates, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_orphan_rates": p2_orphan_rates, "p3_found": p3_found, "p3_descendants": p3_descendants, "p4_found": p4_found, "p5_found": p5_found}
 
 _ID = "nullif(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), '')"
 
@@ -149,5 +153,6 @@ SQL = {
     "p2_found": SQL_P2,
     "p2_orphan_rates": f"SELECT ref_table, month_key, reason, count(*) AS n_orphans, count(DISTINCT target_key) AS n_targets FROM (SELECT DISTINCT * FROM ({SQL_P2})) GROUP BY 1, 2, 3",
     "p3_found": SQL_P3,
+    "p3_descendants": f"SELECT repository_id, relative_path, CAST(unnest(string_split(scope_path, '/')[:-2]) AS BIGINT) AS ancestor_id, scope_id FROM ({SQL_P3}) WHERE status = 'ok' AND scope_depth > 0",
     "p5_found": SQL_P5,
 }
