@@ -375,3 +375,21 @@ def test_hot_key_is_spread_by_its_size(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(per) == sum(1 for i in range(20_000) if i % 2 == 0 or i % 997 == 0)
     assert len(per) > 1 and max(per) < sum(per)
+
+
+def test_nested_records_of_nothing(spark):
+    """Empty tables, and tables whose payloads are all null or damaged, give empty tables; further columns are ignored."""
+    kind = "record_id long, payload string, _payload string, fact_id long"
+    for data in ([], [(1, None, "x", 1), (2, "{", "x", 1), (3, "", None, None)]):
+        df = spark.createDataFrame(data, kind)
+        assert nested.analysis_facts(df).count() == 0
+        assert all(t.count() == 0 for t in nested.analysis_tables(df).values())
+
+
+def test_scopes_of_nothing(spark):
+    kind = "repository_id string, relative_path string, scope_id long, parent_scope_id long, ingested_at timestamp, path string, status string"
+    assert hierarchy.scope_hierarchy(spark.createDataFrame([], kind)).count() == 0
+    odd = [(None, "f", 1, None, T0, "x", "y"), ("r", None, 1, None, T0, "x", "y"), ("r", "f", None, 1, T0, "x", "y"), ("r", "f", -5, None, None, None, None), ("r", "f", 2**62, -5, None, None, None)]
+    got = rows(hierarchy.scope_hierarchy(spark.createDataFrame(odd, kind)))
+    assert got == [("r", "f", -5, -5, 0, "-5", 1, "ok"), ("r", "f", 2**62, -5, 1, f"-5/{2**62}", 0, "ok")]
+    assert rows(hierarchy.scope_descendants(spark.createDataFrame(odd, kind))) == [("r", "f", -5, 2**62)]
