@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.text import squash_id
 from tracewell.operators.dedup import dedup_messages, event_identity
 from tracewell.operators.joins import range_union
+from tracewell.operators.skew import skew_join
 
 #: What the folds read of a payload; other fields are left alone.
 PAYLOAD = (
@@ -151,8 +152,9 @@ def sliding_activity(seen: DataFrame, days: int) -> DataFrame:
     """Per repository and path over the last `days` days of its repository: observations, reads, distinct investigations."""
     day = F.floor(F.col("at_us") / 86_400_000_000)
     dated = seen.where("at_us is not null").withColumn("day", day)
-    newest = dated.groupBy("repository").agg(F.max("day").alias("newest"))
-    recent = dated.join(newest, "repository").where(F.col("day") >= F.col("newest") - days)
+    newest = dated.groupBy("repository").agg(F.max("day").alias("newest"), F.count(F.lit(1)).alias("n"))
+    # A repository may hold any share of the observations.
+    recent = skew_join(dated, newest.select("repository", "newest"), ["repository"], F.xxhash64("session", "number"), counts=newest.select("repository", "n")).where(F.col("day") >= F.col("newest") - days)
     return recent.groupBy("repository", "path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "explicit_read").alias("n_reads"), F.countDistinct("investigation").alias("n_investigations"))
 
 
